@@ -26,8 +26,8 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 
 
 def ascii_lower(c: Column) -> Column:
-    """A-Z only; lower() would also change other letters."""
-    return F.translate(c, UPPER, LOWER)
+    """A-Z only. lower() does just that, and faster, where all characters are ASCII; it would also change other letters."""
+    return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
 def partitions(spark: SparkSession) -> int:

@@ -6,8 +6,6 @@ the set; only documents with such a window are then read again and compared word
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,19 +27,12 @@ def windows(w: Column, n: int) -> Column:
 
 
 def window_hashes(h: Column, n: int) -> Column:
-    """Hashes of all runs of n word hashes; runs of 1, 2, 4, ... are doubled, then joined as n's binary digits say."""
-    run, length, at, parts = h, 1, 0, []
-    tail = lambda a, k: F.slice(a, F.lit(k + 1), F.greatest(F.size(a) - k, F.lit(0))) if k else a
-    while True:
-        if n & length:
-            parts.append(tail(run, at))
-            at += length
-        if length * 2 > n:
-            break
-        run = F.zip_with(run, tail(run, length), lambda a, b: F.xxhash64(a, b))
+    """For each run of n word hashes the hash of its first 2^k words, the most that fit: runs of 1, 2, 4, ... doubled."""
+    run, length = h, 1
+    while length * 2 <= n:
+        run = F.zip_with(run, F.slice(run, F.lit(length + 1), F.greatest(F.size(run) - length, F.lit(0))), lambda a, b: F.xxhash64(a, b))
         length *= 2
-    joined = reduce(lambda a, b: F.zip_with(a, b, lambda x, y: F.xxhash64(x, y)), parts)
-    return F.slice(joined, F.lit(1), F.size(h) - (n - 1))
+    return F.slice(run, F.lit(1), F.size(h) - (n - 1))
 
 
 def benchmark_windows(bench: DataFrame, n: int, item_id: str, text: str) -> DataFrame:
@@ -66,7 +57,8 @@ def scan(docs: DataFrame, bench: DataFrame, n: int = 10, *, doc_id: str = "doc_i
     parts = docs.select(docs[doc_id].alias("doc_id"), F.xxhash64(docs[text]).alias("text_hash"), words(docs[text]).alias("w"))
     parts = parts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text_hash", F.size("w").cast("long").alias("n_words"), F.transform("w", lambda w: F.xxhash64(w)).alias("h"))
     empty = F.expr("cast(array() as array<bigint>)")
-    each = F.concat(*[F.when(F.col("n_words") >= k, window_hashes(F.col("h"), k)).otherwise(empty) for k in lengths]) if lengths else empty
+    runs = [F.when(F.col("n_words") >= k, window_hashes(F.col("h"), k)).otherwise(empty) for k in lengths]
+    each = empty if not runs else runs[0] if len(runs) == 1 else F.concat(*runs)
     seen = parts.select("row", "doc_id", "text_hash", "n_words", F.explode_outer(each).alias("hash")).join(hint(wanted), "hash", "left")
     scanned = settle(seen.groupBy("row", "doc_id", "text_hash", "n_words").agg(F.max("hit").alias("hit")), "scanned")
 

@@ -122,7 +122,7 @@ def secrets(docs: DataFrame, q: float = 0.05, *, doc_id: str = "doc_id", text: s
     t = F.coalesce(docs[text], F.lit(""))
     held = docs.select(docs[doc_id].alias("doc_id"), t.alias("t"))
     token = F.filter(found(F.col("t"), TOKEN), lambda m: m["hit"].rlike("[0-9]") & m["hit"].rlike("[A-Za-z]"))
-    parts = held.select("doc_id", *[kind_spans(F.col("t"), k).alias(k) for k in KINDS], token.alias("tokens"))
+    parts = settle(held.select("doc_id", *[kind_spans(F.col("t"), k).alias(k) for k in KINDS], token.alias("tokens")), "spans")
     tested = F.transform("tokens", lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), battery(m["hit"]).alias("test"), band_of(F.length(m["hit"])).alias("band")))
     p_bin = lambda p: F.least(F.lit(BINS_PER_DECADE * MOST_DECADES), F.floor(-F.log10(F.greatest(p, F.lit(10.0**-MOST_DECADES))) * BINS_PER_DECADE)).cast("int")
     binned = F.transform(tested, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["test"]["encoding"].alias("encoding"), m["band"].alias("band"), p_bin(m["test"]["p"]).alias("bin")))

@@ -42,11 +42,17 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+#: A 64-bit number for each byte at each of the first 64 places of a word.
+BYTE_AT = mix64(np.arange(64 * 256, dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+#: For bytes.translate: A-Z to a-z.
+BYTES_DOWN = bytes.maketrans(UPPER.encode(), LOWER.encode())
+
+
 def word_hashes(texts: list[bytes], space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all texts, with the index of each word's text.
 
-    space: 256 booleans, true for bytes between words. A word's hash is the finalised sum of its bytes, each
-    mixed with its place in the word; equal words have equal hashes.
+    space: 256 booleans, true for bytes between words. A word's hash is the finalised sum of a number for
+    each of its bytes and their places; equal words have equal hashes.
     """
     lens = np.fromiter(map(len, texts), np.int64, len(texts))
     raw = np.frombuffer(b"\x20".join([*texts, b""]), np.uint8)
@@ -58,10 +64,12 @@ def word_hashes(texts: list[bytes], space: np.ndarray) -> tuple[np.ndarray, np.n
     first, past = edge[::2], edge[1::2]
     if not len(first):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    at = np.arange(len(raw), dtype=np.int64) - np.repeat(np.r_[0, first], np.diff(np.r_[0, first, len(raw)]))
+    part = BYTE_AT[(at & 63) << 8 | raw]
+    late = np.flatnonzero((at > 63) & ~gap)
+    part[late] = mix64(raw[late].astype(np.uint64) + (at[late].astype(np.uint64) << np.uint64(9)))
+    part[gap] = 0
     with np.errstate(over="ignore"):
-        at = np.arange(len(raw), dtype=np.int64) - np.repeat(np.r_[0, first], np.diff(np.r_[0, first, len(raw)]))
-        part = mix64((raw.astype(np.uint64) + np.uint64(1)) + (at.astype(np.uint64) << np.uint64(9)))
-        part[gap] = 0
         out = mix64(np.add.reduceat(part, first) + (past - first).astype(np.uint64))
     ends = np.cumsum(lens + 1)
     return out, np.searchsorted(ends, first, side="right")

@@ -1 +1,6 @@
+"""All registered queries. Importing this package registers them."""
 
+from . import sequence_queries
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "sequence_queries"]

@@ -20,26 +20,27 @@ from math import ceil, comb, exp
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, mix64, partitions, settle, word_hashes
+from .buckets import gathered, packed, take
+from .common import BYTES_DOWN, mix64, partitions, settle, word_hashes
 from .components import components
 
 SHINGLE, PERCENT = 5, 80
 SPACES = np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
-DOWN = str.maketrans(UPPER, LOWER)
 #: What a bucket of empty segments costs, in index entries.
 EMPTY_COST = 50
-SKETCH_WORDS = 4
 BLOCK_BYTES = 8_000_000
 #: Members verified against one centre in one group.
 GROUP = 512
+#: Ids of documents, and pairs, up to so many are broadcast, else joined by shuffle.
+BROADCAST_ROWS = 500_000
 
 
-def shingle_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(text index, shingle), distinct and sorted by both. A text of fewer words has one shingle, of none none."""
-    words, of = word_hashes([t.encode("utf-8", "surrogatepass") for t in texts], SPACES)
+    words, of = word_hashes(texts, SPACES)
     n = np.bincount(of, minlength=len(texts))
     starts = np.cumsum(n) - n
     last = starts[of] + n[of] - np.arange(len(words))  # words left in the text, this one included
@@ -51,7 +52,8 @@ def shingle_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             sh = np.where(last > k, mix64(sh ^ part), sh)
     keep = (last >= SHINGLE) | (np.arange(len(words)) == starts[of])
     of, sh = of[keep], sh[keep]
-    order = np.lexsort((sh, of))
+    order = np.argsort(sh)
+    order = order[np.argsort(of[order].astype(np.uint16) if len(texts) <= 65536 else of[order], kind="stable")]
     of, sh = of[order], sh[order]
     new = np.r_[True, (of[1:] != of[:-1]) | (sh[1:] != sh[:-1])] if len(of) else np.zeros(0, bool)
     return of[new], sh[new]
@@ -73,11 +75,27 @@ def set_keys(of: np.ndarray, sh: np.ndarray, texts: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def sketches(of: np.ndarray, sh: np.ndarray, texts: int) -> np.ndarray:
-    """texts x SKETCH_WORDS: bit b is the parity of the shingles that hash to b."""
-    h = mix64(sh + np.uint64(0x2545F491))
-    bit = np.bincount(of * (64 * SKETCH_WORDS) + (h % np.uint64(64 * SKETCH_WORDS)).astype(np.int64), minlength=texts * 64 * SKETCH_WORDS).astype(np.uint64) & np.uint64(1)
-    return np.packbits(bit.astype(np.uint8).reshape(texts, -1), axis=1, bitorder="little").view(np.int64)
+def sketches(of: np.ndarray, sh: np.ndarray, texts: int) -> list[np.ndarray]:
+    """For each set 64-bit words, a power of two of them, with two bits or more for each shingle: bit b is the parity
+    of the shingles that hash to b. Halves laid over each other give the sketch of half the size."""
+    _, n = bounds(of, texts)
+    size = np.maximum(1, 1 << np.ceil(np.log2(np.maximum(n, 1) / 32)).clip(0).astype(np.int64))
+    base = np.cumsum(size) - size
+    bit = (mix64(sh + np.uint64(0x2545F491)) & (64 * size[of] - 1).astype(np.uint64)).astype(np.int64)
+    ones = np.bincount(64 * base[of] + bit, minlength=int(64 * size.sum())).astype(np.uint8) & 1
+    return np.split(np.packbits(ones, bitorder="little").view(np.int64), base[1:]) if texts else []
+
+
+def apart(a: Column, b: Column) -> Column:
+    """Bits in which two sketches differ, the longer one folded: no more than the shingles in which the sets differ."""
+    xor = lambda x, y: x.bitwiseXOR(y)
+    half = lambda x: F.zip_with(F.slice(x, F.lit(1), F.floor(F.size(x) / 2).cast("int")), F.slice(x, F.floor(F.size(x) / 2).cast("int") + 1, F.floor(F.size(x) / 2).cast("int")), xor)
+    bits = lambda x, y: F.aggregate(F.zip_with(x, y, xor), F.lit(0), lambda n, w: n + F.bit_count(w))
+    return F.when(F.size(a) > F.size(b), bits(half(a), b)).when(F.size(a) < F.size(b), bits(a, half(b))).otherwise(bits(a, b))
+
+
+def may_link(n: Column, m: Column, a: Column, b: Column) -> Column:
+    return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & (9 * apart(a, b) <= n + m)
 
 
 @lru_cache
@@ -166,78 +184,52 @@ def pieces_of(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
         yield rows
 
 
-def profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each document's set key, size and sketch."""
-    for frame in read_blocks(batches):
-        for rows in pieces_of(frame):
-            of, sh = shingle_sets([t.translate(DOWN) if not t.isascii() else t.lower() for t in rows["text"]])
-            sk = sketches(of, sh, len(rows))
-            yield pd.DataFrame({"doc_id": rows["doc_id"], "key": set_keys(of, sh, len(rows)), "n": np.bincount(of, minlength=len(rows)).astype(np.int64)} | {f"s{i}": sk[:, i] for i in range(SKETCH_WORDS)})
+def lowered(texts: pd.Series) -> list[bytes]:
+    return [t.encode().translate(BYTES_DOWN) for t in texts]
+
+
+PACKED = "part int, keys binary, at binary, sets binary, key long, n long, sketch array<long>"
 
 
 def index(parts: int):
-    """Index entries, packed: one row for each block and part, with keys (32 bits), set keys, and which is whose."""
+    """Two kinds of rows. Documents: doc_id, set key, size, sketch. Index entries, packed: one row for each block and
+    part, with keys (32 bits), set keys, and which is whose."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in read_blocks(batches):
             for rows in pieces_of(frame):
-                texts = list(dict.fromkeys(t.translate(DOWN) if not t.isascii() else t.lower() for t in rows["text"]))
+                texts = lowered(rows["text"])
                 of, sh = shingle_sets(texts)
-                keys = set_keys(of, sh, len(texts))
-                text, key, upper = entries(of, sh, len(texts))
-                part = ((key >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                text, key, upper, part = text[order], key[order], upper[order], part[order]
-                edge = np.searchsorted(part, np.arange(parts + 1))
-                for p, (a, b) in enumerate(zip(edge, edge[1:])):
-                    if b > a:
-                        own, at = np.unique(text[a:b], return_inverse=True)
-                        yield pd.DataFrame({"part": [p], "keys": [key[a:b].astype(np.uint32).tobytes()], "at": [(at.astype(np.uint32) << np.uint32(1) | upper[a:b]).tobytes()], "sets": [keys[own].tobytes()]})
+                keys, sk = set_keys(of, sh, len(texts)), sketches(of, sh, len(texts))
+                n = np.bincount(of, minlength=len(texts))
+                yield pd.DataFrame({"doc_id": rows["doc_id"], "part": (keys.view(np.uint64) % np.uint64(parts)).astype(np.int32), "keys": None, "at": None, "sets": None, "key": keys, "n": n.astype(np.int64), "sketch": sk})
+                once = np.zeros(len(texts), bool)
+                once[np.unique(keys, return_index=True)[1]] = True
+                new = once[of]
+                text, key, upper = entries(of[new], sh[new], len(texts))
+                out = [(None, *x, 0, 0, None) for x in packed(text, key, upper, keys, parts)]
+                yield pd.DataFrame(out, columns=["doc_id", "part", "keys", "at", "sets", "key", "n", "sketch"])
 
     return run
 
 
 def buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Stars (star: u, v) and, of buckets of three and more sets, the members (bucket, u; upper)."""
+    """Documents as they are; stars (u, v); and, of buckets of three and more sets, the members (bucket, u; upper)."""
+    plain = {"doc_id": None, "n": 0, "sketch": None}
     by_part: dict[int, list] = {}
     for b in batches:
-        for p, k, at, sets in zip(b["part"], b["keys"], b["at"], b["sets"]):
-            who = np.frombuffer(at, np.uint32)
-            by_part.setdefault(p, []).append((np.frombuffer(k, np.uint32), np.frombuffer(sets, np.int64)[who >> 1], (who & 1).astype(bool)))
-    for p in sorted(by_part):
-        key, who, upper = (np.concatenate(x) for x in zip(*by_part.pop(p)))
-        order = np.argsort(key, kind="stable")
-        again = np.r_[key[order][1:] == key[order][:-1], False]
-        order = order[again | np.r_[False, again[:-1]]]  # keys that are not alone
-        key, who, upper = key[order], who[order], upper[order]
-        order = np.lexsort((upper, who, key))
-        key, who, upper = key[order], who[order], upper[order]
-        new = np.r_[True, (key[1:] != key[:-1]) | (who[1:] != who[:-1])] if len(key) else np.zeros(0, bool)
-        key, who, upper = key[new], who[new], upper[new]
-        if not len(key):
-            continue
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        size = np.diff(np.r_[first, len(key)])
-        run = np.repeat(np.arange(len(first)), size)
-        own_at = np.where(upper, len(key), np.arange(len(key)))
-        centre = np.minimum.reduceat(own_at, first)
-        live = (centre < len(key)) & (size > 1)
-        c = centre[run]
-        star = live[run] & (c != np.arange(len(key)))
-        pairs = np.unique(np.stack([who[star], who[np.minimum(c[star], len(key) - 1)]], 1), axis=0) if star.any() else np.zeros((0, 2), np.int64)
-        yield pd.DataFrame({"star": True, "bucket": 0, "u": pairs[:, 0], "v": pairs[:, 1], "upper": False})
-        with np.errstate(over="ignore"):
-            name = np.add.reduceat(mix64(who.view(np.uint64) * np.uint64(2) + upper), first)
-        rest = live & (size > 2)
-        rest[np.setdiff1d(np.arange(len(first)), np.unique(name, return_index=True)[1])] = False
-        r = rest[run]
-        yield pd.DataFrame({"star": False, "bucket": name.view(np.int64)[run[r]], "u": who[r], "v": 0, "upper": upper[r]})
+        one = b["keys"].isna()
+        yield b.loc[one, ["doc_id", "n", "sketch"]].assign(kind="document", bucket=0, u=b["key"][one], v=0, upper=False)
+        b = b[~one]
+        take(by_part, b)
+    for kind, bucket, u, v, upper in gathered(by_part):
+        yield pd.DataFrame(plain | {"kind": kind, "bucket": bucket, "u": u, "v": v, "upper": upper})
 
 
 def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in read_blocks(batches):
         for rows in pieces_of(frame):
-            of, sh = shingle_sets([t.translate(DOWN) if not t.isascii() else t.lower() for t in rows["text"]])
+            of, sh = shingle_sets(lowered(rows["text"]))
             first, n = bounds(of, len(rows))
             yield pd.DataFrame({"key": set_keys(of, sh, len(rows)), "set": [sh[a : a + k].tobytes() for a, k in zip(first, n)]})
 
@@ -256,20 +248,22 @@ def verify(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def verified(pairs: DataFrame, sized: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of distinct pairs (u, v) of set keys, those that link. sized: key, n, sketch, rep (a document that has the set)."""
-    side = lambda x: sized.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), *[F.col(f"s{i}").alias(f"{x}{i}") for i in range(SKETCH_WORDS)])
-    apart = sum((F.bit_count(F.col(f"u{i}").bitwiseXOR(F.col(f"v{i}"))) for i in range(SKETCH_WORDS)), F.lit(0))
-    good = (9 * apart <= F.col("nu") + F.col("nv")) & (100 * F.least("nu", "nv") >= PERCENT * F.greatest("nu", "nv"))
-    close = settle(pairs.join(side("u"), "u").join(side("v"), "v").where(good).select("u", "v"), "close")
-    salts = F.ceil(F.count(F.lit(1)) / GROUP)
-    centres = close.groupBy("v").agg(salts.cast("int").alias("salts"))
-    asked = close.join(centres, "v").select("u", "v", F.pmod(F.xxhash64("u"), F.col("salts")).cast("int").alias("salt"))
-    asked = asked.unionByName(centres.select(F.col("v").alias("u"), "v", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")))
-    needed = close.select(F.col("u").alias("key")).union(close.select(F.col("v").alias("key"))).distinct()
-    reps = sized.join(needed, "key", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
-    texts = docs.join(reps, docs["doc_id"].eqNullSafe(reps["doc_id"]), "left_semi")
-    sets = texts.select("doc_id", "text").mapInPandas(sets_of, "key long, set binary").dropDuplicates(["key"])
-    return settle(asked.join(sets, asked["u"] == sets["key"]).select("u", "v", "salt", "set").groupBy("v", "salt").applyInPandas(verify, "u long, v long"), "linked")
+    """Of distinct pairs (u, v) of set keys, those that link. sized: key, and rep, a document that has the set."""
+    centres = pairs.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("salts"))
+    asked = pairs.join(centres, "v").select("u", "v", F.pmod(F.xxhash64("u"), F.col("salts")).cast("int").alias("salt"))
+    asked = settle(asked.unionByName(centres.select(F.col("v").alias("u"), "v", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))), "asked")
+    reps = settle(sized.join(asked.select(F.col("u").alias("key")).distinct(), "key", "left_semi").select(F.col("rep").alias("doc_id")).distinct(), "reps")
+    hint = F.broadcast if reps.count() <= BROADCAST_ROWS else (lambda d: d)
+    texts = docs.join(hint(reps), docs["doc_id"].eqNullSafe(reps["doc_id"]), "left_semi")
+    sets = texts.select("text").mapInPandas(sets_of, "key long, set binary")
+    hint = F.broadcast if asked.count() <= BROADCAST_ROWS else (lambda d: d)
+    return settle(sets.join(hint(asked), asked["u"] == sets["key"]).select("u", "v", "salt", "set").groupBy("v", "salt").applyInPandas(verify, "u long, v long"), "linked")
+
+
+def roots_of(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """pairs with ru and rv, the roots of u and v."""
+    of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
+    return pairs.select("u", "v").join(of("u"), "u", "left").join(of("v"), "v", "left").select("u", "v", F.coalesce("ru", "u").alias("ru"), F.coalesce("rv", "v").alias("rv"))
 
 
 def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -282,25 +276,32 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     spark = docs.sparkSession
     rows = docs.select(docs[doc_id].alias("doc_id"), F.coalesce(docs[text], F.lit("")).alias("text"))
     kind = docs.schema[doc_id].dataType.simpleString()
-    schema = f"doc_id {kind}, key long, n long, " + ", ".join(f"s{i} long" for i in range(SKETCH_WORDS))
-    known = settle(rows.mapInPandas(profile, schema), "sets")
-    sized = settle(known.where("n > 0").groupBy("key").agg(F.first("n").alias("n"), *[F.first(f"s{i}").alias(f"s{i}") for i in range(SKETCH_WORDS)], F.min("doc_id").alias("rep")), "sized")
     parts = partitions(spark)
-    packed = rows.select("text").mapInPandas(index(parts), "part int, keys binary, at binary, sets binary").repartition(parts, "part")
-    found = settle(packed.mapInPandas(buckets, "star boolean, bucket long, u long, v long, upper boolean"), "buckets")
-    stars = verified(found.where("star").select("u", "v").distinct(), sized, rows)
-    first = components(stars)
-    members = found.where("not star").select("bucket", "u", "upper").distinct()
-    members = members.join(first, members["u"] == first["node"], "left").select("bucket", "u", "upper", F.coalesce("root", "u").alias("root"))
+    dealt = rows.mapInPandas(index(parts), f"doc_id {kind}, {PACKED}").repartition(parts, "part")
+    found = settle(dealt.mapInPandas(buckets, f"kind string, doc_id {kind}, bucket long, u long, v long, upper boolean, n long, sketch array<long>"), "buckets")
+    known = found.where("kind = 'document'").select("doc_id", F.col("u").alias("key"), "n", "sketch")
+    sized = settle(known.where("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("rep")), "sized")
+    side = lambda x: sized.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    stars = found.where("kind = 'star'").select("u", "v").distinct().join(side("u"), "u").join(side("v"), "v")
+    stars = settle(stars.where(may_link(F.col("nu"), F.col("nv"), F.col("su"), F.col("sv"))).select("u", "v"), "stars")
+    # first one star of each set
+    links = verified(stars.groupBy("u").agg(F.min("v").alias("v")), sized, rows)
+    roots = components(links)
+    # then what is in different components: other stars, and pairs of larger buckets
+    members = found.where("kind = 'member'").select("bucket", "u", "upper").distinct()
+    members = members.join(roots, members["u"] == roots["node"], "left").select("bucket", "u", "upper", F.coalesce("root", "u").alias("root"))
     split = members.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("bucket")
-    open_ = settle(members.join(split, "bucket", "left_semi"), "open")
-    x = open_.alias("x").join(sized.alias("sx"), F.col("x.u") == F.col("sx.key")).select("bucket", F.col("x.u").alias("u"), "upper", "root", "n", *[f"s{i}" for i in range(SKETCH_WORDS)])
-    x = settle(x, "open-sized")
-    y = x.select("bucket", F.col("u").alias("v"), F.col("upper").alias("upper2"), F.col("root").alias("root2"), F.col("n").alias("n2"), *[F.col(f"s{i}").alias(f"z{i}") for i in range(SKETCH_WORDS)])
-    apart = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"z{i}"))) for i in range(SKETCH_WORDS)), F.lit(0))
-    rest = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("u") < F.col("v")) & (F.col("root") != F.col("root2")) & ~(F.col("upper") & F.col("upper2")) & (100 * F.least("n", "n2") >= PERCENT * F.greatest("n", "n2")) & (9 * apart <= F.col("n") + F.col("n2"))).select("u", "v").distinct()
-    more = verified(settle(rest, "rest"), sized, rows)
-    final = components(stars.unionByName(more))
+    x = settle(members.join(split, "bucket", "left_semi").join(side("u"), "u"), "open")
+    y = x.select("bucket", F.col("u").alias("v"), F.col("upper").alias("upper2"), F.col("root").alias("root2"), F.col("nu").alias("nv"), F.col("su").alias("sv"))
+    inner = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("u") < F.col("v")) & (F.col("root") != F.col("root2")) & ~(F.col("upper") & F.col("upper2")) & may_link(F.col("nu"), F.col("nv"), F.col("su"), F.col("sv"))).select("u", "v")
+    ordered = lambda d: d.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    rest = settle(roots_of(ordered(inner.unionByName(stars)).distinct(), roots).where("ru <> rv"), "rest")
+    # of these one for each two components, and at last all that are still apart
+    one = rest.groupBy(F.least("ru", "rv").alias("a"), F.greatest("ru", "rv").alias("b")).agg(F.min(F.struct("u", "v")).alias("p")).select("p.u", "p.v")
+    links = settle(links.unionByName(verified(one, sized, rows)), "links")
+    roots = components(links)
+    last = settle(roots_of(rest, roots).where("ru <> rv").select("u", "v").join(one, ["u", "v"], "left_anti"), "last")
+    final = components(links.unionByName(verified(last, sized, rows)))
     rooted = known.join(final, known["key"] == final["node"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("root", "key")).alias("root"))
     rooted = settle(rooted, "rooted")
     least = rooted.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))

@@ -31,7 +31,7 @@ SHINGLE, PERCENT = 5, 80
 SPACES = np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 #: What a bucket of empty segments costs, in index entries.
 EMPTY_COST = 50
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 3_000_000
 #: Members verified against one centre in one group.
 GROUP = 512
 #: Ids of documents, and pairs, up to so many are broadcast, else joined by shuffle.

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buckets import gathered, packed, take
+from .buckets import packed
 from .common import BYTES_DOWN, mix64, partitions, settle, word_hashes
 from .components import components
 
@@ -24,7 +24,7 @@ MIN_WORDS, HAMMING, PERCENT = 5, 3, 80
 BETWEEN = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
 #: Blocks of the 64 bits, of which all but HAMMING agree, by the number of entries. Any choice finds the same pairs.
 BLOCKS = ((20_000_000, 5), (2_000_000_000, 6), (None, 7))
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 3_000_000
 GROUP, BROADCAST_ROWS = 512, 500_000
 #: For each byte, its bits as counters of 8 bits.
 SPREAD = sum(((np.arange(256, dtype=np.uint64) >> np.uint64(b)) & np.uint64(1)) << np.uint64(8 * b) for b in range(8))
@@ -100,7 +100,7 @@ def index(parts: int, blocks: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            sim, names = b["sim"].to_numpy(np.int64).view(np.uint64), b["key"].to_numpy(np.int64)
+            sim, names = b["sim"].to_numpy(np.int64).view(np.uint64), b[["key", "sim"]].to_numpy(np.int64)
             keys = [mix64(mix64(sim & np.uint64(m)) + np.uint64(i)) for i, m in enumerate(choices)]
             who = np.tile(np.arange(len(b)), len(choices))
             yield pd.DataFrame(packed(who, np.concatenate(keys), np.zeros(len(who), bool), names, parts), columns=["part", "keys", "at", "sets"])
@@ -108,12 +108,50 @@ def index(parts: int, blocks: int):
     return run
 
 
+def close_pairs(key: np.ndarray, sim: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of one bucket, members in order of their keys: (u, v) of each with the first before it that is near, and all
+    that are near to any, if one is near to several."""
+    n = len(key)
+    first, more = np.full(n, -1), np.zeros(n, np.int64)
+    for a in range(0, n, 1024):
+        rows = slice(a, min(a + 1024, n))
+        near = np.bitwise_count(sim[rows, None] ^ sim[None, :]) <= HAMMING
+        more[rows] = near.sum(1) - 1
+        before = near & (np.arange(n)[None, :] < np.arange(n)[rows, None])
+        has = before.any(1)
+        first[rows] = np.where(has, before.argmax(1), -1)
+    u = np.flatnonzero(first >= 0)
+    return key[u], key[first[u]], key[(more > 0) & (more.max() > 1)]
+
+
 def buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """star: (u, v), members of a bucket within HAMMING bits, each with one; member: (bucket, u) where there are more."""
     by_part: dict[int, list] = {}
     for b in batches:
-        take(by_part, b)
-    for kind, bucket, u, v, _ in gathered(by_part):
-        yield pd.DataFrame({"kind": kind, "bucket": bucket, "u": u, "v": v})
+        for p, k, at, sets in zip(b["part"], b["keys"], b["at"], b["sets"]):
+            by_part.setdefault(p, []).append((np.frombuffer(k, np.uint32), np.frombuffer(sets, np.int64).reshape(-1, 2)[np.frombuffer(at, np.uint32) >> 1]))
+    for p in sorted(by_part):
+        block, who = (np.concatenate(x) for x in zip(*by_part.pop(p)))
+        order = np.lexsort((who[:, 0], block))
+        block, key, sim = block[order], who[order, 0], who[order, 1].view(np.uint64)
+        first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+        size = np.diff(np.r_[first, len(block)])
+        two = first[size == 2]
+        near = two[np.bitwise_count(sim[two] ^ sim[two + 1]) <= HAMMING]
+        us, vs, names, members = [key[near + 1]], [key[near]], [], []
+        seen = set()
+        for a, n in zip(first[size > 2], size[size > 2]):
+            u, v, m = close_pairs(key[a : a + n], sim[a : a + n])
+            us.append(u)
+            vs.append(v)
+            if len(m) > 2 and (same := m.tobytes()) not in seen:
+                seen.add(same)
+                names.append(np.full(len(m), mix64(m.view(np.uint64)).sum().view(np.int64)))
+                members.append(m)
+        pairs = np.unique(np.stack([np.concatenate(us), np.concatenate(vs)], 1), axis=0)
+        yield pd.DataFrame({"kind": "star", "bucket": 0, "u": pairs[:, 0], "v": pairs[:, 1]})
+        if members:
+            yield pd.DataFrame({"kind": "member", "bucket": np.concatenate(names), "u": np.concatenate(members), "v": 0})
 
 
 def words_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -142,17 +180,28 @@ def edits(a: list[int], b: list[int]) -> int:
     return score
 
 
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the edit similarity is PERCENT or more: bounds first, then the distance of what lies between equal ends."""
+    most = (100 - PERCENT) * max(len(a), len(b)) // 100
+    if len(a) == len(b) and np.count_nonzero(a != b) <= most:
+        return True
+    n = min(len(a), len(b))
+    unlike = np.flatnonzero(a[:n] != b[:n])
+    head = int(unlike[0]) if len(unlike) else n
+    unlike = np.flatnonzero(a[len(a) - (n - head) :][::-1] != b[len(b) - (n - head) :][::-1])
+    tail = int(unlike[0]) if len(unlike) else n - head
+    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
+    if max(len(a), len(b)) <= most:
+        return True
+    return edits(a.tolist(), b.tolist()) <= most
+
+
 def verify(rows: pd.DataFrame) -> pd.DataFrame:
     """A centre (u = v) and lines to hold against it: the pairs that link."""
     centre = (rows["u"] == rows["v"]).to_numpy()
-    own = np.frombuffer(rows["words"][centre].iloc[0], np.uint64).tolist()
+    own = np.frombuffer(rows["words"][centre].iloc[0], np.uint64)
     rest = rows[~centre].drop_duplicates("u")
-    good = []
-    for w in rest["words"]:
-        other = np.frombuffer(w, np.uint64).tolist()
-        most = max(len(own), len(other))
-        good.append(100 * edits(own, other) <= (100 - PERCENT) * most)
-    return rest.loc[np.array(good, bool), ["u", "v"]]
+    return rest.loc[np.array([alike(own, np.frombuffer(w, np.uint64)) for w in rest["words"]], bool), ["u", "v"]]
 
 
 def verified(pairs: DataFrame, known: DataFrame, docs: DataFrame) -> DataFrame:

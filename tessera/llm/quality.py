@@ -25,6 +25,8 @@ SAMPLE = 12_000
 #: Words and beginnings in the model, at most, of those in LEAST labelled documents or more.
 TERMS, LEAST = 4096, 8
 BEGINNINGS = (4, 5, 6)
+#: Ridge on the weights of shape and of terms, for quality (which shape tells) and toxicity (which terms tell).
+RIDGES = {"q": (1e-4, 1e-2), "t": (1e-3, 3e-4)}
 MEMO = 500_000
 #: How much a site's log odds count beside a document's own.
 SITE_WEIGHT = 0.5
@@ -67,7 +69,8 @@ def list_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         for text, q, t in zip(b["text"], b["quality"], b["toxic"]):
             own = sorted({x for w in shape(text)[1] for x in terms_of(w)})
-            yield pd.DataFrame({"term": own, "q": int(q == 1), "t": int(t == 1)})
+            if own:
+                yield pd.DataFrame({"term": own, "q": int(q == 1), "t": int(t == 1)})
 
 
 def chosen(sample: DataFrame) -> list[str]:
@@ -86,7 +89,7 @@ def chosen(sample: DataFrame) -> list[str]:
     return [r["term"] for r in counts.orderBy(F.desc(F.greatest(g("q"), g("t"))), "term").limit(TERMS).select("term").collect()]
 
 
-def fit(dense: np.ndarray, rows: np.ndarray, cols: np.ndarray, y: np.ndarray, terms: int, steps: int = 250, ridge: float = 3e-4) -> np.ndarray:
+def fit(dense: np.ndarray, rows: np.ndarray, cols: np.ndarray, y: np.ndarray, terms: int, ridge: tuple[float, float] = (1e-4, 1e-2), steps: int = 250) -> np.ndarray:
     """Weights of intercept, dense columns and terms: logistic regression with a ridge, by Adam on all rows."""
     n = len(y)
     w = np.zeros(1 + dense.shape[1] + terms)
@@ -98,7 +101,7 @@ def fit(dense: np.ndarray, rows: np.ndarray, cols: np.ndarray, y: np.ndarray, te
     for i in range(1, steps + 1):
         z = w[0] + dense @ w[1 : 1 + dense.shape[1]] + np.bincount(rows, weights=w[1 + dense.shape[1] :][cols], minlength=n)
         e = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / n
-        grad = np.r_[e.sum(), e @ dense, np.bincount(cols, weights=e[rows], minlength=terms)] + ridge * np.r_[0, w[1:]]
+        grad = np.r_[e.sum(), e @ dense, np.bincount(cols, weights=e[rows], minlength=terms)] + np.r_[0, ridge[0] * w[1 : 1 + dense.shape[1]], ridge[1] * w[1 + dense.shape[1] :]]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w -= 0.1 * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.999**i)) + 1e-8)
     return w
@@ -123,7 +126,7 @@ def model(sample: DataFrame) -> dict:
     rows = np.repeat(np.arange(len(got)), got["hits"].map(len))
     cols = np.concatenate([np.asarray(h, np.int64) for h in got["hits"]])
     k = dense.shape[1]
-    both = [fit((dense - centre) / scale, rows, cols, (got[c] == 1).to_numpy(float), len(terms)) for c in ("q", "t")]
+    both = [fit((dense - centre) / scale, rows, cols, (got[c] == 1).to_numpy(float), len(terms), RIDGES[c]) for c in ("q", "t")]
     return {"centre": centre, "scale": scale, "start": [w[0] for w in both], "dense": [w[1 : 1 + k] for w in both], "terms": {t: (both[0][1 + k + i], both[1][1 + k + i]) for t, i in place.items()}}
 
 

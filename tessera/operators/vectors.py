@@ -40,6 +40,7 @@ def nearest(rows: DataFrame, codebook: DataFrame, by: str = "label", v: str = "v
 def by_blocks(left: DataFrame, right: DataFrame, compare: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, n_left: int, n_right: int, key: str = "id") -> DataFrame:
     """compare(block of left, block of right) for all pairs of blocks: all pairs of rows, in dense pieces of bounded size."""
     a, b = max(1, math.ceil(n_left / BLOCK)), max(1, math.ceil(n_right / BLOCK))
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])  # columns of its own, if both sides are one table
     x = left.withColumn("__a", F.pmod(F.xxhash64(key), F.lit(a))).withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
     y = right.withColumn("__b", F.pmod(F.xxhash64(key), F.lit(b))).withColumn("__a", F.explode(F.sequence(F.lit(0), F.lit(a - 1))))
     kinds = lambda d: d.withColumns({"__a": F.col("__a").cast("int"), "__b": F.col("__b").cast("int")})

@@ -18,13 +18,31 @@ def shared_folder(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tessera-shared").rstrip("/")
 
 
+#: Rows that go to Python at a time while a table is written: texts may be long, and workers' memory is bounded.
+ARROW_ROWS, ARROW_CONF = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, and outlives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    spark = df.sparkSession
+    path, before = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", spark.conf.get(ARROW_CONF)
+    spark.conf.set(ARROW_CONF, str(min(ARROW_ROWS, int(before)) if int(before) > 0 else ARROW_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(ARROW_CONF, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Written tables up to so many rows are broadcast in joins, larger ones shuffled.
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A written table, marked to be broadcast if its rows are few enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z only. lower() does just that, and faster, where all characters are ASCII; it would also change other letters."""
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

@@ -30,7 +30,7 @@ SPACE, END, PAD = 0x20, 0x09, 0x0A
 SYMBOLS = 252
 BLOCK = 100_000
 #: So many of the most frequent words are broadcast to the documents, the others joined by shuffle.
-FREQUENT = 65_536
+FREQUENT = 262_144
 CLASS_BITS = np.uint64(0xFF << 56)
 
 

@@ -73,17 +73,30 @@ def normalised(confusion: DataFrame) -> DataFrame:
     return confusion.join(rows, "a").select("a", "b", "n", F.round(F.col("n") / F.col("r"), 6).alias("share"))
 
 
+def running_total(rows: DataFrame, n: str, order: str, by: list[str] = [], pieces: int = 64) -> DataFrame:  # noqa: B006
+    """rows with upto: the sum of n over rows of up to this value of order, within by.
+
+    The range of values is cut at approximate quantiles; a window holds one piece, and the pieces' sums are added.
+    """
+    edges = rows.approxQuantile(order, [i / pieces for i in range(1, pieces)], 0.002)
+    piece = F.size(F.filter(F.array(*map(F.lit, sorted(set(edges)))), lambda e: e < F.col(order))) if edges else F.lit(0)
+    x = rows.withColumn("__piece", piece)
+    sums = x.groupBy(*by, "__piece").agg(F.sum(n).alias("__s"))
+    before = sums.select(*by, "__piece", (F.sum("__s").over(Window.partitionBy(*by).orderBy("__piece")) - F.col("__s")).alias("__before"))  # at most "pieces" rows of each
+    inner = F.sum(n).over(Window.partitionBy(*by, "__piece").orderBy(order))
+    return x.withColumn("__inner", inner).join(F.broadcast(before), [*by, "__piece"]).withColumn("upto", F.col("__before") + F.col("__inner")).drop("__piece", "__inner", "__before")
+
+
 def rank_sums(rows: DataFrame, group: str, value: str) -> DataFrame:
     """a, b, n_a, n_b, w (rank sum of a, mean ranks for ties), z, p (two-sided) of every two groups.
 
-    Ranks come from counts of distinct values, so a window holds the distinct values of two groups, not their rows.
+    Ranks come from counts of distinct values, added up in pieces of their range.
     """
     c = rows.groupBy(F.col(group).alias("g"), F.col(value).alias("x")).agg(F.count(F.lit(1)).alias("n"))
     names = c.select("g").distinct()
     pairs = F.broadcast(names.select(F.col("g").alias("a")).join(names.select(F.col("g").alias("b")), F.col("a") < F.col("b")))
     both = c.join(pairs, (F.col("g") == F.col("a")) | (F.col("g") == F.col("b"))).groupBy("a", "b", "x").agg(F.sum(F.when(F.col("g") == F.col("a"), F.col("n")).otherwise(0)).alias("na"), F.sum("n").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("a", "b").orderBy("x"))
-    ranked = both.withColumn("rank", upto - F.col("n") + (F.col("n") + 1) / 2)
+    ranked = running_total(both, "n", "x", ["a", "b"]).withColumn("rank", F.col("upto") - F.col("n") + (F.col("n") + 1) / 2)
     s = ranked.groupBy("a", "b").agg(F.sum("na").alias("n_a"), (F.sum("n") - F.sum("na")).alias("n_b"), F.sum(F.col("rank") * F.col("na")).alias("w"))
     z = (F.col("w") - F.col("n_a") * (F.col("n_a") + F.col("n_b") + 1) / 2) / F.sqrt(F.col("n_a") * F.col("n_b") * (F.col("n_a") + F.col("n_b") + 1) / 12)
     return s.select("a", "b", "n_a", "n_b", "w", F.round(z, 6).alias("z"), (2 * normal_tail(F.abs(z))).alias("p"))
@@ -93,8 +106,8 @@ def signed_rank(pairs: DataFrame, x: str, y: str) -> DataFrame:
     """n, w_plus, w_minus, z of the Wilcoxon signed-rank test of pairs that differ."""
     d = pairs.select((F.col(x) - F.col(y)).alias("d")).where("d <> 0").withColumn("m", F.round(F.abs("d"), 9))
     c = d.groupBy("m").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("d") > 0, 1).otherwise(0)).alias("up"))
-    rank = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("m")) - F.col("n") + (F.col("n") + 1) / 2
-    s = c.withColumn("rank", rank).agg(F.sum("n").alias("n"), F.sum(F.col("rank") * F.col("up")).alias("w_plus"), F.sum(F.col("rank") * (F.col("n") - F.col("up"))).alias("w_minus"))
+    ranked = running_total(c, "n", "m").withColumn("rank", F.col("upto") - F.col("n") + (F.col("n") + 1) / 2)
+    s = ranked.agg(F.sum("n").alias("n"), F.sum(F.col("rank") * F.col("up")).alias("w_plus"), F.sum(F.col("rank") * (F.col("n") - F.col("up"))).alias("w_minus"))
     n = F.col("n")
     return s.select("n", "w_plus", "w_minus", F.round((F.least("w_plus", "w_minus") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24), 6).alias("z"))
 

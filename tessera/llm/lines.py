@@ -1,8 +1,10 @@
 """Fuzzy line deduplication.
 
 Lines are normalised to words, equal ones are one entry, and each entry has a 64-bit SimHash of its words. Entries
-within HAMMING bits of each other agree in all bits of some choice of blocks (pigeonhole), which gives the candidates;
-those whose edit similarity over words is 0.8 or more link. One occurrence of each connected group stays: the first.
+within HAMMING bits of each other agree in all bits of some choice of blocks (pigeonhole), which gives the candidates.
+Common words rule that hash, so unrelated long lines may come near; a second SimHash, of word pairs, tells these apart:
+it has to be within PAIR_HAMMING bits, far from the half that unrelated lines differ in. Candidates whose edit
+similarity over words is 0.8 or more link. One occurrence of each connected group stays: the first.
 """
 
 from __future__ import annotations
@@ -16,16 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import packed
-from .common import BYTES_DOWN, mix64, partitions, settle, word_hashes
+from .common import BYTES_DOWN, mix64, partitions, settle, small, word_hashes
 from .components import components
 
-MIN_WORDS, HAMMING, PERCENT = 5, 3, 80
+MIN_WORDS, HAMMING, PAIR_HAMMING, PERCENT = 5, 3, 22, 80
 #: Between words of a line: ASCII that is neither letter nor digit.
 BETWEEN = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
 #: Blocks of the 64 bits, of which all but HAMMING agree, by the number of entries. Any choice finds the same pairs.
 BLOCKS = ((20_000_000, 5), (2_000_000_000, 6), (None, 7))
-BLOCK_BYTES = 3_000_000
-GROUP, BROADCAST_ROWS = 512, 500_000
+BLOCK_BYTES = 1_500_000
 #: For each byte, its bits as counters of 8 bits.
 SPREAD = sum(((np.arange(256, dtype=np.uint64) >> np.uint64(b)) & np.uint64(1)) << np.uint64(8 * b) for b in range(8))
 
@@ -88,10 +89,17 @@ def lowered(rows: pd.DataFrame) -> list[bytes]:
     return [t.encode().translate(BYTES_DOWN) for t in rows["text"]]
 
 
+def word_pairs(words: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A hash of each word and the next of its line; the last word stands with none."""
+    follow = np.r_[words[1:], np.zeros(min(1, len(words)), np.uint64)]
+    follow[first + n - 1] = 0
+    return mix64(words ^ (follow << np.uint64(1)) ^ (follow >> np.uint64(63)))
+
+
 def list_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows in read(batches):
         text, line, first, n, words = entry_lines(lowered(rows))
-        yield pd.DataFrame({"doc_id": rows["doc_id"].iloc[text].to_numpy(), "text_hash": rows["text_hash"].to_numpy()[text], "line": line, "key": line_keys(words, first, n), "n": n, "sim": simhash(words, first, n).view(np.int64)})
+        yield pd.DataFrame({"doc_id": rows["doc_id"].iloc[text].to_numpy(), "text_hash": rows["text_hash"].to_numpy()[text], "line": line, "key": line_keys(words, first, n), "n": n, "sim": simhash(words, first, n).view(np.int64), "pairs": simhash(word_pairs(words, first, n), first, n).view(np.int64)})
 
 
 def index(parts: int, blocks: int):
@@ -100,7 +108,7 @@ def index(parts: int, blocks: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            sim, names = b["sim"].to_numpy(np.int64).view(np.uint64), b[["key", "sim"]].to_numpy(np.int64)
+            sim, names = b["sim"].to_numpy(np.int64).view(np.uint64), b[["key", "sim", "pairs"]].to_numpy(np.int64)
             keys = [mix64(mix64(sim & np.uint64(m)) + np.uint64(i)) for i, m in enumerate(choices)]
             who = np.tile(np.arange(len(b)), len(choices))
             yield pd.DataFrame(packed(who, np.concatenate(keys), np.zeros(len(who), bool), names, parts), columns=["part", "keys", "at", "sets"])
@@ -108,56 +116,80 @@ def index(parts: int, blocks: int):
     return run
 
 
+def are_near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of hashes (..., 2): within HAMMING bits by words and PAIR_HAMMING by word pairs."""
+    return (np.bitwise_count(a[..., 0] ^ b[..., 0]) <= HAMMING) & (np.bitwise_count(a[..., 1] ^ b[..., 1]) <= PAIR_HAMMING)
+
+
 def close_pairs(key: np.ndarray, sim: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of one bucket, members in order of their keys: (u, v) of each with the first before it that is near, and all
-    that are near to any, if one is near to several."""
+    that are near to any, with their hashes, if one is near to several."""
     n = len(key)
     first, more = np.full(n, -1), np.zeros(n, np.int64)
-    for a in range(0, n, 1024):
-        rows = slice(a, min(a + 1024, n))
-        near = np.bitwise_count(sim[rows, None] ^ sim[None, :]) <= HAMMING
+    for a in range(0, n, 512):
+        rows = slice(a, min(a + 512, n))
+        near = are_near(sim[rows, None], sim[None, :])
         more[rows] = near.sum(1) - 1
         before = near & (np.arange(n)[None, :] < np.arange(n)[rows, None])
-        has = before.any(1)
-        first[rows] = np.where(has, before.argmax(1), -1)
+        first[rows] = np.where(before.any(1), before.argmax(1), -1)
     u = np.flatnonzero(first >= 0)
-    return key[u], key[first[u]], key[(more > 0) & (more.max() > 1)]
+    some = (more > 0) & (more.max() > 1)
+    return key[u], key[first[u]], np.c_[key[some], sim[some].view(np.int64)]
+
+
+def worth_a_look(sim: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which buckets have any two members near to each other; small ones are compared all of a size at once."""
+    out = size > 32
+    for n in np.unique(size[(size > 1) & ~out]):
+        at = np.flatnonzero(size == n)
+        for part in np.array_split(at, max(1, len(at) * n * n // 2_000_000)):
+            x = sim[first[part][:, None] + np.arange(n)]
+            out[part] = are_near(x[:, :, None], x[:, None, :]).sum((1, 2)) > n
+    return out
 
 
 def buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """star: (u, v), members of a bucket within HAMMING bits, each with one; member: (bucket, u) where there are more."""
+    """star: (u, v), members of a bucket that are near, each with one; member: (bucket, u, its hashes as v and w) where
+    there are more."""
     by_part: dict[int, list] = {}
     for b in batches:
         for p, k, at, sets in zip(b["part"], b["keys"], b["at"], b["sets"]):
-            by_part.setdefault(p, []).append((np.frombuffer(k, np.uint32), np.frombuffer(sets, np.int64).reshape(-1, 2)[np.frombuffer(at, np.uint32) >> 1]))
+            by_part.setdefault(p, []).append((np.frombuffer(k, np.uint32), np.frombuffer(sets, np.int64).reshape(-1, 3)[np.frombuffer(at, np.uint32) >> 1]))
     for p in sorted(by_part):
         block, who = (np.concatenate(x) for x in zip(*by_part.pop(p)))
-        order = np.lexsort((who[:, 0], block))
-        block, key, sim = block[order], who[order, 0], who[order, 1].view(np.uint64)
+        order = np.argsort(block, kind="stable")
+        again = np.r_[block[order][1:] == block[order][:-1], False]
+        order = order[again | np.r_[False, again[:-1]]]  # blocks that are not alone
+        order = order[np.lexsort((who[order, 0], block[order]))]
+        block, key, sim = block[order], who[order, 0], who[order, 1:].view(np.uint64)
+        if not len(block):
+            continue
         first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
         size = np.diff(np.r_[first, len(block)])
-        two = first[size == 2]
-        near = two[np.bitwise_count(sim[two] ^ sim[two + 1]) <= HAMMING]
-        us, vs, names, members = [key[near + 1]], [key[near]], [], []
+        look = worth_a_look(sim, first, size)
+        us, vs, names, members = [], [], [], []
         seen = set()
-        for a, n in zip(first[size > 2], size[size > 2]):
+        for a, n in zip(first[look], size[look]):
             u, v, m = close_pairs(key[a : a + n], sim[a : a + n])
             us.append(u)
             vs.append(v)
             if len(m) > 2 and (same := m.tobytes()) not in seen:
                 seen.add(same)
-                names.append(np.full(len(m), mix64(m.view(np.uint64)).sum().view(np.int64)))
+                names.append(np.full(len(m), mix64(m[:, 0].view(np.uint64)).sum().view(np.int64)))
                 members.append(m)
-        pairs = np.unique(np.stack([np.concatenate(us), np.concatenate(vs)], 1), axis=0)
-        yield pd.DataFrame({"kind": "star", "bucket": 0, "u": pairs[:, 0], "v": pairs[:, 1]})
+        if us:
+            pairs = np.unique(np.stack([np.concatenate(us), np.concatenate(vs)], 1), axis=0)
+            yield pd.DataFrame({"kind": "star", "bucket": 0, "u": pairs[:, 0], "v": pairs[:, 1], "w": 0})
         if members:
-            yield pd.DataFrame({"kind": "member", "bucket": np.concatenate(names), "u": np.concatenate(members), "v": 0})
+            both = np.concatenate(members)
+            yield pd.DataFrame({"kind": "member", "bucket": np.concatenate(names), "u": both[:, 0], "v": both[:, 1], "w": both[:, 2]})
 
 
 def words_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows in read(batches):
         _, _, first, n, words = entry_lines(lowered(rows))
-        yield pd.DataFrame({"key": line_keys(words, first, n), "words": [words[a : a + k].tobytes() for a, k in zip(first, n)]})
+        if len(n):
+            yield pd.DataFrame({"key": line_keys(words, first, n), "words": [words[a : a + k].tobytes() for a, k in zip(first, n)]})
 
 
 def edits(a: list[int], b: list[int]) -> int:
@@ -183,6 +215,8 @@ def edits(a: list[int], b: list[int]) -> int:
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether the edit similarity is PERCENT or more: bounds first, then the distance of what lies between equal ends."""
     most = (100 - PERCENT) * max(len(a), len(b)) // 100
+    if abs(len(a) - len(b)) > most:
+        return False
     if len(a) == len(b) and np.count_nonzero(a != b) <= most:
         return True
     n = min(len(a), len(b))
@@ -193,32 +227,33 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     a, b = a[head : len(a) - tail], b[head : len(b) - tail]
     if max(len(a), len(b)) <= most:
         return True
+    if len(a) > 64 and max(len(a), len(b)) - shared(a, b) > most:
+        return False
     return edits(a.tolist(), b.tolist()) <= most
 
 
-def verify(rows: pd.DataFrame) -> pd.DataFrame:
-    """A centre (u = v) and lines to hold against it: the pairs that link."""
-    centre = (rows["u"] == rows["v"]).to_numpy()
-    own = np.frombuffer(rows["words"][centre].iloc[0], np.uint64)
-    rest = rows[~centre].drop_duplicates("u")
-    return rest.loc[np.array([alike(own, np.frombuffer(w, np.uint64)) for w in rest["words"]], bool), ["u", "v"]]
+def shared(a: np.ndarray, b: np.ndarray) -> int:
+    """How many words of a have one of their own in b."""
+    words, of = np.unique(np.r_[a, b], return_inverse=True)
+    return int(np.minimum(np.bincount(of[: len(a)], minlength=len(words)), np.bincount(of[len(a) :], minlength=len(words))).sum())
+
+
+def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        good = [alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(b["x"], b["y"])]
+        yield b.loc[np.array(good, bool), ["u", "v"]]
 
 
 def verified(pairs: DataFrame, known: DataFrame, docs: DataFrame) -> DataFrame:
-    side = lambda x: known.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("sim").alias(f"s{x}"))
-    near = (F.bit_count(F.col("su").bitwiseXOR(F.col("sv"))) <= HAMMING) & (100 * F.least("nu", "nv") >= PERCENT * F.greatest("nu", "nv"))
-    close = settle(pairs.join(side("u"), "u").join(side("v"), "v").where(near).select("u", "v"), "close")
-    centres = close.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("salts"))
-    asked = close.join(centres, "v").select("u", "v", F.pmod(F.xxhash64("u"), F.col("salts")).cast("int").alias("salt"))
-    asked = settle(asked.unionByName(centres.select(F.col("v").alias("u"), "v", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))), "asked")
-    needed = close.select(F.col("u").alias("key")).union(close.select(F.col("v").alias("key"))).distinct()
-    reps = settle(known.join(needed, "key", "left_semi").select(F.col("rep.doc_id").alias("__d"), F.col("rep.text_hash").alias("__h")).distinct(), "reps")
-    hint = F.broadcast if reps.count() <= BROADCAST_ROWS else (lambda d: d)
-    texts = docs.join(hint(reps), docs["doc_id"].eqNullSafe(reps["__d"]) & (docs["text_hash"] == reps["__h"]), "left_semi")
-    words = texts.select("text").mapInPandas(words_of, "key long, words binary")
-    hint = F.broadcast if asked.count() <= BROADCAST_ROWS else (lambda d: d)
-    both = words.join(hint(asked), asked["u"] == words["key"]).select("u", "v", "salt", "words")
-    return settle(both.groupBy("v", "salt").applyInPandas(verify, "u long, v long"), "linked")
+    """Of distinct pairs (u, v) of entries, a written table, those that are alike."""
+    if pairs.isEmpty():
+        return docs.sparkSession.createDataFrame([], "u long, v long")
+    needed = settle(pairs.select(F.col("u").alias("key")).union(pairs.select(F.col("v").alias("key"))).distinct(), "needed")
+    reps = settle(known.join(small(needed), "key", "left_semi").select(F.col("rep.doc_id").alias("__d"), F.col("rep.text_hash").alias("__h")).distinct(), "reps")
+    texts = docs.join(small(reps), docs["doc_id"].eqNullSafe(reps["__d"]) & (docs["text_hash"] == reps["__h"]), "left_semi")
+    words = settle(texts.select("text").mapInPandas(words_of, "key long, words binary").join(small(needed), "key", "left_semi").dropDuplicates(["key"]), "words")
+    side = lambda k, w: words.select(F.col("key").alias(k), F.col("words").alias(w))
+    return settle(pairs.join(side("u", "x"), "u").join(side("v", "y"), "v").mapInPandas(verify, "u long, v long"), "linked")
 
 
 def repeated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -226,28 +261,31 @@ def repeated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") ->
     spark = docs.sparkSession
     rows = docs.select(docs[doc_id].alias("doc_id"), F.xxhash64(docs[text]).alias("text_hash"), F.coalesce(docs[text], F.lit("")).alias("text"))
     kind = docs.schema[doc_id].dataType.simpleString()
-    listed = settle(rows.mapInPandas(list_lines, f"doc_id {kind}, text_hash long, line int, key long, n int, sim long"), "lines")
+    listed = settle(rows.mapInPandas(list_lines, f"doc_id {kind}, text_hash long, line int, key long, n int, sim long, pairs long"), "lines")
     place = F.struct("doc_id", "text_hash", "line")
-    known = settle(listed.groupBy("key").agg(F.first("n").alias("n"), F.first("sim").alias("sim"), F.min(place).alias("rep")), "entries")
+    known = settle(listed.groupBy("key").agg(F.first("n").alias("n"), F.first("sim").alias("sim"), F.first("pairs").alias("pairs"), F.min(place).alias("rep")), "entries")
     count = known.count()
     blocks = next(b for most, b in BLOCKS if most is None or count <= most)
     parts = partitions(spark)
-    dealt = known.select("key", "sim").mapInPandas(index(parts, blocks), "part int, keys binary, at binary, sets binary").repartition(parts, "part")
-    found = settle(dealt.mapInPandas(buckets, "kind string, bucket long, u long, v long"), "buckets")
-    stars = verified(found.where("kind = 'star'").select("u", "v").distinct(), known, rows)
+    dealt = known.select("key", "sim", "pairs").mapInPandas(index(parts, blocks), "part int, keys binary, at binary, sets binary").repartition(parts, "part")
+    found = settle(dealt.mapInPandas(buckets, "kind string, bucket long, u long, v long, w long"), "buckets")
+    stars = verified(settle(found.where("kind = 'star'").select("u", "v").distinct(), "stars"), known, rows)
     first = components(stars)
-    members = found.where("kind = 'member'").select("bucket", "u").distinct()
-    members = members.join(first, members["u"] == first["node"], "left").select("bucket", "u", F.coalesce("root", "u").alias("root"))
+    members = found.where("kind = 'member'").select("bucket", "u", F.col("v").alias("sim"), F.col("w").alias("pairs")).distinct()
+    members = members.join(first, members["u"] == first["node"], "left").select("bucket", "u", "sim", "pairs", F.coalesce("root", "u").alias("root"))
     split = members.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("bucket")
-    x = settle(members.join(split, "bucket", "left_semi").join(known.select(F.col("key").alias("u"), "n", "sim"), "u"), "open")
-    y = x.select("bucket", F.col("u").alias("v"), F.col("root").alias("root2"), F.col("n").alias("n2"), F.col("sim").alias("sim2"))
-    near = (F.bit_count(F.col("sim").bitwiseXOR(F.col("sim2"))) <= HAMMING) & (100 * F.least("n", "n2") >= PERCENT * F.greatest("n", "n2"))
+    x = settle(members.join(split, "bucket", "left_semi"), "open")
+    y = x.select("bucket", F.col("u").alias("v"), F.col("root").alias("root2"), F.col("sim").alias("sim2"), F.col("pairs").alias("pairs2"))
+    near = (F.bit_count(F.col("sim").bitwiseXOR(F.col("sim2"))) <= HAMMING) & (F.bit_count(F.col("pairs").bitwiseXOR(F.col("pairs2"))) <= PAIR_HAMMING)
     rest = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("u") < F.col("v")) & (F.col("root") != F.col("root2")) & near).select("u", "v").distinct()
-    more = verified(settle(rest, "rest"), known, rows)
+    tried = found.where("kind = 'star'").select(F.greatest("u", "v").alias("v"), F.least("u", "v").alias("u")).distinct()
+    more = verified(settle(rest.join(tried, ["u", "v"], "left_anti"), "rest"), known, rows)
     final = components(stars.unionByName(more))
-    rooted = known.join(final, known["key"] == final["node"], "left").select("key", F.coalesce("root", "key").alias("root"), "rep")
-    keep = rooted.groupBy("root").agg(F.min("rep").alias("keep"))
-    kept = settle(rooted.select("key", "root").join(keep, "root").select("key", "keep"), "kept")
+    # entries that are alone keep their first occurrence; of a group the first of all does
+    grouped = settle(final.unionByName(final.select(F.col("root").alias("node"), "root").distinct()), "grouped")
+    rooted = settle(known.join(small(grouped), known["key"] == grouped["node"]).select("key", "root", "rep"), "rooted")
+    keep = settle(rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("keep")), "root").select("key", "keep"), "keep")
+    kept = known.select("key", "rep").join(small(keep), "key", "left").select("key", F.coalesce("keep", "rep").alias("keep"))
     drop = listed.join(kept, "key").where(~place.eqNullSafe(F.col("keep")))
     return drop.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("line")).alias("lines"))
 

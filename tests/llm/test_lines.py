@@ -50,6 +50,7 @@ def brute(docs):
     flat = " \n".join(" ".join(e) for e in entries).encode()
     _, _, first, n, hashed = lines.entry_lines([flat]) if entries else (0, 0, np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.uint64))
     sims = [int(x) for x in lines.simhash(hashed, first, n)]
+    pairs = [int(x) for x in lines.simhash(lines.word_pairs(hashed, first, n), first, n)]
     up = list(range(len(entries)))
 
     def root(i):
@@ -59,7 +60,7 @@ def brute(docs):
 
     for i, a in enumerate(entries):
         for j, b in enumerate(entries[:i]):
-            if (sims[i] ^ sims[j]).bit_count() <= lines.HAMMING and 100 * plain_edits(a, b) <= 20 * max(len(a), len(b)):
+            if (sims[i] ^ sims[j]).bit_count() <= lines.HAMMING and (pairs[i] ^ pairs[j]).bit_count() <= lines.PAIR_HAMMING and 100 * plain_edits(a, b) <= 20 * max(len(a), len(b)):
                 up[root(i)] = root(j)
     groups = {}
     for i, e in enumerate(entries):

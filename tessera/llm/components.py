@@ -23,6 +23,8 @@ def to_smallest(links: DataFrame, larger_only: bool) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """links (u, v), any order and repetition -> (node, root): the smallest node of its component, for all but the roots."""
     now = settle(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    if now.isEmpty():
+        return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     mark = None
     while True:
         now = settle(to_smallest(to_smallest(now, True), False), "links")

@@ -31,7 +31,9 @@ SHINGLE, PERCENT = 5, 80
 SPACES = np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 #: What a bucket of empty segments costs, in index entries.
 EMPTY_COST = 50
-BLOCK_BYTES = 3_000_000
+BLOCK_BYTES = 1_500_000
+#: Index entries held before they are dealt out: the more, the larger the packed rows.
+HELD = 1_000_000
 #: Members verified against one centre in one group.
 GROUP = 512
 #: Ids of documents, and pairs, up to so many are broadcast, else joined by shuffle.
@@ -195,7 +197,15 @@ def index(parts: int):
     """Two kinds of rows. Documents: doc_id, set key, size, sketch. Index entries, packed: one row for each block and
     part, with keys (32 bits), set keys, and which is whose."""
 
+    def dealt(held: list[tuple]) -> Iterator[pd.DataFrame]:
+        if held:
+            text, key, upper, names = (np.concatenate(x) for x in zip(*held))
+            out = [(None, *x, 0, 0, None) for x in packed(text, key, upper, names, parts)]
+            if out:
+                yield pd.DataFrame(out, columns=["doc_id", "part", "keys", "at", "sets", "key", "n", "sketch"])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, names, entries_held = [], 0, 0
         for frame in read_blocks(batches):
             for rows in pieces_of(frame):
                 texts = lowered(rows["text"])
@@ -207,8 +217,12 @@ def index(parts: int):
                 once[np.unique(keys, return_index=True)[1]] = True
                 new = once[of]
                 text, key, upper = entries(of[new], sh[new], len(texts))
-                out = [(None, *x, 0, 0, None) for x in packed(text, key, upper, keys, parts)]
-                yield pd.DataFrame(out, columns=["doc_id", "part", "keys", "at", "sets", "key", "n", "sketch"])
+                held.append((text + names, key, upper, keys))
+                names, entries_held = names + len(keys), entries_held + len(key)
+                if entries_held >= HELD:
+                    yield from dealt(held)
+                    held, names, entries_held = [], 0, 0
+        yield from dealt(held)
 
     return run
 
@@ -249,6 +263,8 @@ def verify(rows: pd.DataFrame) -> pd.DataFrame:
 
 def verified(pairs: DataFrame, sized: DataFrame, docs: DataFrame) -> DataFrame:
     """Of distinct pairs (u, v) of set keys, those that link. sized: key, and rep, a document that has the set."""
+    if pairs.isEmpty():
+        return docs.sparkSession.createDataFrame([], "u long, v long")
     centres = pairs.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("salts"))
     asked = pairs.join(centres, "v").select("u", "v", F.pmod(F.xxhash64("u"), F.col("salts")).cast("int").alias("salt"))
     asked = settle(asked.unionByName(centres.select(F.col("v").alias("u"), "v", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))), "asked")

@@ -115,16 +115,16 @@ def model(sample: DataFrame) -> dict:
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             both = [shape(t) for t in b["text"]]
-            hits = [[place[x] for w in count for x in terms_of(w) if x in place] for _, count in both]
-            yield pd.DataFrame({"dense": [d for d, _ in both], "hits": hits, "q": b["quality"], "t": b["toxic"]})
+            hits = [np.array([place[x] for w in count for x in terms_of(w) if x in place], np.int32).tobytes() for _, count in both]
+            yield pd.DataFrame({"dense": [np.array(d).tobytes() for d, _ in both], "hits": hits, "q": b["quality"], "t": b["toxic"]})
 
-    got = sample.mapInPandas(features, "dense array<double>, hits array<int>, q int, t int").toPandas()
+    got = sample.mapInPandas(features, "dense binary, hits binary, q int, t int").toPandas()
     if not len(got):
         return {}
-    dense = np.stack(got["dense"].to_numpy()).astype(float)
+    dense = np.frombuffer(b"".join(got["dense"])).reshape(len(got), -1)
     centre, scale = dense.mean(0), dense.std(0) + 1e-6
-    rows = np.repeat(np.arange(len(got)), got["hits"].map(len))
-    cols = np.concatenate([np.asarray(h, np.int64) for h in got["hits"]])
+    rows = np.repeat(np.arange(len(got), dtype=np.int32), got["hits"].map(len) // 4)
+    cols = np.frombuffer(b"".join(got["hits"]), np.int32)
     k = dense.shape[1]
     both = [fit((dense - centre) / scale, rows, cols, (got[c] == 1).to_numpy(float), len(terms), RIDGES[c]) for c in ("q", "t")]
     return {"centre": centre, "scale": scale, "start": [w[0] for w in both], "dense": [w[1 : 1 + k] for w in both], "terms": {t: (both[0][1 + k + i], both[1][1 + k + i]) for t, i in place.items()}}

@@ -1,31 +1,36 @@
 """Fuzzy line deduplication.
 
-Lines are normalised to words, equal ones are one entry, and each entry has a 64-bit SimHash of its words. Entries
-within HAMMING bits of each other agree in all bits of some choice of blocks (pigeonhole), which gives the candidates.
-Common words rule that hash, so unrelated long lines may come near; a second SimHash, of word pairs, tells these apart:
-it has to be within PAIR_HAMMING bits, far from the half that unrelated lines differ in. Candidates whose edit
-similarity over words is 0.8 or more link. One occurrence of each connected group stays: the first.
+Lines are normalised to words and equal ones are one entry. Entries whose edit similarity over words is 0.8 or more link,
+and every such pair is found: an edit changes two word pairs at most, so lines of n words at most and t edits share n - 2t
+word pairs, and both have one of these among their first when pairs are put in one order (prefix filter). That order is
+from rare to common as far as a sample tells; what is found does not depend on it. Members of a bucket are candidates
+where lengths allow it and the parities of their words (each edit flips two bits at most) do; these are exact bounds.
+One occurrence of each connected group stays: the first.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buckets import packed
 from .common import BYTES_DOWN, mix64, partitions, settle, small, word_hashes
 from .components import components
 
-MIN_WORDS, HAMMING, PAIR_HAMMING, PERCENT = 5, 3, 22, 80
+#: HAMMING, PAIR_HAMMING: SimHashes are no bound any more, all 64 bits may differ.
+MIN_WORDS, HAMMING, PAIR_HAMMING, PERCENT = 5, 64, 64, 80
+#: Lines of fewer words are alike only if they are equal.
+NEAR_WORDS = -(-100 // (100 - PERCENT)) - 1
 #: Between words of a line: ASCII that is neither letter nor digit.
 BETWEEN = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
-#: Blocks of the 64 bits, of which all but HAMMING agree, by the number of entries. Any choice finds the same pairs.
-BLOCKS = ((20_000_000, 5), (2_000_000_000, 6), (None, 7))
+#: Documents that tell how common word pairs are, and how many common pairs are known to all.
+SAMPLE, COMMON = 20_000, 100_000
+#: Bits of a parity, in longs; larger buckets than ALL_PAIRS are tried by stars first.
+PARITY, ALL_PAIRS = 4, 32
+PARITIES = [f"p{i}" for i in range(PARITY)]
 BLOCK_BYTES = 1_500_000
 #: For each byte, its bits as counters of 8 bits.
 SPREAD = sum(((np.arange(256, dtype=np.uint64) >> np.uint64(b)) & np.uint64(1)) << np.uint64(8 * b) for b in range(8))
@@ -96,93 +101,151 @@ def word_pairs(words: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarra
     return mix64(words ^ (follow << np.uint64(1)) ^ (follow >> np.uint64(63)))
 
 
+def parities(words: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Of runs of words: 64 * PARITY bits, each set where an odd number of words fall on it."""
+    out = np.zeros((len(first), PARITY), np.uint64)
+    if len(words):
+        bit = np.uint64(1) << (words & np.uint64(63))
+        where = (words >> np.uint64(6)) % np.uint64(PARITY)
+        for i in range(PARITY):
+            out[:, i] = np.bitwise_xor.reduceat(np.where(where == i, bit, np.uint64(0)), first)
+    return out
+
+
 def list_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows in read(batches):
         text, line, first, n, words = entry_lines(lowered(rows))
-        yield pd.DataFrame({"doc_id": rows["doc_id"].iloc[text].to_numpy(), "text_hash": rows["text_hash"].to_numpy()[text], "line": line, "key": line_keys(words, first, n), "n": n, "sim": simhash(words, first, n).view(np.int64), "pairs": simhash(word_pairs(words, first, n), first, n).view(np.int64)})
+        bits = parities(words, first, n).view(np.int64)
+        yield pd.DataFrame({"doc_id": rows["doc_id"].iloc[text].to_numpy(), "text_hash": rows["text_hash"].to_numpy()[text], "line": line, "key": line_keys(words, first, n), "n": n} | {p: bits[:, i] for i, p in enumerate(PARITIES)})
 
 
-def index(parts: int, blocks: int):
-    edges = np.linspace(0, 64, blocks + 1).astype(int)
-    choices = [sum(((1 << int(b - a)) - 1) << int(a) for a, b in (edges[i : i + 2] for i in c)) for c in combinations(range(blocks), blocks - HAMMING)]
+def count_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for rows in read(batches):
+        _, _, first, n, words = entry_lines(lowered(rows))
+        pair, count = np.unique(word_pairs(words, first, n), return_counts=True)
+        yield pd.DataFrame({"pair": pair.view(np.int64), "c": count})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            sim, names = b["sim"].to_numpy(np.int64).view(np.uint64), b[["key", "sim", "pairs"]].to_numpy(np.int64)
-            keys = [mix64(mix64(sim & np.uint64(m)) + np.uint64(i)) for i, m in enumerate(choices)]
-            who = np.tile(np.arange(len(b)), len(choices))
-            yield pd.DataFrame(packed(who, np.concatenate(keys), np.zeros(len(who), bool), names, parts), columns=["part", "keys", "at", "sets"])
 
-    return run
+def common_pairs(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Common word pairs, sorted, and how common: 1 to 255, on a scale of logarithms."""
+    every = max(1, rows.count() // SAMPLE)
+    counted = rows.where(F.pmod("text_hash", F.lit(every)) == 0).mapInPandas(count_pairs, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c"))
+    got = counted.where("c > 2").orderBy(F.desc("c"), "pair").limit(COMMON).toPandas()
+    pair = got["pair"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(pair)
+    return pair[order], np.minimum(8 * np.log2(got["c"].to_numpy(float)), 255).astype(np.uint64)[order]
 
 
-def are_near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Of hashes (..., 2): within HAMMING bits by words and PAIR_HAMMING by word pairs."""
-    return (np.bitwise_count(a[..., 0] ^ b[..., 0]) <= HAMMING) & (np.bitwise_count(a[..., 1] ^ b[..., 1]) <= PAIR_HAMMING)
-
-
-def close_pairs(key: np.ndarray, sim: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of one bucket, members in order of their keys: (u, v) of each with the first before it that is near, and all
-    that are near to any, with their hashes, if one is near to several."""
-    n = len(key)
-    first, more = np.full(n, -1), np.zeros(n, np.int64)
-    for a in range(0, n, 512):
-        rows = slice(a, min(a + 512, n))
-        near = are_near(sim[rows, None], sim[None, :])
-        more[rows] = near.sum(1) - 1
-        before = near & (np.arange(n)[None, :] < np.arange(n)[rows, None])
-        first[rows] = np.where(before.any(1), before.argmax(1), -1)
-    u = np.flatnonzero(first >= 0)
-    some = (more > 0) & (more.max() > 1)
-    return key[u], key[first[u]], np.c_[key[some], sim[some].view(np.int64)]
-
-
-def worth_a_look(sim: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Which buckets have any two members near to each other; small ones are compared all of a size at once."""
-    out = size > 32
-    for n in np.unique(size[(size > 1) & ~out]):
-        at = np.flatnonzero(size == n)
-        for part in np.array_split(at, max(1, len(at) * n * n // 2_000_000)):
-            x = sim[first[part][:, None] + np.arange(n)]
-            out[part] = are_near(x[:, :, None], x[:, None, :]).sum((1, 2)) > n
-    return out
+def edits_allowed(n):
+    return (100 - PERCENT) * n // 100
+
+
+def prefixes(words: np.ndarray, first: np.ndarray, n: np.ndarray, common: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(line, word pair, its first and last place): distinct pairs of each line of which lines that are alike have one in
+    common that no edit touches."""
+    if not len(words):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    longer = np.arange(n.max() * 100 // PERCENT + 10)
+    shared = np.minimum.accumulate((longer - 2 * edits_allowed(longer))[::-1])[::-1]  # with this line or a longer one
+    take = np.where(n >= NEAR_WORDS, n - np.maximum(shared[n], 1) + 1, 0)
+    pair = word_pairs(words, first, n)
+    line = np.repeat(np.arange(len(n)), n)
+    at = np.zeros(len(pair), np.uint64)
+    if len(common):
+        i = np.minimum(np.searchsorted(common, pair), len(common) - 1)
+        at = np.where(common[i] == pair, rank[i], np.uint64(0))
+    order = np.argsort(line.astype(np.uint64) << np.uint64(40) | at << np.uint64(32) | pair & np.uint64(0xFFFFFFFF), kind="stable")
+    kept = np.arange(len(pair)) - np.repeat(first, n) < np.repeat(take, n)
+    place, pair, line = (order - np.repeat(first, n))[kept], pair[order][kept], line[kept]
+    new = np.r_[True, (pair[1:] != pair[:-1]) | (line[1:] != line[:-1])] if len(pair) else np.zeros(0, bool)
+    return line[new], pair[new], place[new], place[np.r_[new[1:], True] if len(new) else new]
+
+
+#: What a bucket knows of a member: a word pair's lower half, words, places of the pair, 48 bits of parity, entry.
+ROW = [("pair", "u4"), ("n", "u2"), ("lo", "u2"), ("hi", "u2"), ("few", "u2"), ("more", "u4"), ("key", "i8")]
+CAP = 65535
+
+
+def may_be_alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bounds on edits of members of one bucket, a no longer than b: by length, by what lies before and behind the pair, by parity."""
+    n, m = a["n"].astype(np.int64), b["n"].astype(np.int64)
+    most, short = edits_allowed(m), m - n
+    after = a["lo"].astype(np.int64) - b["hi"]
+    ahead = b["lo"].astype(np.int64) - a["hi"] - short
+    moved = short + 2 * np.maximum(0, np.maximum(after, ahead)) <= most
+    flips = np.bitwise_count(a["few"] ^ b["few"]).astype(np.int64) + np.bitwise_count(a["more"] ^ b["more"])
+    return (short <= most) & ((m == CAP) | (moved & (flips <= 2 * most)))
+
+
+def index(parts: int, shared):
+    """(part, rows): members of buckets as ROW."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in read(batches):
+            _, _, first, n, words = entry_lines(lowered(rows))
+            key = line_keys(words, first, n)
+            line, pair, lo, hi = prefixes(words, first, n, *shared.value)
+            odd = np.bitwise_xor.reduceat(np.uint64(1) << (words % np.uint64(48)), first) if len(words) else np.zeros(0, np.uint64)
+            once = np.zeros(len(key), bool)
+            once[np.unique(key, return_index=True)[1]] = True
+            line, pair, lo, hi = (x[once[line]] for x in (line, pair, lo, hi))
+            part = ((pair >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            own = np.empty(len(order), ROW)
+            own["pair"], own["n"], own["key"] = (pair & np.uint64(0xFFFFFFFF))[order], np.minimum(n, CAP)[line[order]], key[line[order]]
+            own["lo"], own["hi"] = np.minimum(lo, CAP)[order], np.minimum(hi, CAP)[order]
+            own["few"], own["more"] = (odd & np.uint64(0xFFFF))[line[order]], (odd >> np.uint64(16))[line[order]]
+            edge = np.searchsorted(part[order], np.arange(parts + 1))
+            yield pd.DataFrame([(p, own[a:b].tobytes()) for p, (a, b) in enumerate(zip(edge, edge[1:])) if b > a], columns=["part", "rows"])
+
+    return run
 
 
 def buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """star: (u, v), members of a bucket that are near, each with one; member: (bucket, u, its hashes as v and w) where
-    there are more."""
+    """pair: (u, v) of one bucket whose lengths may be alike: all, or in large buckets each with one; member: (bucket, u)
+    of large ones."""
     by_part: dict[int, list] = {}
     for b in batches:
-        for p, k, at, sets in zip(b["part"], b["keys"], b["at"], b["sets"]):
-            by_part.setdefault(p, []).append((np.frombuffer(k, np.uint32), np.frombuffer(sets, np.int64).reshape(-1, 3)[np.frombuffer(at, np.uint32) >> 1]))
+        for p, rows in zip(b["part"], b["rows"]):
+            by_part.setdefault(p, []).append(np.frombuffer(rows, ROW))
     for p in sorted(by_part):
-        block, who = (np.concatenate(x) for x in zip(*by_part.pop(p)))
-        order = np.argsort(block, kind="stable")
-        again = np.r_[block[order][1:] == block[order][:-1], False]
-        order = order[again | np.r_[False, again[:-1]]]  # blocks that are not alone
-        order = order[np.lexsort((who[order, 0], block[order]))]
-        block, key, sim = block[order], who[order, 0], who[order, 1:].view(np.uint64)
-        if not len(block):
+        rows = np.concatenate(by_part.pop(p))
+        rows = rows[np.argsort(rows["pair"], kind="stable")]
+        again = np.r_[rows["pair"][1:] == rows["pair"][:-1], False]
+        rows = rows[again | np.r_[False, again[:-1]]]  # buckets of one are left out
+        rows = rows[np.lexsort((rows["key"], rows["n"], rows["pair"]))]
+        if not len(rows):
             continue
-        first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-        size = np.diff(np.r_[first, len(block)])
-        look = worth_a_look(sim, first, size)
-        us, vs, names, members = [], [], [], []
-        seen = set()
-        for a, n in zip(first[look], size[look]):
-            u, v, m = close_pairs(key[a : a + n], sim[a : a + n])
-            us.append(u)
-            vs.append(v)
-            if len(m) > 2 and (same := m.tobytes()) not in seen:
+        pair, n, key = rows["pair"], rows["n"].astype(np.int64), rows["key"]
+        new = np.r_[True, (pair[1:] != pair[:-1]) | (key[1:] != key[:-1])]
+        rows, pair, n, key = rows[new], pair[new], n[new], key[new]
+        first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
+        size = np.diff(np.r_[first, len(pair)])
+        us, vs, names, members, seen = [], [], [], [], set()
+        for k in np.unique(size[(size > 1) & (size <= ALL_PAIRS)]):
+            i, j = np.triu_indices(k, 1)
+            at = first[size == k]
+            for part in np.array_split(at, len(at) * len(i) // 2_000_000 + 1):
+                a, b = (part[:, None] + i).ravel(), (part[:, None] + j).ravel()
+                good = may_be_alike(rows[a], rows[b])
+                us.append(key[a[good]])
+                vs.append(key[b[good]])
+        for a, k in zip(first[size > ALL_PAIRS], size[size > ALL_PAIRS]):
+            own, length = key[a : a + k], n[a : a + k]
+            least = np.searchsorted(length, length - edits_allowed(length))
+            far = least < np.arange(k)
+            us.append(own[far])
+            vs.append(own[least[far]])
+            who = np.sort(own)
+            if (same := who.tobytes()) not in seen:
                 seen.add(same)
-                names.append(np.full(len(m), mix64(m[:, 0].view(np.uint64)).sum().view(np.int64)))
-                members.append(m)
+                names.append(np.full(k, mix64(who.view(np.uint64)).sum().view(np.int64)))
+                members.append(who)
         if us:
-            pairs = np.unique(np.stack([np.concatenate(us), np.concatenate(vs)], 1), axis=0)
-            yield pd.DataFrame({"kind": "star", "bucket": 0, "u": pairs[:, 0], "v": pairs[:, 1], "w": 0})
+            u, v = np.concatenate(us), np.concatenate(vs)
+            pairs = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], 1), axis=0)
+            yield pd.DataFrame({"kind": "pair", "bucket": 0, "u": pairs[:, 0], "v": pairs[:, 1]})
         if members:
-            both = np.concatenate(members)
-            yield pd.DataFrame({"kind": "member", "bucket": np.concatenate(names), "u": both[:, 0], "v": both[:, 1], "w": both[:, 2]})
+            yield pd.DataFrame({"kind": "member", "bucket": np.concatenate(names), "u": np.concatenate(members), "v": 0})
 
 
 def words_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -261,24 +324,27 @@ def repeated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") ->
     spark = docs.sparkSession
     rows = docs.select(docs[doc_id].alias("doc_id"), F.xxhash64(docs[text]).alias("text_hash"), F.coalesce(docs[text], F.lit("")).alias("text"))
     kind = docs.schema[doc_id].dataType.simpleString()
-    listed = settle(rows.mapInPandas(list_lines, f"doc_id {kind}, text_hash long, line int, key long, n int, sim long, pairs long"), "lines")
+    bits = ", ".join(f"{p} long" for p in PARITIES)
+    listed = settle(rows.mapInPandas(list_lines, f"doc_id {kind}, text_hash long, line int, key long, n int, {bits}"), "lines")
     place = F.struct("doc_id", "text_hash", "line")
-    known = settle(listed.groupBy("key").agg(F.first("n").alias("n"), F.first("sim").alias("sim"), F.first("pairs").alias("pairs"), F.min(place).alias("rep")), "entries")
-    count = known.count()
-    blocks = next(b for most, b in BLOCKS if most is None or count <= most)
+    known = settle(listed.groupBy("key").agg(*(F.first(c).alias(c) for c in ("n", *PARITIES)), F.min(place).alias("rep")), "entries")
     parts = partitions(spark)
-    dealt = known.select("key", "sim", "pairs").mapInPandas(index(parts, blocks), "part int, keys binary, at binary, sets binary").repartition(parts, "part")
-    found = settle(dealt.mapInPandas(buckets, "kind string, bucket long, u long, v long, w long"), "buckets")
-    stars = verified(settle(found.where("kind = 'star'").select("u", "v").distinct(), "stars"), known, rows)
+    shared = spark.sparkContext.broadcast(common_pairs(rows))
+    dealt = rows.mapInPandas(index(parts, shared), "part int, rows binary").repartition(parts, "part")
+    found = settle(dealt.mapInPandas(buckets, "kind string, bucket long, u long, v long"), "buckets")
+    tried = found.where("kind = 'pair'").select("u", "v").distinct()
+    side = lambda u, x: known.select(F.col("key").alias(u), *(F.col(c).alias(f"{x}_{c}") for c in ("n", *PARITIES)))
+    most = (F.lit(100 - PERCENT) * F.greatest("x_n", "y_n") / 100).cast("int")
+    flips = sum((F.bit_count(F.col(f"x_{p}").bitwiseXOR(F.col(f"y_{p}"))) for p in PARITIES), F.lit(0))
+    near = (F.abs(F.col("x_n") - F.col("y_n")) <= most) & (flips <= 2 * most)
+    stars = verified(settle(tried.join(side("u", "x"), "u").join(side("v", "y"), "v").where(near).select("u", "v"), "stars"), known, rows)
     first = components(stars)
-    members = found.where("kind = 'member'").select("bucket", "u", F.col("v").alias("sim"), F.col("w").alias("pairs")).distinct()
-    members = members.join(first, members["u"] == first["node"], "left").select("bucket", "u", "sim", "pairs", F.coalesce("root", "u").alias("root"))
+    members = found.where("kind = 'member'").select("bucket", "u").distinct()
+    members = members.join(first, members["u"] == first["node"], "left").select("bucket", "u", F.coalesce("root", "u").alias("root"))
     split = members.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("bucket")
-    x = settle(members.join(split, "bucket", "left_semi"), "open")
-    y = x.select("bucket", F.col("u").alias("v"), F.col("root").alias("root2"), F.col("sim").alias("sim2"), F.col("pairs").alias("pairs2"))
-    near = (F.bit_count(F.col("sim").bitwiseXOR(F.col("sim2"))) <= HAMMING) & (F.bit_count(F.col("pairs").bitwiseXOR(F.col("pairs2"))) <= PAIR_HAMMING)
-    rest = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("u") < F.col("v")) & (F.col("root") != F.col("root2")) & near).select("u", "v").distinct()
-    tried = found.where("kind = 'star'").select(F.greatest("u", "v").alias("v"), F.least("u", "v").alias("u")).distinct()
+    x = settle(members.join(split, "bucket", "left_semi").join(side("u", "x"), "u"), "open")
+    y = x.select("bucket", F.col("u").alias("v"), F.col("root").alias("root2"), *(F.col(f"x_{c}").alias(f"y_{c}") for c in ("n", *PARITIES)))
+    rest = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("u") > F.col("v")) & (F.col("root") != F.col("root2")) & near).select("u", "v").distinct()
     more = verified(settle(rest.join(tried, ["u", "v"], "left_anti"), "rest"), known, rows)
     final = components(stars.unionByName(more))
     # entries that are alone keep their first occurrence; of a group the first of all does

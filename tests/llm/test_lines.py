@@ -98,3 +98,22 @@ def test_repeated_rows_and_empty_table(spark):
     got = sorted(((r["doc_id"] is None, r["doc_id"], r["text"]) for r in lines.without_repeated_lines(df).collect()), key=str)
     assert len(got) == 4 and sum(t == a for *_, t in got) in (1, 2)
     assert lines.without_repeated_lines(df.limit(0)).count() == 0
+
+
+def test_finds_all_pairs_of_edit_similarity(spark):
+    """Edit similarity alone decides: lines that are alike but far apart by SimHash, of many lengths, among common words."""
+    rng = random.Random(4)
+    vocab = [f"v{i}" for i in range(3000)]
+    docs, want = [], 0
+    for n in (5, 9, 10, 14, 20, 33, 60, 150):
+        for _ in range(12):
+            a = [rng.choice(vocab[:40] if rng.random() < 0.5 else vocab) for _ in range(n)]
+            b = list(a)
+            for _ in range(n // 5):
+                at = rng.randrange(len(b))
+                rng.choice([lambda: b.__setitem__(at, rng.choice(vocab)), lambda: b.insert(at, rng.choice(vocab)), lambda: b.pop(at)])()
+            alike = len(b) >= lines.MIN_WORDS and 100 * plain_edits(a, b) <= 20 * max(len(a), len(b))
+            want += alike
+            docs += [(2 * len(docs), " ".join(a)), (2 * len(docs) + 1, " ".join(b))]
+    df = spark.createDataFrame([(*x, "", "") for x in docs], SCHEMA)
+    assert sum(r["__dropped"] for r in lines.without_repeated_lines(df).collect()) == want > 80

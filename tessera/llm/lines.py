@@ -10,6 +10,7 @@ One occurrence of each connected group stays: the first.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,11 +22,14 @@ from .common import BYTES_DOWN, mix64, partitions, settle, small, word_hashes
 from .components import components
 
 #: HAMMING, PAIR_HAMMING: SimHashes are no bound any more, all 64 bits may differ.
-MIN_WORDS, HAMMING, PAIR_HAMMING, PERCENT = 5, 64, 64, 80
+MIN_WORDS, HAMMING, PAIR_HAMMING, PERCENT = 1, 64, 64, 80
 #: Lines of fewer words are alike only if they are equal.
 NEAR_WORDS = -(-100 // (100 - PERCENT)) - 1
 #: Between words of a line: ASCII that is neither letter nor digit.
 BETWEEN = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
+#: Beyond ASCII: spaces and punctuation, which part words too, and letters of scripts without spaces, each a word.
+GAPS = re.compile("[\u00a0\u00ab\u00bb\u2000-\u206f\u3000-\u3004\u3008-\u3020\u3030\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
+UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff])")
 #: Documents that tell how common word pairs are, and how many common pairs are known to all.
 SAMPLE, COMMON = 20_000, 100_000
 #: Bits of a parity, in longs; larger buckets than ALL_PAIRS are tried by stars first.
@@ -91,7 +95,8 @@ def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def lowered(rows: pd.DataFrame) -> list[bytes]:
-    return [t.encode().translate(BYTES_DOWN) for t in rows["text"]]
+    spaced = lambda t: t if t.isascii() else UNSPACED.sub(r" \1 ", GAPS.sub(" ", t))
+    return [spaced(t).encode().translate(BYTES_DOWN) for t in rows["text"]]
 
 
 def word_pairs(words: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -359,8 +364,8 @@ def repeated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") ->
 def without_repeated_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with each group of alike lines left only where it first stands (least doc_id, then text hash, then place).
 
-    Lines are what line feeds part; those of fewer than MIN_WORDS words (letters, digits and all beyond ASCII; A-Z
-    lower-cased) always stay. Null and empty texts stay as they are. Rows that repeat a whole document are one
+    Lines are what line feeds part; only those without a word always stay. Words are letters, digits and all beyond
+    ASCII but its spaces and punctuation, A-Z lower-cased; in scripts without spaces each letter is one. Null and empty texts stay as they are. Rows that repeat a whole document are one
     document. An empty table gives an empty one; all columns are kept. __lines and __dropped count what was and went.
     """
     found = settle(repeated(docs, doc_id=doc_id, text=text).select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h"), F.col("lines").alias("__l")), "dropped")

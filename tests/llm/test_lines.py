@@ -117,3 +117,13 @@ def test_finds_all_pairs_of_edit_similarity(spark):
             docs += [(2 * len(docs), " ".join(a)), (2 * len(docs) + 1, " ".join(b))]
     df = spark.createDataFrame([(*x, "", "") for x in docs], SCHEMA)
     assert sum(r["__dropped"] for r in lines.without_repeated_lines(df).collect()) == want > 80
+
+
+def test_short_and_unspaced_lines(spark):
+    chinese = "今天的天气非常好我们一起去公园散步吧"
+    texts = ["theand thble reingwh thorin", "one", chinese, "你好，世界。", "---"]
+    near = "one two three four five", "one two three four"
+    docs = [(1, "\n".join(texts)), (2, "\n".join(texts)), (3, chinese.replace("公园", "湖边")), (4, "one two three fours"), (5, near[0]), (6, near[1])]
+    df = spark.createDataFrame([(*x, "", "") for x in docs], SCHEMA)
+    got = {r["doc_id"]: r["text"] for r in lines.without_repeated_lines(df).collect()}
+    assert got == {1: docs[0][1], 2: "---", 3: "", 4: "one two three fours", 5: near[0], 6: ""}

@@ -7,6 +7,7 @@ assigned by an expression or an Arrow batch. Bounded samples that a driver works
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from . import vectors
 
 FIT, WARD = 20_000, 1_500
+#: Rows of which a silhouette is taken in refine, as in the reference.
+SCORED = 5_000
 
 
 def sampled(rows: DataFrame, most: int, by: str | None = None, key: str = "id") -> DataFrame:
@@ -533,13 +536,27 @@ class Refined:
         return spark.createDataFrame(self.log, "step int, kind string, a int, b int, silhouette double, vocabulary int")
 
 
+def written(rows: DataFrame) -> DataFrame:
+    """Write rows to the shared folder and read them back, which cuts their lineage."""
+    spark = rows.sparkSession
+    folder = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tessera-shared").rstrip("/")
+    path = f"{folder}/refined-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def scored(rows: DataFrame) -> DataFrame:
+    """Silhouettes of SCORED rows among each other: all pairs of rows are compared."""
+    return vectors.silhouettes(sampled(rows.where("token >= 0"), SCORED), "token")
+
+
 def score(rows: DataFrame) -> float:
-    r = vectors.silhouettes(rows, "token").agg(F.avg("s")).first()[0]
+    r = scored(rows).agg(F.avg("s")).first()[0]
     return float("nan") if r is None else float(r)
 
 
 def refine(rows: DataFrame, label: str = "label", rounds: int = 2, drop: float = 0.02, prune_below: int = 20, split_below: float = 0.0, add_above: float = 0.95, locked: tuple[int, ...] = (), v: str = "v") -> Refined:
-    """Split, merge, add and prune clusters of bounded rows: each change is kept only if the silhouette allows it.
+    """Split, merge, add and prune clusters of all rows: each change is kept only if the silhouette (of SCORED rows) allows it.
 
     Merge: the closest pair of centres within the lowest decile of their distances, while the silhouette falls by no more
     than drop. Split: the cluster of the worst silhouette, in two, if the whole gets no worse than 0.01. Add: what is
@@ -547,21 +564,21 @@ def refine(rows: DataFrame, label: str = "label", rounds: int = 2, drop: float =
     the nearest centre, in one pass. Labels are replaced by plans over the ones before and written out in each round.
     """
     spark = rows.sparkSession
-    fixed = lambda d: spark.createDataFrame(d.select("id", "v", "token").collect(), "id long, v array<double>, token int")  # noqa: E731  WARD rows at most
-    now = fixed(sampled(rows.select("id", F.col(v).alias("v"), F.col(label).cast("int").alias("token")), WARD))
+    fixed = lambda d: written(d.select("id", "v", F.col("token").cast("int").alias("token")))
+    now = fixed(rows.select("id", F.col(v).alias("v"), F.col(label).alias("token")))
     log: list[tuple] = []
     size = lambda d: d.where("token >= 0").select("token").distinct().count()
     s = score(now)
     log.append((0, "seed", -1, -1, s, size(now)))
     for step in range(1, rounds + 1):
         changed = False
-        worst = vectors.silhouettes(now, "token").groupBy("token").agg(F.avg("s").alias("s"), F.count(F.lit(1)).alias("n")).where((F.col("s") < split_below) & (F.col("n") >= 2 * prune_below)).orderBy("s", "token").first()
+        sizes = now.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+        worst = scored(now).groupBy("token").agg(F.avg("s").alias("s")).join(sizes, "token").where((F.col("s") < split_below) & (F.col("n") >= 2 * prune_below)).orderBy("s", "token").first()
         if worst and worst["token"] not in locked:
-            own = now.where(F.col("token") == worst["token"]).toPandas()
-            _, two = lloyd(np.stack(own["v"].to_numpy()), 2)
+            own = now.where(F.col("token") == worst["token"]).drop("token")
             new = now.agg(F.max("token")).first()[0] + 1
-            moved = spark.createDataFrame([(int(i),) for i in own["id"][two == 1]] or [(-1,)], "m long")
-            then = fixed(now.join(F.broadcast(moved), F.col("id") == F.col("m"), "left").withColumn("token", F.when(F.col("m").isNotNull(), new).otherwise(F.col("token"))))
+            moved = kmeans(own, 2).where("token = 1").select(F.col("id").alias("m"))
+            then = fixed(now.join(moved, F.col("id") == F.col("m"), "left").withColumn("token", F.when(F.col("m").isNotNull(), new).otherwise(F.col("token"))))
             if (t := score(then)) >= s - 0.01:
                 now, s, changed = then, t, True
                 log.append((step, "split", worst["token"], new, s, size(now)))
@@ -579,7 +596,7 @@ def refine(rows: DataFrame, label: str = "label", rounds: int = 2, drop: float =
         far = near.where(F.col("dist") > cut).select(F.col("id").alias("m"))
         if far.count() >= 2 * prune_below:
             new = now.agg(F.max("token")).first()[0] + 1
-            then = fixed(now.join(F.broadcast(far), F.col("id") == F.col("m"), "left").withColumn("token", F.when(F.col("m").isNotNull(), new).otherwise(F.col("token"))))
+            then = fixed(now.join(far, F.col("id") == F.col("m"), "left").withColumn("token", F.when(F.col("m").isNotNull(), new).otherwise(F.col("token"))))
             if (t := score(then)) >= max(s, 0.3):
                 now, s, changed = then, t, True
                 log.append((step, "add", new, -1, s, size(now)))

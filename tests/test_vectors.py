@@ -104,3 +104,13 @@ def test_padding(spark):
     assert got == [[1, 3, 2, 2], [1, 2, 3, 4], [0, 0, 0, 0]]
     got = [r[0] for r in df.select(centre_fit(F.col("a"), 4)).collect()]
     assert got == [[2, 1, 3, 2], [2, 3, 4, 5], [0, 0, 0, 0]]
+
+
+def test_refine_labels_all_rows(spark):
+    x, y = blobs([(0, 0), (10, 0), (0, 10)], 700)
+    got = models.refine(frame(spark, x, y), rounds=1).labels
+    assert got.count() == len(x) == 2100 and got.where("token IS NULL OR token < 0").count() == 0
+    # a cluster that is two: all its rows are dealt to the halves
+    x, y = blobs([(0, 0), (6, 0), (3, 0.2)], 800)
+    r = models.refine(frame(spark, x, np.where(y == 1, 0, y)), rounds=1, split_below=0.9)
+    assert "split" in [k for _, k, *_ in r.log] and r.labels.count() == 2400

@@ -435,9 +435,9 @@ def dtw(a: np.ndarray, b: np.ndarray) -> float:
     return float(acc[-1, -1])
 
 
-def dtw_ward(rows: DataFrame, by: str, q: float, most: int = 40, width: int = 4, method: str = "ward", v: str = "v") -> DataFrame:
+def dtw_ward(rows: DataFrame, by: str, q: float, most: int = 400, width: int = 4, method: str = "ward", v: str = "v") -> DataFrame:
     """id, by, proxy: per group, warping distances of its vectors read as series of "width" steps, clustered and cut at the
-    q-quantile of the distances; rows beyond the bounded sample get -1, as "not computed"."""
+    q-quantile of the distances; as in the reference the first "most" rows of a group by id, and -1, "not computed", beyond."""
     def run(p: pd.DataFrame) -> pd.DataFrame:
         x = [np.asarray(a).reshape(width, -1) for a in p[v]]
         n = len(x)
@@ -449,7 +449,8 @@ def dtw_ward(rows: DataFrame, by: str, q: float, most: int = 40, width: int = 4,
         return pd.DataFrame({"id": p["id"], by: p[by], "proxy": linkage_cut(None, None, h, method, d) if n > 1 else np.zeros(n, int)})
 
     t = rows.schema[by].dataType.simpleString()
-    got = sampled(rows.select("id", by, v), most, by).groupBy(by).applyInPandas(run, f"id long, {by} {t}, proxy int")
+    nth = F.row_number().over(Window.partitionBy(by).orderBy("id"))
+    got = rows.select("id", by, v).withColumn("__r", nth).where(F.col("__r") <= most).drop("__r").groupBy(by).applyInPandas(run, f"id long, {by} {t}, proxy int")
     return rows.select("id", by).join(got.select("id", "proxy"), "id", "left").withColumn("proxy", F.coalesce("proxy", F.lit(-1)))
 
 

@@ -114,3 +114,9 @@ def test_refine_labels_all_rows(spark):
     x, y = blobs([(0, 0), (6, 0), (3, 0.2)], 800)
     r = models.refine(frame(spark, x, np.where(y == 1, 0, y)), rounds=1, split_below=0.9)
     assert "split" in [k for _, k, *_ in r.log] and r.labels.count() == 2400
+
+
+def test_dtw_ward_labels_400_of_a_group_in_order(spark):
+    x, y = blobs([(0, 0, 0, 0), (9, 9, 9, 9)], 210)
+    got = models.dtw_ward(frame(spark, x, np.zeros(len(y), int)), "label", 0.05).orderBy("id").collect()
+    assert len(got) == 420 and [r["proxy"] >= 0 for r in got] == [True] * 400 + [False] * 20

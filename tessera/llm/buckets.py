@@ -1,13 +1,16 @@
-"""Buckets of members with a common key, as packed rows: stars, and the members of larger buckets."""
+"""Buckets of members with a common key: packed rows, stars, and what is compared of larger buckets."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import mix64
+from .common import mix64, partitions, settle
+from .components import components
 
 
 def packed(owner: np.ndarray, key: np.ndarray, flag: np.ndarray, names: np.ndarray, parts: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
@@ -61,3 +64,108 @@ def gathered(by_part: dict[int, list]) -> Iterator[tuple[str, np.ndarray | int,
         rest = (live & (size > 2) & once)[run]
         if rest.any():
             yield "member", name.view(np.int64)[run[rest]], who[rest], 0, flag[rest]
+
+
+#: Members of one component in a bucket are compared in pieces of about so many.
+CHUNK = 1024
+#: Members compared at once with all of a piece.
+ROWS_AT_ONCE = 256
+
+
+def open_members(members: DataFrame, roots: DataFrame, sides: DataFrame) -> DataFrame:
+    """Members (bucket, u, upper) of the buckets whose members are in several components, in pieces of bounded size.
+
+    The members of a bucket's largest component are dealt over pieces and the others go to every piece: so each two of
+    different components meet, members of one component need not, and no piece grows with the bucket.
+    """
+    rooted = members.join(roots, members["u"] == roots["node"], "left").select("bucket", "u", "upper", F.coalesce("root", "u").alias("root"))
+    kinds = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
+    split = kinds.groupBy("bucket").agg(F.sum("c").alias("size"), F.count(F.lit(1)).alias("kinds"), F.max(F.struct("c", "root"))["root"].alias("main")).where("kinds > 1")
+    split = split.select("bucket", "main", F.ceil(F.col("size") / CHUNK).cast("int").alias("pieces"))
+    rows = rooted.join(split, "bucket").join(sides, rooted["u"] == sides["key"]).drop("key")
+    rows = rows.withColumn("home", F.pmod(F.xxhash64("u"), F.col("pieces")).cast("int")).withColumn("other", F.col("root") != F.col("main"))
+    piece = F.when(F.col("other") & (F.col("pieces") > 1), F.sequence(F.lit(0), F.col("pieces") - 1)).otherwise(F.array("home"))
+    rows = rows.select("bucket", F.explode(piece).alias("piece"), "home", "u", "root", "upper", "other", "n", "sketch")
+    return rows.withColumn("own", F.col("home") == F.col("piece")).drop("home")
+
+
+def folded(sketches: list[np.ndarray]) -> np.ndarray:
+    """Sketches (a power of two of 64-bit words each) as a matrix of the shortest one's width: halves laid over each other."""
+    width = min(map(len, sketches))
+
+    def fold(s: np.ndarray) -> np.ndarray:
+        while len(s) > width:
+            s = s[: len(s) // 2] ^ s[len(s) // 2 :]
+        return s
+
+    return np.stack([fold(np.asarray(s)) for s in sketches]).view(np.uint64)
+
+
+def piece_pairs(rows: pd.DataFrame, may: Callable, best: bool) -> Iterator[pd.DataFrame]:
+    """Pairs of one piece that may link (by may(n, m, flips)) and are in different components: for each that is not of
+    the largest one its nearest, or all."""
+    sketch, n, u, root = folded(list(rows["sketch"])), rows["n"].to_numpy(), rows["u"].to_numpy(), rows["root"].to_numpy()
+    other, own, upper = (rows[c].to_numpy(bool) for c in ("other", "own", "upper"))
+    which = np.flatnonzero(other)
+    for a in range(0, len(which), ROWS_AT_ONCE):
+        i = which[a : a + ROWS_AT_ONCE]
+        flips = np.zeros((len(i), len(u)), np.int64)
+        for w in range(sketch.shape[1]):
+            flips += np.bitwise_count(sketch[i, w][:, None] ^ sketch[:, w][None, :])
+        ahead = u[i][:, None] < u[None, :]
+        here = ~other[None, :] | np.where(ahead, own[i][:, None], own[None, :])  # two that go everywhere: at home with the smaller
+        good = may(n[i][:, None], n[None, :], flips) & (root[i][:, None] != root[None, :]) & ~(upper[i][:, None] & upper[None, :]) & here
+        if best:
+            flips[~good] = 1 << 40
+            j, x = flips.argmin(1), np.flatnonzero(good.any(1))
+            j = j[x]
+        else:
+            x, j = np.nonzero(good & (~other[None, :] | ahead))
+        if len(x):
+            yield pd.DataFrame({"u": u[i][x], "v": u[j], "flips": flips[x, j]})
+
+
+def compared(may: Callable, best: bool):
+    """Of open_members, the pairs (u, v, flips) to verify. Pieces lie together; they are read one after the other."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+
+        def ready(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            for _, piece in rows.groupby(["bucket", "piece"], sort=False):
+                yield from piece_pairs(piece, may, best)
+
+        for b in batches:
+            if not len(b):
+                continue
+            bucket, piece = b["bucket"].to_numpy(), b["piece"].to_numpy()
+            begins = np.flatnonzero((bucket[1:] != bucket[:-1]) | (piece[1:] != piece[:-1])) + 1
+            if held and (held[-1]["bucket"].iloc[-1], held[-1]["piece"].iloc[-1]) != (bucket[0], piece[0]):
+                yield from ready(pd.concat(held))
+                held = []
+            if len(begins):
+                yield from ready(pd.concat([*held, b.iloc[: begins[-1]]]))
+                held, b = [], b.iloc[begins[-1] :]
+            held.append(b)
+        if held:
+            yield from ready(pd.concat(held))
+
+    return run
+
+
+def connected(links: DataFrame, members: DataFrame, sides: DataFrame, may: Callable, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, root) of the components that verified links of all members make. links: those known; members (bucket, u,
+    upper); sides: key, n, sketch. First each member outside its bucket's largest component is tried with its nearest;
+    then all pairs that are still apart and may link are."""
+    spark = links.sparkSession
+    for best in (True, False):
+        roots = components(links)
+        rows = open_members(members, roots, sides).repartition(partitions(spark), "bucket", "piece").sortWithinPartitions("bucket", "piece")
+        pairs = rows.mapInPandas(compared(may, best), "u long, v long, flips long")
+        if best:
+            pairs = pairs.groupBy("u").agg(F.min_by("v", "flips").alias("v"))
+        pairs = settle(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
+        if pairs.isEmpty():
+            return roots
+        links = settle(links.unionByName(verified(pairs)), "links")
+    return components(links)

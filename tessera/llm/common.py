@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,34 +63,93 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-#: A 64-bit number for each byte at each of the first 64 places of a word.
-BYTE_AT = mix64(np.arange(64 * 256, dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+#: A 64-bit number for each byte, and what its place in a word is raised by; odd, so that it has an inverse.
+LETTER = mix64(np.arange(256, dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+RAISE = 0xD1342543DE82EF95
 #: For bytes.translate: A-Z to a-z.
 BYTES_DOWN = bytes.maketrans(UPPER.encode(), LOWER.encode())
+#: Bytes hashed at a time.
+STRETCH = 1 << 16
+
+
+@lru_cache(maxsize=2)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """RAISE to the power of 0, 1, ... n - 1, and the inverses of these, modulo 2^64."""
+    up, down = np.full(n, RAISE, np.uint64), np.full(n, pow(RAISE, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+
+
+def hashed_runs(raw: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first byte) of each run of bytes that are no gaps; the last byte is a gap. Equal runs have equal hashes."""
+    edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+    if not gap[0]:
+        edge = np.r_[0, edge]
+    first, past = edge[::2], edge[1::2]
+    out = np.empty(len(first), np.uint64)
+    cut = np.searchsorted(first, np.arange(0, len(raw), STRETCH))
+    for i, j in zip(cut, np.r_[cut[1:], len(first)]):
+        if j > i:
+            a, b = first[i], past[j - 1]
+            up, down = powers(1 << int(max(b - a, STRETCH) - 1).bit_length())
+            sums = np.cumsum(np.r_[np.uint64(0), LETTER[raw[a:b]] * up[: b - a]], dtype=np.uint64)
+            out[i:j] = (sums[past[i:j] - a] - sums[first[i:j] - a]) * down[first[i:j] - a]
+    return mix64(out + (past - first).astype(np.uint64)), first
 
 
 def word_hashes(texts: list[bytes], space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all texts, with the index of each word's text.
 
-    space: 256 booleans, true for bytes between words. A word's hash is the finalised sum of a number for
-    each of its bytes and their places; equal words have equal hashes.
+    space: 256 booleans, true for bytes between words.
     """
-    lens = np.fromiter(map(len, texts), np.int64, len(texts))
     raw = np.frombuffer(b"\x20".join([*texts, b""]), np.uint8)
     if not len(raw):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
     gap = space[raw]
-    gap[np.cumsum(lens + 1) - 1] = True
-    edge = np.flatnonzero(np.diff(np.r_[True, gap, True].astype(np.int8)))
-    first, past = edge[::2], edge[1::2]
-    if not len(first):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    at = np.arange(len(raw), dtype=np.int64) - np.repeat(np.r_[0, first], np.diff(np.r_[0, first, len(raw)]))
-    part = BYTE_AT[(at & 63) << 8 | raw]
-    late = np.flatnonzero((at > 63) & ~gap)
-    part[late] = mix64(raw[late].astype(np.uint64) + (at[late].astype(np.uint64) << np.uint64(9)))
-    part[gap] = 0
-    with np.errstate(over="ignore"):
-        out = mix64(np.add.reduceat(part, first) + (past - first).astype(np.uint64))
-    ends = np.cumsum(lens + 1)
-    return out, np.searchsorted(ends, first, side="right")
+    gap[ends - 1] = True
+    words, first = hashed_runs(raw, gap)
+    return words, np.searchsorted(ends, first, side="right")
+
+
+def blocks(batches: Iterator[pd.DataFrame], most: int, column: str = "text") -> Iterator[pd.DataFrame]:
+    """Frames of about so many bytes in a binary column, one row at least: an Arrow batch may hold many long texts or few short ones."""
+    held, size = [], 0
+    for b in batches:
+        part = b[column].map(len).cumsum().to_numpy() // most
+        for _, rows in b.groupby(part, sort=False):
+            own = int(rows[column].map(len).sum())
+            if held and size + own > most:
+                yield pd.concat(held)
+                held, size = [], 0
+            held.append(rows)
+            size += own
+    if held:
+        yield pd.concat(held)
+
+
+#: Rows that tell how common things are, and how many common things are known to all tasks.
+SAMPLE, COMMON = 8_000, 100_000
+
+
+def sample_of(rows: DataFrame, by: str) -> DataFrame:
+    """About SAMPLE of the rows, by a hash column. It only ever decides in what order or at what cost things are done."""
+    every = max(1, rows.count() // SAMPLE)
+    return rows.where(F.pmod(F.xxhash64(by), F.lit(every)) == 0)
+
+
+def common_ones(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(thing long, c) of a sample -> the most common things, sorted (uint64), and how common: 1 to 255, on a scale of logarithms."""
+    got = counted.groupBy("thing").agg(F.sum("c").alias("c")).where("c > 2").orderBy(F.desc("c"), "thing").limit(COMMON).toPandas()
+    thing = got["thing"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(thing)
+    return thing[order], np.minimum(8 * np.log2(np.maximum(got["c"].to_numpy(float), 1)), 255).astype(np.uint8)[order]
+
+
+def looked_up(things: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """How common things are; 0 if not among the common ones."""
+    keys, rank = known
+    if not len(keys) or not len(things):
+        return np.zeros(len(things), np.uint8)
+    i = np.minimum(np.searchsorted(keys, things), len(keys) - 1)
+    return np.where(keys[i] == things, rank[i], 0).astype(np.uint8)

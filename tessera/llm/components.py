@@ -1,12 +1,22 @@
-"""Connected components of a table of links, by alternating stars: O(log n) rounds, nothing on the driver but counts."""
+"""Connected components of a table of links, by alternating stars: O(log n) rounds, nothing on the driver but counts.
+
+Up to AT_ONCE links one task joins in memory; what is found is the same.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle
 
+#: Links (16 bytes each) that one task joins.
+AT_ONCE = 500_000
+
 
 def to_smallest(links: DataFrame, larger_only: bool) -> DataFrame:
     """Each u with its neighbours v to their smallest m: (v, m) for the larger ones, or for all that are smaller and u."""
@@ -20,16 +30,35 @@ def to_smallest(links: DataFrame, larger_only: bool) -> DataFrame:
     return out.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def told(links: DataFrame) -> tuple:
+    """What tells whether links have changed; counts alone can stay alike while links move."""
+    return tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
+def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """All links at hand to (u, v) with v the smallest node that u reaches."""
+    links = np.concatenate([np.zeros((0, 2), np.int64), *(b[["u", "v"]].to_numpy() for b in batches)])
+    nodes, at = np.unique(links, return_inverse=True)
+    a, b = at.reshape(-1, 2).T
+    least = np.arange(len(nodes))
+    while (unlike := least[a] != least[b]).any():
+        one, two = least[a][unlike], least[b][unlike]
+        np.minimum.at(least, np.maximum(one, two), np.minimum(one, two))
+        while (least[least] != least).any():
+            least = least[least]
+    rest = np.flatnonzero(least != np.arange(len(nodes)))
+    yield pd.DataFrame({"u": nodes[rest], "v": nodes[least[rest]]})
+
+
+def components(links: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
     """links (u, v), any order and repetition -> (node, root): the smallest node of its component, for all but the roots."""
     now = settle(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    if now.isEmpty():
-        return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    mark = None
-    while True:
+    mark = told(now)
+    if 0 < mark[0] <= at_once:
+        now, mark = settle(now.coalesce(1).mapInPandas(joined, "u long, v long"), "links"), (0,)
+    while mark[0]:
         now = settle(to_smallest(to_smallest(now, True), False), "links")
-        # counts alone can stay alike while links move
-        said = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if said == mark:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        mark = said
+        before, mark = mark, told(now)
+        if before == mark:
+            break
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

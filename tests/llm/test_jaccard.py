@@ -80,3 +80,46 @@ def test_empty_table(spark):
 def test_one_of_each(spark):
     df = spark.createDataFrame([(3, "a b c d e f", "", 1), (1, "A b c d e f", "", 1), (2, None, "", 1), (5, "", "", 1)], SCHEMA)
     assert sorted(r["doc_id"] for r in jaccard.one_of_each(df).collect()) == [1, 2, 5]
+
+
+def test_components_in_one_task_and_by_rounds(spark):
+    from tessera.llm.components import components
+
+    rng = random.Random(3)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(40)] + [(7, 7)]
+    df = spark.createDataFrame(links, "u long, v long")
+    up = {x: x for link in links for x in link}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for u, v in links:
+        a, b = root(u), root(v)
+        up[max(a, b)] = min(a, b)
+    want = sorted((x, root(x)) for x in up if root(x) != x)
+    assert sorted(map(tuple, components(df).collect())) == want == sorted(map(tuple, components(df, at_once=0).collect()))
+
+
+def test_ids_beyond_doubles_and_repeated_rows(spark):
+    big, w = 2**53 + 1, " ".join(f"t{i}" for i in range(30))
+    docs = [(big, w), (None, "a b c d e f g"), (big + 2, w + " u"), (big, "quite another text with this id"), (5, ""), (5, ""), (None, w)]
+    assert [r[2] for r in joined(spark, docs) if r[1] == 26 or r[1] == 27] == [big, big, big]
+    kept = jaccard.one_of_each(spark.createDataFrame([(d, t, "clash", 1) for d, t in docs], SCHEMA))
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == sorted([(big, w), (0, "a b c d e f g"), (big, "quite another text with this id"), (5, ""), (5, "")])
+    twice = spark.createDataFrame([(1, w, "x", 1), (1, w, "y", 2), (2, "other words here now", "z", 3)], SCHEMA)
+    assert sorted(r["doc_id"] for r in jaccard.one_of_each(twice).collect()) == [1, 2]
+
+
+def test_a_common_passage_makes_few_candidates(spark, monkeypatch):
+    """2,000 unlinked texts share a passage of 60 words: what is compared stays far below all pairs."""
+    from tessera.llm import buckets
+
+    rng, seen = random.Random(1), []
+    passage = " ".join(f"p{i}" for i in range(60))
+    docs = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(90, 110))) + " " + passage) for i in range(2000)]
+    real = jaccard.verified
+    monkeypatch.setattr(jaccard, "verified", lambda pairs, *a: (seen.append(pairs.count()), real(pairs, *a))[1])
+    assert {r[2] for r in joined(spark, docs)} == set(range(2000))
+    assert sum(seen) < 2000 and buckets.CHUNK == 1024

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, jaccard, lines, mixing, quality
-from tessera.llm.common import settle
+from tessera.llm.common import free, settle
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,9 +20,10 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat, or nearly, are cut but for their first occurrence; a document left without text goes."""
+    dropped = free(docs, "__dropped")
     out = lines.without_repeated_lines(docs)
-    out = out.where((F.col("__dropped") == 0) | F.col("text").rlike("[^\\s]"))
-    return out.withColumn("n_chars", F.when(F.col("__dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    out = out.where((F.col(dropped) == 0) | F.col("text").rlike("[^\\s]"))
+    return out.withColumn("n_chars", F.when(F.col(dropped) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def one_of_alike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -153,17 +153,29 @@ def compared(may: Callable, best: bool):
     return run
 
 
-def connected(links: DataFrame, members: DataFrame, sides: DataFrame, may: Callable, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(node, root) of the components that verified links of all members make. links: those known; members (bucket, u,
-    upper); sides: key, n, sketch. First each member outside its bucket's largest component is tried with its nearest;
-    then all pairs that are still apart and may link are."""
-    spark = links.sparkSession
+def between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """pairs (u, v) of different roots."""
+    of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
+    return pairs.select("u", "v").join(of("u"), "u", "left").join(of("v"), "v", "left").where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
+
+
+def connected(tried: DataFrame, members: DataFrame, sides: DataFrame, may: Callable, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, root) of the components that links among the candidates make.
+
+    tried: a written table of candidate pairs (u, v, flips); members: (bucket, u, upper), of which all two of a bucket
+    are candidates; sides: key, n, sketch. verified keeps the links of a table of pairs. First each u is tried with its
+    nearest, then all pairs that are still apart; then the same with the members of buckets that may link by may.
+    """
+    spark = sides.sparkSession
+    links = verified(settle(tried.groupBy("u").agg(F.min_by("v", F.struct("flips", "v")).alias("v")), "nearest"))
+    rest = settle(between(tried, components(links)).join(links, ["u", "v"], "left_anti"), "between")
+    links = settle(links.unionByName(verified(rest)), "links")
     for best in (True, False):
         roots = components(links)
         rows = open_members(members, roots, sides).repartition(partitions(spark), "bucket", "piece").sortWithinPartitions("bucket", "piece")
         pairs = rows.mapInPandas(compared(may, best), "u long, v long, flips long")
         if best:
-            pairs = pairs.groupBy("u").agg(F.min_by("v", "flips").alias("v"))
+            pairs = pairs.groupBy("u").agg(F.min_by("v", F.struct("flips", "v")).alias("v"))
         pairs = settle(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
         if pairs.isEmpty():
             return roots

@@ -46,6 +46,13 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def free(df: DataFrame, name: str) -> str:
+    """name, or the first of it with underscores before it that no column has."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name = f"_{name}"
+    return name
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z only. lower() does just that, and faster, where all characters are ASCII; it would also change other letters."""
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

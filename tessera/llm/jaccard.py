@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 
 from .buckets import connected, gathered, packed, take
 from .common import BYTES_DOWN, blocks, common_ones, looked_up, mix64, partitions, sample_of, settle, small, word_hashes
-from .components import components
 
 SHINGLE, PERCENT = 5, 80
 SPACES = np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
@@ -315,23 +314,13 @@ def rooted_documents(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     sized = settle(known.where("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min(F.struct("doc_id", "text_hash")).alias("rep")), "sized")
     side = lambda x: sized.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
     stars = found.where("kind = 'star'").select("u", "v").distinct().join(side("u"), "u").join(side("v"), "v").where(may_link(F.col("nu"), F.col("nv"), F.col("su"), F.col("sv")))
-    # the nearest star of each set, then the others between what is still apart, then members of larger buckets
     stars = settle(stars.select("u", "v", apart(F.col("su"), F.col("sv")).alias("flips")), "stars")
-    links = verified(settle(stars.groupBy("u").agg(F.min_by("v", "flips").alias("v")), "nearest"), sized, rows)
-    between = stars.join(links, ["u", "v"], "left_anti").select("u", "v")
-    links = settle(links.unionByName(verified(settle(apart_pairs(between, components(links)), "between"), sized, rows)), "links")
     members = found.where("kind = 'member'").select("bucket", "u", "upper").distinct()
-    final = connected(links, members, sized.select("key", "n", "sketch"), may_link_sizes, lambda pairs: verified(pairs, sized, rows))
+    final = connected(stars, members, sized.select("key", "n", "sketch"), may_link_sizes, lambda pairs: verified(pairs, sized, rows))
     rooted = known.join(final, known["key"] == final["node"], "left").select(F.col("doc_id").cast(kind).alias("doc_id"), "text_hash", "n", F.when(F.col("n") > 0, F.coalesce("root", "key")).alias("root"))
     return settle(rooted, "rooted")
 
 
-def apart_pairs(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """pairs (u, v) of different roots."""
-    of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
-    return pairs.select("u", "v").join(of("u"), "u", "left").join(of("v"), "v", "left").where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
-
-
 def of_components(rooted: DataFrame, *what: Column) -> DataFrame:
     """rooted with aggregates of the components of several rows; null for the others."""
     several = rooted.where("n > 0").groupBy(F.col("root").alias("__root")).agg(F.count(F.lit(1)).alias("__rows"), *what).where("__rows > 1")

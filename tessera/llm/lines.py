@@ -1,11 +1,12 @@
 """Fuzzy line deduplication.
 
 Lines are normalised to words and equal ones are one entry. Entries whose edit similarity over words is 0.8 or more link,
-and every such pair is found: an edit changes two word pairs at most, so lines of n words at most and t edits share n - 2t
-word pairs, and both have one of these among their first when pairs are put in one order (prefix filter). That order is
-from rare to common as far as a sample tells; what is found does not depend on it. Members of a bucket are candidates
-where lengths allow it and the parities of their words (each edit flips two bits at most) do; these are exact bounds.
-One occurrence of each connected group stays: the first.
+and every such pair is found by a prefix filter: an edit changes one word at most and two pairs of words in a row, so lines
+of n words at most and t edits share n - t words and n - 2t pairs, and both have one of these among their first when all
+are put in one order. Long lines are listed by their first words, short ones by their first pairs, lines between by both.
+The order is from rare to common as far as a sample tells; what is found does not depend on it. Members of a bucket are
+candidates where lengths and places allow it and the parities of their words (each edit flips two bits at most) do; these
+are exact bounds. One occurrence of each connected group stays: the first.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTES_DOWN, mix64, partitions, settle, small, word_hashes
-from .components import components
+from .buckets import connected
+from .common import BYTES_DOWN, blocks, common_ones, free, hashed_runs, looked_up, mix64, partitions, sample_of, settle, small
 
 #: HAMMING, PAIR_HAMMING: SimHashes are no bound any more, all 64 bits may differ.
 MIN_WORDS, HAMMING, PAIR_HAMMING, PERCENT = 1, 64, 64, 80
@@ -30,10 +31,10 @@ BETWEEN = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
 #: Beyond ASCII: spaces and punctuation, which part words too, and letters of scripts without spaces, each a word.
 GAPS = re.compile("[\u00a0\u00ab\u00bb\u2000-\u206f\u3000-\u3004\u3008-\u3020\u3030\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
 UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff])")
-#: Documents that tell how common word pairs are, and how many common pairs are known to all.
-SAMPLE, COMMON = 20_000, 100_000
+#: Lines of up to BY_PAIRS words are listed by pairs, of BY_WORDS or more by words; two that are alike are both the one or both the other.
+BY_PAIRS, BY_WORDS = 15, 12
 #: Bits of a parity, in longs; larger buckets than ALL_PAIRS are tried by stars first.
-PARITY, ALL_PAIRS = 4, 32
+PARITY, ALL_PAIRS = 2, 32
 PARITIES = [f"p{i}" for i in range(PARITY)]
 BLOCK_BYTES = 1_500_000
 #: For each byte, its bits as counters of 8 bits.
@@ -61,20 +62,19 @@ def simhash(words: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def entry_lines(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, line, first word, words, all word hashes) of the lines with MIN_WORDS words or more; their words lie together."""
-    lines, of, nth = [], [], []
-    for i, t in enumerate(texts):
-        own = t.split(b"\n")
-        lines += own
-        of.append(np.full(len(own), i))
-        nth.append(np.arange(len(own)))
-    words, line = word_hashes(lines, BETWEEN)
-    n = np.bincount(line, minlength=len(lines))
-    first = np.cumsum(n) - n
+    raw = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+    if not len(raw):
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64))
+    feed = raw == 0x0A
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    stops = np.flatnonzero(feed)
+    words, first = hashed_runs(raw, BETWEEN[raw])
+    line = np.cumsum(feed, dtype=np.int32)[first]
+    n = np.bincount(line, minlength=len(stops))
+    of = np.searchsorted(ends, stops, side="right")
+    nth = np.arange(len(stops)) - np.searchsorted(stops, np.r_[0, ends[:-1]])[of]
     keep = n >= MIN_WORDS
-    cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-    kept_words = words[keep[line]]
-    n = n[keep]
-    return cat(of)[keep], cat(nth)[keep], np.cumsum(n) - n, n, kept_words
+    return of[keep], nth[keep], np.cumsum(n[keep]) - n[keep], n[keep], words[keep[line]]
 
 
 def line_keys(words: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -86,17 +86,9 @@ def line_keys(words: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray
         return mix64(np.add.reduceat(mix64(words ^ mix64(place)), first) + n.astype(np.uint64)).view(np.int64)
 
 
-def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Frames cut to blocks of bounded text."""
-    for b in batches:
-        part = b["text"].str.len().cumsum().to_numpy() // BLOCK_BYTES
-        for _, rows in b.groupby(part, sort=False):
-            yield rows
-
-
 def lowered(rows: pd.DataFrame) -> list[bytes]:
-    spaced = lambda t: t if t.isascii() else UNSPACED.sub(r" \1 ", GAPS.sub(" ", t))
-    return [spaced(t).encode().translate(BYTES_DOWN) for t in rows["text"]]
+    spaced = lambda t: t if t.isascii() else UNSPACED.sub(r" \1 ", GAPS.sub(" ", t.decode())).encode()
+    return [spaced(t).translate(BYTES_DOWN) for t in rows["text"]]
 
 
 def word_pairs(words: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -118,61 +110,66 @@ def parities(words: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def list_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for rows in read(batches):
+    for rows in blocks(batches, BLOCK_BYTES):
         text, line, first, n, words = entry_lines(lowered(rows))
         bits = parities(words, first, n).view(np.int64)
         yield pd.DataFrame({"doc_id": rows["doc_id"].iloc[text].to_numpy(), "text_hash": rows["text_hash"].to_numpy()[text], "line": line, "key": line_keys(words, first, n), "n": n} | {p: bits[:, i] for i, p in enumerate(PARITIES)})
 
 
-def count_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for rows in read(batches):
-        _, _, first, n, words = entry_lines(lowered(rows))
-        pair, count = np.unique(word_pairs(words, first, n), return_counts=True)
-        yield pd.DataFrame({"pair": pair.view(np.int64), "c": count})
+def sub_lines(words: np.ndarray, first: np.ndarray, n: np.ndarray, these: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """words, first, n of some of the lines (booleans)."""
+    n_these = n[these]
+    return words[np.repeat(these, n)], np.cumsum(n_these) - n_these, n_these
+
 
+def kinds_of(words: np.ndarray, first: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(what an edit changes at most, lines, their things, first, n): pairs of short lines, words of long ones."""
+    for loss, these in ((2, (n >= NEAR_WORDS) & (n <= BY_PAIRS)), (1, n >= BY_WORDS)):
+        if these.any():
+            own, start, size = sub_lines(words, first, n, these)
+            yield loss, np.flatnonzero(these), word_pairs(own, start, size) if loss == 2 else mix64(own), start, size
 
-def common_pairs(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Common word pairs, sorted, and how common: 1 to 255, on a scale of logarithms."""
-    every = max(1, rows.count() // SAMPLE)
-    counted = rows.where(F.pmod("text_hash", F.lit(every)) == 0).mapInPandas(count_pairs, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c"))
-    got = counted.where("c > 2").orderBy(F.desc("c"), "pair").limit(COMMON).toPandas()
-    pair = got["pair"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(pair)
-    return pair[order], np.minimum(8 * np.log2(got["c"].to_numpy(float)), 255).astype(np.uint64)[order]
+
+def count_things(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for rows in blocks(batches, BLOCK_BYTES):
+        _, _, first, n, words = entry_lines(lowered(rows))
+        for _, _, things, _, _ in kinds_of(words, first, n):
+            thing, count = np.unique(things, return_counts=True)
+            yield pd.DataFrame({"thing": thing.view(np.int64), "c": count})
 
 
 def edits_allowed(n):
     return (100 - PERCENT) * n // 100
 
 
-def prefixes(words: np.ndarray, first: np.ndarray, n: np.ndarray, common: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(line, word pair, its first and last place): distinct pairs of each line of which lines that are alike have one in
+def prefixes(words: np.ndarray, first: np.ndarray, n: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, ...]:
+    """(line, thing, its first and last place): distinct things of each line of which lines that are alike have one in
     common that no edit touches."""
-    if not len(words):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    longer = np.arange(n.max() * 100 // PERCENT + 10)
-    shared = np.minimum.accumulate((longer - 2 * edits_allowed(longer))[::-1])[::-1]  # with this line or a longer one
-    take = np.where(n >= NEAR_WORDS, n - np.maximum(shared[n], 1) + 1, 0)
-    pair = word_pairs(words, first, n)
-    line = np.repeat(np.arange(len(n)), n)
-    at = np.zeros(len(pair), np.uint64)
-    if len(common):
-        i = np.minimum(np.searchsorted(common, pair), len(common) - 1)
-        at = np.where(common[i] == pair, rank[i], np.uint64(0))
-    order = np.argsort(line.astype(np.uint64) << np.uint64(40) | at << np.uint64(32) | pair & np.uint64(0xFFFFFFFF), kind="stable")
-    kept = np.arange(len(pair)) - np.repeat(first, n) < np.repeat(take, n)
-    place, pair, line = (order - np.repeat(first, n))[kept], pair[order][kept], line[kept]
-    new = np.r_[True, (pair[1:] != pair[:-1]) | (line[1:] != line[:-1])] if len(pair) else np.zeros(0, bool)
-    return line[new], pair[new], place[new], place[np.r_[new[1:], True] if len(new) else new]
-
-
-#: What a bucket knows of a member: a word pair's lower half, words, places of the pair, 48 bits of parity, entry.
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for loss, names, things, start, size in kinds_of(words, first, n):
+        longer = np.arange(size.max() * 100 // PERCENT + 10)
+        shared = np.minimum.accumulate((longer - loss * edits_allowed(longer))[::-1])[::-1]  # with this line or a longer one
+        take = size - np.maximum(shared[size], 1) + 1
+        line = np.repeat(np.arange(len(size)), size)
+        rank = looked_up(things, common).astype(np.uint64)
+        order = np.argsort(line.astype(np.uint64) << np.uint64(40) | rank << np.uint64(32) | things & np.uint64(0xFFFFFFFF), kind="stable")
+        begin = np.repeat(start, size)
+        place, thing = order - begin, things[order]
+        head = np.flatnonzero(np.r_[True, (thing[1:] != thing[:-1]) | (line[1:] != line[:-1])])
+        tail = np.r_[head[1:], len(thing)] - 1
+        kept = head - begin[head] < take[line[head]]
+        head, tail = head[kept], tail[kept]
+        out.append((names[line[head]], thing[head], place[head], place[tail]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+#: What a bucket knows of a member: its thing's lower half, words, places of the thing, 48 bits of parity, entry.
 ROW = [("pair", "u4"), ("n", "u2"), ("lo", "u2"), ("hi", "u2"), ("few", "u2"), ("more", "u4"), ("key", "i8")]
 CAP = 65535
 
 
 def may_be_alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Bounds on edits of members of one bucket, a no longer than b: by length, by what lies before and behind the pair, by parity."""
+    """Bounds on edits of members of one bucket, a no longer than b: by length, by what lies before and behind the thing, by parity."""
     n, m = a["n"].astype(np.int64), b["n"].astype(np.int64)
     most, short = edits_allowed(m), m - n
     after = a["lo"].astype(np.int64) - b["hi"]
@@ -185,10 +182,10 @@ def may_be_alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def index(parts: int, shared):
     """(part, rows): members of buckets as ROW."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in read(batches):
+        for rows in blocks(batches, BLOCK_BYTES):
             _, _, first, n, words = entry_lines(lowered(rows))
             key = line_keys(words, first, n)
-            line, pair, lo, hi = prefixes(words, first, n, *shared.value)
+            line, pair, lo, hi = prefixes(words, first, n, shared.value)
             odd = np.bitwise_xor.reduceat(np.uint64(1) << (words % np.uint64(48)), first) if len(words) else np.zeros(0, np.uint64)
             once = np.zeros(len(key), bool)
             once[np.unique(key, return_index=True)[1]] = True
@@ -254,7 +251,7 @@ def buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def words_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for rows in read(batches):
+    for rows in blocks(batches, BLOCK_BYTES):
         _, _, first, n, words = entry_lines(lowered(rows))
         if len(n):
             yield pd.DataFrame({"key": line_keys(words, first, n), "words": [words[a : a + k].tobytes() for a, k in zip(first, n)]})
@@ -317,59 +314,67 @@ def verified(pairs: DataFrame, known: DataFrame, docs: DataFrame) -> DataFrame:
     if pairs.isEmpty():
         return docs.sparkSession.createDataFrame([], "u long, v long")
     needed = settle(pairs.select(F.col("u").alias("key")).union(pairs.select(F.col("v").alias("key"))).distinct(), "needed")
-    reps = settle(known.join(small(needed), "key", "left_semi").select(F.col("rep.doc_id").alias("__d"), F.col("rep.text_hash").alias("__h")).distinct(), "reps")
-    texts = docs.join(small(reps), docs["doc_id"].eqNullSafe(reps["__d"]) & (docs["text_hash"] == reps["__h"]), "left_semi")
-    words = settle(texts.select("text").mapInPandas(words_of, "key long, words binary").join(small(needed), "key", "left_semi").dropDuplicates(["key"]), "words")
+    near = small(needed)
+    reps = small(settle(known.join(near, "key", "left_semi").select(F.col("rep.doc_id").alias("__d"), F.col("rep.text_hash").alias("__h")).distinct(), "reps"))
+    texts = docs.join(reps, docs["doc_id"].eqNullSafe(reps["__d"]) & (docs["text_hash"] == reps["__h"]), "left_semi")
+    words = settle(texts.select("text").mapInPandas(words_of, "key long, words binary").join(near, "key", "left_semi").dropDuplicates(["key"]), "words")
     side = lambda k, w: words.select(F.col("key").alias(k), F.col("words").alias(w))
     return settle(pairs.join(side("u", "x"), "u").join(side("v", "y"), "v").mapInPandas(verify, "u long, v long"), "linked")
 
 
+def may_be_near(n: np.ndarray, m: np.ndarray, flips: np.ndarray) -> np.ndarray:
+    most = edits_allowed(np.maximum(n, m))
+    return (np.abs(n - m) <= most) & (flips <= 2 * most)
+
+
 def repeated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, text_hash, lines (places from 0 of the lines to drop): documents that have any."""
     spark = docs.sparkSession
-    rows = docs.select(docs[doc_id].alias("doc_id"), F.xxhash64(docs[text]).alias("text_hash"), F.coalesce(docs[text], F.lit("")).alias("text"))
-    kind = docs.schema[doc_id].dataType.simpleString()
+    kind, parts = docs.schema[doc_id].dataType.simpleString(), partitions(spark)
+    # ids go through Python as strings, which are exact beside nulls
+    rows = docs.select(docs[doc_id].cast("string").alias("doc_id"), F.xxhash64(docs[text]).alias("text_hash"), F.coalesce(docs[text], F.lit("")).cast("binary").alias("text"))
     bits = ", ".join(f"{p} long" for p in PARITIES)
-    listed = settle(rows.mapInPandas(list_lines, f"doc_id {kind}, text_hash long, line int, key long, n int, {bits}"), "lines")
-    place = F.struct("doc_id", "text_hash", "line")
-    known = settle(listed.groupBy("key").agg(*(F.first(c).alias(c) for c in ("n", *PARITIES)), F.min(place).alias("rep")), "entries")
-    parts = partitions(spark)
-    shared = spark.sparkContext.broadcast(common_pairs(rows))
+    listed = settle(rows.mapInPandas(list_lines, f"doc_id string, text_hash long, line int, key long, n int, {bits}"), "lines")
+    place = F.struct(F.col("doc_id").cast(kind).alias("doc_id"), "text_hash", "line")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), place.alias("place")))["place"]
+    known = settle(listed.groupBy("key").agg(*(F.first(c).alias(c) for c in ("n", *PARITIES)), first.alias("first")).withColumn("rep", F.struct(F.col("first.doc_id").cast("string").alias("doc_id"), "first.text_hash")), "entries")
+    shared = spark.sparkContext.broadcast(common_ones(sample_of(rows, "text_hash").mapInPandas(count_things, "thing long, c long")))
     dealt = rows.mapInPandas(index(parts, shared), "part int, rows binary").repartition(parts, "part")
     found = settle(dealt.mapInPandas(buckets, "kind string, bucket long, u long, v long"), "buckets")
-    tried = found.where("kind = 'pair'").select("u", "v").distinct()
+    shared.destroy()
     side = lambda u, x: known.select(F.col("key").alias(u), *(F.col(c).alias(f"{x}_{c}") for c in ("n", *PARITIES)))
     most = (F.lit(100 - PERCENT) * F.greatest("x_n", "y_n") / 100).cast("int")
     flips = sum((F.bit_count(F.col(f"x_{p}").bitwiseXOR(F.col(f"y_{p}"))) for p in PARITIES), F.lit(0))
-    near = (F.abs(F.col("x_n") - F.col("y_n")) <= most) & (flips <= 2 * most)
-    stars = verified(settle(tried.join(side("u", "x"), "u").join(side("v", "y"), "v").where(near).select("u", "v"), "stars"), known, rows)
-    first = components(stars)
-    members = found.where("kind = 'member'").select("bucket", "u").distinct()
-    members = members.join(first, members["u"] == first["node"], "left").select("bucket", "u", F.coalesce("root", "u").alias("root"))
-    split = members.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("bucket")
-    x = settle(members.join(split, "bucket", "left_semi").join(side("u", "x"), "u"), "open")
-    y = x.select("bucket", F.col("u").alias("v"), F.col("root").alias("root2"), *(F.col(f"x_{c}").alias(f"y_{c}") for c in ("n", *PARITIES)))
-    rest = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("u") > F.col("v")) & (F.col("root") != F.col("root2")) & near).select("u", "v").distinct()
-    more = verified(settle(rest.join(tried, ["u", "v"], "left_anti"), "rest"), known, rows)
-    final = components(stars.unionByName(more))
+    tried = found.where("kind = 'pair'").select("u", "v").distinct().join(side("u", "x"), "u").join(side("v", "y"), "v")
+    tried = settle(tried.where((F.abs(F.col("x_n") - F.col("y_n")) <= most) & (flips <= 2 * most)).select("u", "v", flips.alias("flips")), "tried")
+    members = found.where("kind = 'member'").select("bucket", "u", F.lit(False).alias("upper")).distinct()
+    final = connected(tried, members, known.select("key", "n", F.array(*PARITIES).alias("sketch")), may_be_near, lambda pairs: verified(pairs, known, rows))
     # entries that are alone keep their first occurrence; of a group the first of all does
     grouped = settle(final.unionByName(final.select(F.col("root").alias("node"), "root").distinct()), "grouped")
-    rooted = settle(known.join(small(grouped), known["key"] == grouped["node"]).select("key", "root", "rep"), "rooted")
-    keep = settle(rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("keep")), "root").select("key", "keep"), "keep")
-    kept = known.select("key", "rep").join(small(keep), "key", "left").select("key", F.coalesce("keep", "rep").alias("keep"))
+    rooted = settle(known.join(small(grouped), known["key"] == grouped["node"]).select("key", "root", "first"), "rooted")
+    order = lambda c: F.struct(F.col(f"{c}.doc_id").isNull().alias("none"), F.col(c).alias("place"))
+    least = settle(rooted.groupBy(F.col("root").alias("r")).agg(F.min(order("first"))["place"].alias("keep")), "least")
+    keep = settle(rooted.join(small(least), F.col("root") == F.col("r")).select(F.col("key").alias("k"), "keep"), "keep")
+    # only lines of entries in a group, or that occur again, can go
+    kept = known.select("key", "first").join(small(keep), F.col("key") == F.col("k"), "left").select("key", F.coalesce("keep", "first").alias("keep"))
     drop = listed.join(kept, "key").where(~place.eqNullSafe(F.col("keep")))
-    return drop.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("line")).alias("lines"))
+    return drop.groupBy(F.col("doc_id").cast(kind).alias("doc_id"), "text_hash").agg(F.sort_array(F.collect_set("line")).alias("lines"))
 
 
 def without_repeated_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with each group of alike lines left only where it first stands (least doc_id, then text hash, then place).
+    """docs with each group of alike lines left only where it first stands (least doc_id, null last, then text hash, then place).
 
     Lines are what line feeds part; only those without a word always stay. Words are letters, digits and all beyond
-    ASCII but its spaces and punctuation, A-Z lower-cased; in scripts without spaces each letter is one. Null and empty texts stay as they are. Rows that repeat a whole document are one
-    document. An empty table gives an empty one; all columns are kept. __lines and __dropped count what was and went.
+    ASCII but its spaces and punctuation, A-Z lower-cased; in scripts without spaces each letter is one. Null and empty
+    texts stay as they are; long texts and lines are read whole. Rows that repeat a whole document are one document and
+    lose the same lines. An empty table gives an empty one; all columns are kept. Two more count the lines that were and
+    that went: __lines and __dropped, or with underscores before (common.free) where docs has columns of these names.
     """
-    found = settle(repeated(docs, doc_id=doc_id, text=text).select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h"), F.col("lines").alias("__l")), "dropped")
-    out = docs.join(found, docs[doc_id].eqNullSafe(F.col("__d")) & (F.xxhash64(docs[text]) == F.col("__h")), "left")
-    rest = F.array_join(F.filter(F.split(docs[text], "\n"), lambda x, i: ~F.array_contains(F.col("__l"), i)), "\n")
-    lines = F.when(docs[text].isNull(), 0).otherwise(F.size(F.split(docs[text], "\n")))
-    return out.withColumns({"__lines": lines.cast("long"), "__dropped": F.when(F.col("__l").isNull(), 0).otherwise(F.size("__l")).cast("long"), text: F.when(F.col("__l").isNull(), docs[text]).otherwise(rest)}).drop("__d", "__h", "__l")
+    lines, dropped = free(docs, "__lines"), free(docs, "__dropped")
+    d, h, gone = free(docs, "__d"), free(docs, "__h"), free(docs, "__l")
+    found = settle(repeated(docs, doc_id=doc_id, text=text).select(F.col("doc_id").alias(d), F.col("text_hash").alias(h), F.col("lines").alias(gone)), "dropped")
+    out = docs.join(found, docs[doc_id].eqNullSafe(F.col(d)) & (F.xxhash64(docs[text]) == F.col(h)), "left")
+    rest = F.array_join(F.filter(F.split(docs[text], "\n"), lambda x, i: ~F.array_contains(F.col(gone), i)), "\n")
+    count = F.when(docs[text].isNull(), 0).otherwise(F.size(F.split(docs[text], "\n")))
+    went = F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone))
+    return out.withColumns({lines: count.cast("long"), dropped: went.cast("long"), text: F.when(F.col(gone).isNull(), docs[text]).otherwise(rest)}).drop(d, h, gone)

@@ -3,11 +3,14 @@
 Evidence: two logistic regressions (good quality; toxic) on the shape of a text and on words and their beginnings,
 fitted on a bounded sample of labelled documents. A document's evidence is the log odds of "good and not toxic".
 Sites: a beta prior on the mean evidence of all documents, then of each host, then of each path within its host; how
-strongly sparse ones are drawn to the level above is estimated from the spread of the means of the level itself.
+strongly sparse ones are drawn to the level above is estimated from the spread of the means of the level itself. What a
+document's site says of it is told by the other documents there: its own evidence is taken out of host and path.
+The documents have no url: source stands for the host and lang for the path, unless other columns are named.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -18,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import free, settle, small
 
 #: Labelled documents to fit on, at most (least hash of id).
 SAMPLE = 12_000
@@ -30,7 +33,6 @@ RIDGES = {"q": (1e-4, 1e-2), "t": (1e-3, 3e-4)}
 MEMO = 500_000
 #: How much a site's log odds count beside a document's own.
 SITE_WEIGHT = 0.5
-BROADCAST_ROWS = 500_000
 WORD = re.compile(r"[^\W\d_]+")
 UPPERS, DIGITS, STOPS, MARKS = (bytes(b for b in range(128) if f(chr(b))) for f in (str.isupper, str.isdigit, lambda c: c in ".,;:?'\"-()", lambda c: c.isprintable() and not c.isalnum() and c not in " .,;:?'\"-()"))
 
@@ -118,21 +120,29 @@ def model(sample: DataFrame) -> dict:
             hits = [np.array([place[x] for w in count for x in terms_of(w) if x in place], np.int32).tobytes() for _, count in both]
             yield pd.DataFrame({"dense": [np.array(d).tobytes() for d, _ in both], "hits": hits, "q": b["quality"], "t": b["toxic"]})
 
-    got = sample.mapInPandas(features, "dense binary, hits binary, q int, t int").toPandas()
-    if not len(got):
+    def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # SAMPLE rows at most; one task fits them, so that the driver need not hold them
+        got = pd.concat([pd.DataFrame({"dense": [], "hits": [], "q": [], "t": []}), *batches])
+        if not len(got):
+            return
+        dense = np.frombuffer(b"".join(got["dense"])).reshape(len(got), -1)
+        centre, scale = dense.mean(0), dense.std(0) + 1e-6
+        rows = np.repeat(np.arange(len(got), dtype=np.int32), [len(h) // 4 for h in got["hits"]])
+        cols = np.frombuffer(b"".join(got["hits"]), np.int32)
+        k = dense.shape[1]
+        both = [fit((dense - centre) / scale, rows, cols, (got[c] == 1).to_numpy(float), len(place), RIDGES[c]) for c in ("q", "t")]
+        yield pd.DataFrame({"model": [pickle.dumps({"centre": centre, "scale": scale, "start": [float(w[0]) for w in both], "dense": [w[1 : 1 + k] for w in both], "terms": [w[1 + k :] for w in both]})]})
+
+    got = sample.mapInPandas(features, "dense binary, hits binary, q int, t int").repartition(1).mapInPandas(fitted, "model binary").collect()
+    if not got:
         return {}
-    dense = np.frombuffer(b"".join(got["dense"])).reshape(len(got), -1)
-    centre, scale = dense.mean(0), dense.std(0) + 1e-6
-    rows = np.repeat(np.arange(len(got), dtype=np.int32), got["hits"].map(len) // 4)
-    cols = np.frombuffer(b"".join(got["hits"]), np.int32)
-    k = dense.shape[1]
-    both = [fit((dense - centre) / scale, rows, cols, (got[c] == 1).to_numpy(float), len(terms), RIDGES[c]) for c in ("q", "t")]
-    return {"centre": centre, "scale": scale, "start": [w[0] for w in both], "dense": [w[1 : 1 + k] for w in both], "terms": {t: (both[0][1 + k + i], both[1][1 + k + i]) for t, i in place.items()}}
+    learnt = pickle.loads(got[0]["model"])
+    return learnt | {"terms": {t: (float(learnt["terms"][0][i]), float(learnt["terms"][1][i])) for t, i in place.items()}}
 
 
 def evidence(docs: DataFrame, learnt: dict, kind: str) -> DataFrame:
     """doc_id, text_hash, host, path, words, odds: the log odds that each document is good and not toxic."""
-    shared = docs.sparkSession.sparkContext.broadcast(learnt)
+    shared = docs.sparkSession.sparkContext.broadcast(learnt)  # TERMS terms at most
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m, memo = shared.value, {}
@@ -173,34 +183,40 @@ def judged(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, doc_id: s
 
     keep: p_good of a half or more, and a word at all: null, empty and wordless texts are rejected. Null hosts and
     paths are values of their own; repeated rows are judged alike. Without usable labels every document with a word is
-    kept. An empty table gives an empty one; other columns are not read.
+    kept. An empty table gives an empty one; other columns are not read, whatever their names. Texts of any length are
+    read whole. p_good of exactly a half keeps. A document alone at its site has what the level above says.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
-    rows = docs.select(docs[doc_id].alias("doc_id"), F.xxhash64(docs[text]).alias("text_hash"), docs[host].cast("string").alias("host"), docs[path].cast("string").alias("path"), F.coalesce(docs[text], F.lit("")).alias("text"))
-    learnt = model(sampled(spark, rows, labels))
-    scored = settle(evidence(rows, learnt, kind), "evidence").withColumn("p", 1 / (1 + F.exp(-F.col("odds"))))
-    sites = scored.groupBy("host", "path").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("p").alias("s"))
-    hosts = sites.groupBy("host").agg(F.sum("n").alias("nh"), F.sum("s").alias("sh"))
-    top = hosts.agg(F.sum("nh").alias("n"), F.sum("sh").alias("s")).first()
+    # ids go through Python as strings, which are exact beside nulls
+    rows = docs.select(docs[doc_id].cast("string").alias("doc_id"), F.xxhash64(docs[text]).alias("text_hash"), docs[host].cast("string").alias("host"), docs[path].cast("string").alias("path"), F.coalesce(docs[text], F.lit("")).alias("text"))
+    learnt = model(sampled(spark, rows, labels.withColumn("doc_id", F.col("doc_id").cast("string"))))
+    scored = settle(evidence(rows, learnt, "string"), "evidence").withColumn("p", 1 / (1 + F.exp(-F.col("odds"))))
+    sites = settle(scored.groupBy("host", "path").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("p").alias("s")), "sites")
+    hosts = sites.groupBy(F.col("host").alias("h")).agg(F.sum("n").alias("nh"), F.sum("s").alias("sh"))
+    top = sites.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
     mean = float(np.clip((top["s"] or 0.0) / (top["n"] or 1.0), 1e-6, 1 - 1e-6))
     weigh = lambda n, m, at: [F.sum(n * F.pow(m - at, 2)).alias("v"), F.sum(n).alias("n"), F.count(F.lit(1)).alias("k")]
     a = hosts.agg(*weigh(F.col("nh"), F.col("sh") / F.col("nh"), F.lit(mean))).first()
     noise = lambda r: mean * (1 - mean) * r["k"] / max(r["n"] or 0, 1)
     k_host = strength((a["v"] or 0.0) / max(a["n"] or 0, 1), noise(a), mean)
-    both = sites.join(hosts.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h"))).withColumn("mh", (k_host * mean + F.col("sh")) / (k_host + F.col("nh")))
-    b = both.agg(*weigh(F.col("n"), F.col("s") / F.col("n"), F.col("mh"))).first()
+    both = sites.join(hosts, F.col("host").eqNullSafe(F.col("h")))
+    shrunk = (k_host * mean + F.col("sh")) / (k_host + F.col("nh"))
+    b = both.agg(*weigh(F.col("n"), F.col("s") / F.col("n"), shrunk)).first()
     k_path = strength((b["v"] or 0.0) / max(b["n"] or 0, 1), noise(b), mean)
-    table = settle(both.select(F.col("host").alias("h"), F.col("path").alias("q"), ((k_path * F.col("mh") + F.col("s")) / (k_path + F.col("n"))).alias("p_site")), "sites")
-    hint = F.broadcast if table.count() <= BROADCAST_ROWS else (lambda d: d)
-    out = scored.join(hint(table), F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("q")))
+    table = settle(both.select("h", F.col("path").alias("q"), "nh", "sh", "n", "s"), "sites")
+    out = scored.join(small(table), F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("q")))
+    p = F.col("p")
+    of_host = (k_host * mean + F.col("sh") - p) / (k_host + F.col("nh") - 1)
+    of_site = F.least(F.greatest((k_path * of_host + F.col("s") - p) / (k_path + F.col("n") - 1), F.lit(1e-9)), F.lit(1 - 1e-9))
+    out = out.withColumn("p_site", of_site)
     site = F.ln(F.col("p_site") / (1 - F.col("p_site"))) - float(np.log(mean / (1 - mean)))
-    p = 1 / (1 + F.exp(-(F.col("odds") + SITE_WEIGHT * F.coalesce(site, F.lit(0.0)))))
-    return out.select("doc_id", "text_hash", "host", "path", F.col("p").alias("p_document"), "p_site", p.alias("p_good"), ((p >= 0.5) & (F.col("words") > 0)).alias("keep"))
+    good = 1 / (1 + F.exp(-(F.col("odds") + SITE_WEIGHT * site)))
+    return out.select(F.col("doc_id").cast(kind).alias("doc_id"), "text_hash", "host", "path", p.alias("p_document"), "p_site", good.alias("p_good"), ((good >= 0.5) & (F.col("words") > 0)).alias("keep"))
 
 
 def kept(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **names: str) -> DataFrame:
-    """docs without the documents that the classifier rejects."""
+    """docs without the documents that the classifier rejects; rows that repeat id and text stay or go together."""
     found = judged(spark, docs, labels, doc_id=doc_id, text=text, **names)
-    bad = settle(found.where(~F.col("keep")).select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h")).distinct(), "rejected")
-    hint = F.broadcast if bad.count() <= BROADCAST_ROWS else (lambda d: d)
-    return docs.join(hint(bad), docs[doc_id].eqNullSafe(bad["__d"]) & (F.xxhash64(docs[text]) == bad["__h"]), "left_anti")
+    d, h = free(docs, "__d"), free(docs, "__h")
+    bad = small(settle(found.where(~F.col("keep")).select(F.col("doc_id").alias(d), F.col("text_hash").alias(h)).distinct(), "rejected"))
+    return docs.join(bad, docs[doc_id].eqNullSafe(bad[d]) & (F.xxhash64(docs[text]) == bad[h]), "left_anti")

@@ -1,9 +1,12 @@
+import random
+
 import numpy as np
 import pytest
 
 from tessera.llm import quality
 
 SF = "/root/testdata/sf0.01"
+GOOD, BAD = "alpha beta gamma delta epsilon".split(), "BAD!! $$$ XX".split()
 
 
 def test_held_out_accuracy(spark):
@@ -38,3 +41,29 @@ def test_sparse_sites_shrink():
     x = np.array([[0.0], [1.0]] * 50)
     w = quality.fit(x, np.zeros(0, int), np.zeros(0, int), x[:, 0], 0)
     assert w[1] > 3 and w[0] == pytest.approx(-w[1] / 2, rel=0.3)
+
+
+def test_sites_leave_each_document_out(spark):
+    """p_site against sums over the other documents of host and path, by plain loops."""
+    rng = random.Random(8)
+    docs = [(i, " ".join(rng.choice(GOOD if rng.random() < 0.7 else BAD) for _ in range(rng.randrange(5, 60))), rng.choice(["a", "b", None, "c"]) if i else "alone", rng.choice(["x", "y", None])) for i in range(80)]
+    labels = [(i, int(i % 3 > 0), 0) for i in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, lang string")
+    got = quality.judged(spark, df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    p, n = {r["doc_id"]: r["p_document"] for r in got}, len(docs)
+    mean = sum(p.values()) / n
+    groups = lambda key: {k: [r for r in got if key(r) == k] for k in {key(r) for r in got}}
+    host, site = (lambda r: r["host"]), (lambda r: (r["host"], r["path"]))
+    total = lambda rows: sum(p[r["doc_id"]] for r in rows)
+    hosts, sites = groups(host), groups(site)
+    noise = lambda k: mean * (1 - mean) * k / n
+    k_host = quality.strength(sum(len(g) * (total(g) / len(g) - mean) ** 2 for g in hosts.values()) / n, noise(len(hosts)), mean)
+    up = {k: (k_host * mean + total(g)) / (k_host + len(g)) for k, g in hosts.items()}
+    k_path = quality.strength(sum(len(g) * (total(g) / len(g) - up[k[0]]) ** 2 for k, g in sites.items()) / n, noise(len(sites)), mean)
+    for r in got:
+        others = [x for x in hosts[r["host"]] if x["doc_id"] != r["doc_id"]]
+        above = (k_host * mean + total(others)) / (k_host + len(others))
+        near = [x for x in others if x["path"] == r["path"]]
+        assert abs(r["p_site"] - (k_path * above + total(near)) / (k_path + len(near))) < 1e-9
+    alone = next(r for r in got if r["doc_id"] == 0)
+    assert abs(alone["p_site"] - mean) < 1e-9

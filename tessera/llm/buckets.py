@@ -70,6 +70,8 @@ def gathered(by_part: dict[int, list]) -> Iterator[tuple[str, np.ndarray | int,
 CHUNK = 1024
 #: Members compared at once with all of a piece.
 ROWS_AT_ONCE = 256
+#: How often members of large buckets are tried with their nearest before all pairs that are still apart are.
+TURNS = 6
 
 
 def open_members(members: DataFrame, roots: DataFrame, sides: DataFrame) -> DataFrame:
@@ -101,9 +103,9 @@ def folded(sketches: list[np.ndarray]) -> np.ndarray:
     return np.stack([fold(np.asarray(s)) for s in sketches]).view(np.uint64)
 
 
-def piece_pairs(rows: pd.DataFrame, may: Callable, best: bool) -> Iterator[pd.DataFrame]:
-    """Pairs of one piece that may link (by may(n, m, flips)) and are in different components: for each that is not of
-    the largest one its nearest, or all."""
+def piece_pairs(rows: pd.DataFrame, may: Callable, turn: int | None) -> Iterator[pd.DataFrame]:
+    """Pairs of one piece that may link (by may(n, m, flips)) and are in different components: all, or, in a turn, for each
+    member that is not of the largest one the nearest (from turn 1 on among half of the others, by hash)."""
     sketch, n, u, root = folded(list(rows["sketch"])), rows["n"].to_numpy(), rows["u"].to_numpy(), rows["root"].to_numpy()
     other, own, upper = (rows[c].to_numpy(bool) for c in ("other", "own", "upper"))
     which = np.flatnonzero(other)
@@ -115,7 +117,9 @@ def piece_pairs(rows: pd.DataFrame, may: Callable, best: bool) -> Iterator[pd.Da
         ahead = u[i][:, None] < u[None, :]
         here = ~other[None, :] | np.where(ahead, own[i][:, None], own[None, :])  # two that go everywhere: at home with the smaller
         good = may(n[i][:, None], n[None, :], flips) & (root[i][:, None] != root[None, :]) & ~(upper[i][:, None] & upper[None, :]) & here
-        if best:
+        if turn is not None:
+            if turn:
+                good &= mix64((u[i][:, None] ^ u[None, :]).view(np.uint64) + np.uint64(turn)) & np.uint64(1) == 0
             flips[~good] = 1 << 40
             j, x = flips.argmin(1), np.flatnonzero(good.any(1))
             j = j[x]
@@ -125,7 +129,7 @@ def piece_pairs(rows: pd.DataFrame, may: Callable, best: bool) -> Iterator[pd.Da
             yield pd.DataFrame({"u": u[i][x], "v": u[j], "flips": flips[x, j]})
 
 
-def compared(may: Callable, best: bool):
+def compared(may: Callable, turn: int | None):
     """Of open_members, the pairs (u, v, flips) to verify. Pieces lie together; they are read one after the other."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -133,7 +137,7 @@ def compared(may: Callable, best: bool):
 
         def ready(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
             for _, piece in rows.groupby(["bucket", "piece"], sort=False):
-                yield from piece_pairs(piece, may, best)
+                yield from piece_pairs(piece, may, turn)
 
         for b in batches:
             if not len(b):
@@ -164,20 +168,26 @@ def connected(tried: DataFrame, members: DataFrame, sides: DataFrame, may: Calla
 
     tried: a written table of candidate pairs (u, v, flips); members: (bucket, u, upper), of which all two of a bucket
     are candidates; sides: key, n, sketch. verified keeps the links of a table of pairs. First each u is tried with its
-    nearest, then all pairs that are still apart; then the same with the members of buckets that may link by may.
+    nearest, then all pairs that are still apart; then the same with the members of buckets that may link by may, in
+    TURNS turns at most, as long as many of the nearest link.
     """
     spark = sides.sparkSession
     links = verified(settle(tried.groupBy("u").agg(F.min_by("v", F.struct("flips", "v")).alias("v")), "nearest"))
     rest = settle(between(tried, components(links)).join(links, ["u", "v"], "left_anti"), "between")
     links = settle(links.unionByName(verified(rest)), "links")
-    for best in (True, False):
+    turn: int | None = 0
+    while True:
         roots = components(links)
         rows = open_members(members, roots, sides).repartition(partitions(spark), "bucket", "piece").sortWithinPartitions("bucket", "piece")
-        pairs = rows.mapInPandas(compared(may, best), "u long, v long, flips long")
-        if best:
+        pairs = rows.mapInPandas(compared(may, turn), "u long, v long, flips long")
+        if turn is not None:
             pairs = pairs.groupBy("u").agg(F.min_by("v", F.struct("flips", "v")).alias("v"))
         pairs = settle(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
-        if pairs.isEmpty():
+        tried = pairs.count()
+        if not tried and not turn:
             return roots
-        links = settle(links.unionByName(verified(pairs)), "links")
-    return components(links)
+        found = verified(pairs)
+        links = settle(links.unionByName(found), "links")
+        if turn is None:
+            return components(links)
+        turn = turn + 1 if turn + 1 < TURNS and 10 * found.count() >= tried > 0 else None

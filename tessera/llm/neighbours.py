@@ -92,18 +92,19 @@ def usable(v: Column) -> Column:
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = TREES, leaf: int = LEAF, most: int = OPENED, *, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: each query's k found rows of largest inner product (double), its own row left out.
 
-    Ties go to the smaller id. Null, zero, and non-finite vectors take no part, nor do ids that are null or vectors of
-    other than the commonest length. Rows that repeat an id count once for each distinct vector. Fewer candidates give
-    fewer rows, an empty table none. Other columns are not read.
+    Ties go to the smaller id, of equal and of different vectors. Null, empty, zero, and non-finite vectors take no part,
+    nor do null ids. Vectors shorter than the longest count as if zeros followed. Rows that repeat an id count once for
+    each distinct vector. Fewer candidates give fewer rows, an empty table none. Other columns are not read, whatever
+    their names.
     """
     rows = vectors.select(vectors[vec_id].alias("id"), F.transform(vectors[vector], lambda x: x.cast("double")).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
     rows = rows.where(F.col("id").isNotNull() & usable(F.col("v")))
-    lengths = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("longest")).orderBy(F.desc("n"), "d").limit(1).collect()
+    top = rows.agg(F.max(F.size("v")).alias("d"), F.count(F.lit(1)).alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("longest")).first()
     schema = "query_id long, rank int, vec_id long, score double"
-    if not lengths:
+    if not top["n"]:
         return vectors.sparkSession.createDataFrame([], schema)
-    dims, count, longest = lengths[0]["d"], lengths[0]["n"], float(np.sqrt(lengths[0]["longest"])) * (1 + 1e-9)
-    rows = rows.where(F.size("v") == dims).withColumn("key", F.xxhash64("v"))
+    dims, count, longest = top["d"], top["n"], float(np.sqrt(top["longest"])) * (1 + 1e-9)
+    rows = rows.withColumn("v", F.concat("v", F.array_repeat(F.lit(0.0), dims - F.size("v")))).withColumn("key", F.xxhash64("v"))
     # of equal vectors the k + 1 smallest ids, first by salt
     salted = Window.partitionBy("key", F.pmod(F.xxhash64("id"), F.lit(SALTS))).orderBy("id")
     whole = Window.partitionBy("key").orderBy("id")
@@ -124,7 +125,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = TREE
             x = np.stack(b["v"].to_numpy())
             leaves = leaf_of(lifted(x, longest), planes, offsets)
             for t in range(leaves.shape[1]):
-                yield pd.DataFrame({"tree": t, "leaf": leaves[:, t], "coarse": leaves[:, t] >> 4, "key": b["key"], "v": b["v"]})
+                yield pd.DataFrame({"tree": t, "leaf": leaves[:, t], "coarse": leaves[:, t] >> 4, "key": b["key"], "least": b["least"], "v": b["v"]})
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         planes, offsets = forest.value
@@ -132,29 +133,37 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = TREE
             for key, v in zip(b["key"], b["v"]):
                 v = np.asarray(v)
                 ways = np.array(opened(np.r_[v / np.linalg.norm(v), 0.0], planes, offsets, most), np.int32)
-                yield pd.DataFrame({"tree": ways[:, 0], "leaf": ways[:, 1], "coarse": ways[:, 1] >> 4, "key": key, "v": [v] * len(ways)})
+                yield pd.DataFrame({"tree": ways[:, 0], "leaf": ways[:, 1], "coarse": ways[:, 1] >> 4, "key": key, "least": 0, "v": [v] * len(ways)})
 
     def rank(members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(members) and len(queries):
             at = dict(list(members.groupby("leaf").indices.items()))
             mv, qv = np.stack(members["v"].to_numpy()), np.stack(queries["v"].to_numpy())
-            mk, qk = members["key"].to_numpy(), queries["key"].to_numpy()
+            mk, ml, qk = members["key"].to_numpy(), members["least"].to_numpy(), queries["key"].to_numpy()
             for name, qi in queries.groupby("leaf").indices.items():
                 mi = at.get(name)
                 if mi is None:
                     continue
                 near = qv[qi] @ mv[mi].T
-                top = np.argpartition(-near, min(k + 4, len(mi) - 1), axis=1)[:, : k + 5] if len(mi) > k + 5 else np.tile(np.arange(len(mi)), (len(qi), 1))
-                score = (mv[mi[top]] * qv[qi][:, None, :]).sum(-1)
-                out.append(pd.DataFrame({"qkey": np.repeat(qk[qi], top.shape[1]), "key": mk[mi[top]].ravel(), "score": score.ravel()}))
-        return pd.concat(out) if out else pd.DataFrame({"qkey": np.zeros(0, np.int64), "key": np.zeros(0, np.int64), "score": np.zeros(0)})
-
-    shape = "tree int, leaf int, coarse int, key long, v array<double>"
-    members = distinct.select("key", "v").mapInPandas(place, shape)
+                if len(mi) > k + 1:  # all that may be among the first k + 1: the product's own rounding is allowed for
+                    edge = np.partition(near, len(mi) - k - 1, axis=1)[:, len(mi) - k - 1]
+                    x, y = np.nonzero(near >= (edge - 1e-12 * (np.abs(edge) + longest * longest))[:, None])
+                else:
+                    x, y = (a.ravel() for a in np.indices(near.shape))
+                score = (mv[mi[y]] * qv[qi[x]]).sum(-1)
+                order = np.lexsort((ml[mi[y]], -score, x))
+                x, y, score = x[order], y[order], score[order]
+                few = np.arange(len(x)) - np.searchsorted(x, x) <= k
+                out.append(pd.DataFrame({"qkey": qk[qi[x[few]]], "key": mk[mi[y[few]]], "least": ml[mi[y[few]]], "score": score[few]}))
+        return pd.concat(out) if out else pd.DataFrame({"qkey": np.zeros(0, np.int64), "key": np.zeros(0, np.int64), "least": np.zeros(0, np.int64), "score": np.zeros(0)})
+
+    shape = "tree int, leaf int, coarse int, key long, least long, v array<double>"
+    members = distinct.select("key", F.col("ids")[0].cast("long").alias("least"), "v").mapInPandas(place, shape)
     queries = distinct.where("q").select("key", "v").mapInPandas(ask, shape)
-    pairs = members.groupBy("tree", "coarse").cogroup(queries.groupBy("tree", "coarse")).applyInPandas(rank, "qkey long, key long, score double")
-    best = pairs.groupBy("qkey", "key").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(Window.partitionBy("qkey").orderBy(F.desc("score"), "key"))).where(F.col("r") <= k + 1)
+    pairs = members.groupBy("tree", "coarse").cogroup(queries.groupBy("tree", "coarse")).applyInPandas(rank, "qkey long, key long, least long, score double")
+    # the k + 1 first vectors by score and smallest id hold the k first ids, as each comes with its smallest ids
+    best = pairs.groupBy("qkey", "key").agg(F.max("score").alias("score"), F.min("least").alias("least")).withColumn("r", F.row_number().over(Window.partitionBy("qkey").orderBy(F.desc("score"), "least"))).where(F.col("r") <= k + 1)
     full = best.join(distinct.select("key", "ids"), "key").select("qkey", "score", F.explode("ids").alias("vec_id")).join(asked, "qkey").where("query_id <> vec_id")
     order = Window.partitionBy("query_id", "qkey").orderBy(F.desc("score"), "vec_id")
     return full.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(F.col("query_id").cast("long").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("vec_id").cast("long").alias("vec_id"), "score")

@@ -10,8 +10,8 @@ def brute(rows, k):
     good = {}
     for i, v in rows:
         x = None if v is None or any(a is None for a in v) else np.array(v, np.float32).astype(float)
-        if i is not None and x is not None and len(x) == 8 and np.isfinite(x).all() and x.any():
-            good[i] = x
+        if i is not None and x is not None and np.isfinite(x).all() and x.any():
+            good[i] = np.r_[x, np.zeros(8 - len(x))]  # shorter ones count as if zeros followed
     ids = sorted(good)
     m = np.stack([good[i] for i in ids]) if ids else np.zeros((0, 8))
     out = {}
@@ -56,3 +56,19 @@ def test_few_or_no_rows(spark):
     assert found(spark, []) == {}
     assert found(spark, [(0, [1.0] * 8)]) == {}
     assert found(spark, [(0, [1.0] * 8), (1, [2.0] * 8)]) == {0: [(1, 16.0)]}
+
+
+def test_ties_between_different_vectors(spark):
+    """300 distinct vectors of one score: the smallest ids are found."""
+    rng = np.random.default_rng(3)
+    ids = rng.permutation(300) + 1
+    rows = [(0, [1.0, 0.0])] + [(int(i), [1.0, 0.001 * j]) for j, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df, df["vec_id"] == 0, k=20, most=10**6).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == list(range(1, 21)) and {r["score"] for r in got} == {1.0}
+
+
+def test_lengths_differ(spark):
+    df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0]), (2, [1.0, 1.0, 5.0])], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df, df["vec_id"] == 0, k=5, most=10**6).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(1, 3.0), (2, 3.0)]

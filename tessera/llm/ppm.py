@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_RUN, ascii_lower, mix64, partitions, settle
 
-ORDER, CLASSES = 6, 15
+ORDER, CLASSES = 6, 63
 #: No word holds these bytes: what follows a word, the end of a text, and the place before a word's space.
 SPACE, END, PAD = 0x20, 0x09, 0x0A
 #: 256 bytes without the six of white space, with SPACE and END.
@@ -234,10 +234,15 @@ def score_documents(docs: DataFrame, held_out: Column, *, doc_id: str = "doc_id"
     held_out: a boolean over docs; documents where it is true are scored but not learnt from. score is the log10
     probability of class, words and end; base_score that of words and end by smoothed counts. A null text is empty and
     costs its class and end; a null class is one of its own; a null held_out is false. Rows that repeat count each
-    time and are returned each time. Without training documents all symbols are alike. An empty table gives an empty
+    time and are returned each time. Texts of any length are read whole; runs of white space count as one space.
+    Without training documents all symbols are alike. An empty table gives an empty
     one. Other columns are not read.
     """
-    cls = F.pmod(F.xxhash64(docs[label]), F.lit(CLASSES)).cast("int") if label else F.lit(0)
+    cls = F.lit(0)
+    if label:  # the commonest labels are classes of their own, the others share the last one
+        names = [r["c"] for r in docs.groupBy(docs[label].cast("string").alias("c")).count().orderBy(F.desc("count"), "c").limit(CLASSES - 1).collect()]
+        for i, name in enumerate(names):
+            cls = F.when(docs[label].cast("string").eqNullSafe(F.lit(name)), i + 1).otherwise(cls)
     base = docs.select(docs[doc_id].alias("doc_id"), F.xxhash64(docs[text]).alias("text_hash"), F.coalesce(held_out, F.lit(False)).alias("held_out"), cls.alias("cls"), ascii_lower(F.coalesce(docs[text], F.lit(""))).alias("t"))
     tokens = base.select("doc_id", "text_hash", "held_out", "cls", F.explode(F.concat(F.filter(F.split("t", SPACE_RUN), lambda w: w != ""), F.array(F.lit("")))).alias("word"))
     counted = tokens.groupBy("cls", "word").agg(F.sum(F.when(F.col("held_out"), 0).otherwise(1)).alias("c"))
@@ -250,7 +255,7 @@ def score_documents(docs: DataFrame, held_out: Column, *, doc_id: str = "doc_id"
     prior = F.coalesce(*[F.when(F.col("cls") == k, F.lit(float(v))) for k, v in of_class.items()], F.lit(0.0))
     table = settle(priced(words.select("cls", "word", "c", "n")).withColumn("score", F.col("score") + F.when(F.col("word") == "", prior).otherwise(0.0)), "ppm-scores")
     frequent = F.broadcast(table.orderBy(F.desc("n"), "word", "cls").limit(FREQUENT))
-    key = ["doc_id", "text_hash", "held_out"]
+    key = ["doc_id", "text_hash", "held_out", "cls"]
     value = [
         F.count(F.lit(1)).alias("n_tokens"),
         F.sum(F.when(F.col("n") > 0, 1).otherwise(0)).alias("n_known"),

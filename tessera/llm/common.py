@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -17,8 +18,11 @@ SPACE_RUN = "[\\x20\\x09-\\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the session has it; a folder of our own only where it is unset, as in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tessera-shared").rstrip("/")
+    """spark.checkpoint.dir as the session has it; a folder of our own only where it is unset and all runs on one machine, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    return (named or "/tmp/tessera-shared").rstrip("/")
 
 
 #: Rows that go to Python at a time while a table is written: texts may be long, and workers' memory is bounded.

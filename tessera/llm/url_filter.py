@@ -125,4 +125,6 @@ def url_filter(pages: DataFrame, rules=DEFAULT_RULES, block_globs=DEFAULT_BLOCK_
             yield pd.DataFrame({"page_id": b["page_id"], "host": [h for h, _ in both], "path": [p for _, p in both], "rule": rule, "verdict": verdict, "pattern": pattern})
 
     kind = pages.schema[page_id].dataType.simpleString()
-    return pages.select(pages[page_id].alias("page_id"), pages[url].alias("url")).mapInPandas(judge, f"page_id {kind}, host string, path string, rule string, verdict string, pattern string")
+    # ids go through Python as strings, which are exact beside nulls
+    found = pages.select(pages[page_id].cast("string").alias("page_id"), pages[url].alias("url")).mapInPandas(judge, "page_id string, host string, path string, rule string, verdict string, pattern string")
+    return found.withColumn("page_id", found["page_id"].cast(kind))

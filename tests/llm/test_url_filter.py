@@ -35,3 +35,8 @@ def test_contract_rules(spark):
 def test_long_and_no_urls(spark):
     assert judged(spark, ["http://a.net/" + "x" * 20000, "http://a.net/" + "x" * 20000])[0][3] == "block"
     assert judged(spark, []) == []
+
+
+def test_ids_beyond_doubles_beside_nulls(spark):
+    df = spark.createDataFrame([(2**53 + 1, "http://a.net/"), (None, "http://b.org/fr/")], "page_id long, url string")
+    assert {r["page_id"] for r in url_filter.url_filter(df).collect()} == {2**53 + 1, None}

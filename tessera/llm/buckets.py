@@ -103,11 +103,9 @@ def folded(sketches: list[np.ndarray]) -> np.ndarray:
     return np.stack([fold(np.asarray(s)) for s in sketches]).view(np.uint64)
 
 
-def piece_pairs(rows: pd.DataFrame, may: Callable, turn: int | None) -> Iterator[pd.DataFrame]:
+def piece_pairs(sketch: np.ndarray, n: np.ndarray, u: np.ndarray, root: np.ndarray, other: np.ndarray, own: np.ndarray, upper: np.ndarray, may: Callable, turn: int | None) -> Iterator[pd.DataFrame]:
     """Pairs of one piece that may link (by may(n, m, flips)) and are in different components: all, or, in a turn, for each
     member that is not of the largest one the nearest (from turn 1 on among half of the others, by hash)."""
-    sketch, n, u, root = folded(list(rows["sketch"])), rows["n"].to_numpy(), rows["u"].to_numpy(), rows["root"].to_numpy()
-    other, own, upper = (rows[c].to_numpy(bool) for c in ("other", "own", "upper"))
     which = np.flatnonzero(other)
     for a in range(0, len(which), ROWS_AT_ONCE):
         i = which[a : a + ROWS_AT_ONCE]
@@ -136,8 +134,20 @@ def compared(may: Callable, turn: int | None):
         held: list[pd.DataFrame] = []
 
         def ready(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            for _, piece in rows.groupby(["bucket", "piece"], sort=False):
-                yield from piece_pairs(piece, may, turn)
+            bucket, piece, n, u, root = (rows[c].to_numpy() for c in ("bucket", "piece", "n", "u", "root"))
+            other, own, upper = (rows[c].to_numpy(bool) for c in ("other", "own", "upper"))
+            sketches = rows["sketch"].tolist()
+            whole = folded(sketches) if len({len(s) for s in sketches}) == 1 else None
+            edge = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (piece[1:] != piece[:-1]), True])
+            found = []
+            for x, y in zip(edge, edge[1:]):
+                sketch = folded(sketches[x:y]) if whole is None else whole[x:y]
+                found += piece_pairs(sketch, n[x:y], u[x:y], root[x:y], other[x:y], own[x:y], upper[x:y], may, turn)
+                if len(found) > 500:
+                    yield pd.concat(found)
+                    found = []
+            if found:
+                yield pd.concat(found)
 
         for b in batches:
             if not len(b):

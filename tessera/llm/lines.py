@@ -1,9 +1,8 @@
 """Fuzzy line deduplication.
 
 Lines are normalised to words and equal ones are one entry. Entries whose edit similarity over words is 0.8 or more link,
-and every such pair is found by a prefix filter: an edit changes one word at most and two pairs of words in a row, so lines
-of n words at most and t edits share n - t words and n - 2t pairs, and both have one of these among their first when all
-are put in one order. Long lines are listed by their first words, short ones by their first pairs, lines between by both.
+and every such pair is found by a prefix filter: an edit changes two pairs of words in a row at most, so lines of n words
+at most and t edits share n - 2t pairs, and both have one of these among their first when all are put in one order.
 The order is from rare to common as far as a sample tells; what is found does not depend on it. Members of a bucket are
 candidates where lengths and places allow it and the parities of their words (each edit flips two bits at most) do; these
 are exact bounds. One occurrence of each connected group stays: the first.
@@ -31,8 +30,6 @@ BETWEEN = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
 #: Beyond ASCII: spaces and punctuation, which part words too, and letters of scripts without spaces, each a word.
 GAPS = re.compile("[\u00a0\u00ab\u00bb\u2000-\u206f\u3000-\u3004\u3008-\u3020\u3030\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
 UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff])")
-#: Lines of up to BY_PAIRS words are listed by pairs, of BY_WORDS or more by words; two that are alike are both the one or both the other.
-BY_PAIRS, BY_WORDS = 15, 12
 #: Bits of a parity, in longs; larger buckets than ALL_PAIRS are tried by stars first.
 PARITY, ALL_PAIRS = 4, 32
 PARITIES = [f"p{i}" for i in range(PARITY)]
@@ -116,26 +113,11 @@ def list_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"doc_id": rows["doc_id"].iloc[text].to_numpy(), "text_hash": rows["text_hash"].to_numpy()[text], "line": line, "key": line_keys(words, first, n), "n": n} | {p: bits[:, i] for i, p in enumerate(PARITIES)})
 
 
-def sub_lines(words: np.ndarray, first: np.ndarray, n: np.ndarray, these: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """words, first, n of some of the lines (booleans)."""
-    n_these = n[these]
-    return words[np.repeat(these, n)], np.cumsum(n_these) - n_these, n_these
-
-
-def kinds_of(words: np.ndarray, first: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(what an edit changes at most, lines, their things, first, n): pairs of short lines, words of long ones."""
-    for loss, these in ((2, (n >= NEAR_WORDS) & (n <= BY_PAIRS)), (1, n >= BY_WORDS)):
-        if these.any():
-            own, start, size = sub_lines(words, first, n, these)
-            yield loss, np.flatnonzero(these), word_pairs(own, start, size) if loss == 2 else mix64(own), start, size
-
-
 def count_things(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows in blocks(batches, BLOCK_BYTES):
         _, _, first, n, words = entry_lines(lowered(rows))
-        for _, _, things, _, _ in kinds_of(words, first, n):
-            thing, count = np.unique(things, return_counts=True)
-            yield pd.DataFrame({"thing": thing.view(np.int64), "c": count})
+        thing, count = np.unique(word_pairs(words, first, n), return_counts=True)
+        yield pd.DataFrame({"thing": thing.view(np.int64), "c": count})
 
 
 def edits_allowed(n):
@@ -143,33 +125,31 @@ def edits_allowed(n):
 
 
 def prefixes(words: np.ndarray, first: np.ndarray, n: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, ...]:
-    """(line, thing, its first and last place): distinct things of each line of which lines that are alike have one in
+    """(line, word pair, its first and last place): distinct pairs of each line of which lines that are alike have one in
     common that no edit touches."""
-    out = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    for loss, names, things, start, size in kinds_of(words, first, n):
-        longer = np.arange(size.max() * 100 // PERCENT + 10)
-        shared = np.minimum.accumulate((longer - loss * edits_allowed(longer))[::-1])[::-1]  # with this line or a longer one
-        take = size - np.maximum(shared[size], 1) + 1
-        line = np.repeat(np.arange(len(size)), size)
-        rank = looked_up(things, common).astype(np.uint64)
-        order = np.argsort(line.astype(np.uint64) << np.uint64(40) | rank << np.uint64(32) | things & np.uint64(0xFFFFFFFF), kind="stable")
-        begin = np.repeat(start, size)
-        place, thing = order - begin, things[order]
-        head = np.flatnonzero(np.r_[True, (thing[1:] != thing[:-1]) | (line[1:] != line[:-1])])
-        tail = np.r_[head[1:], len(thing)] - 1
-        kept = head - begin[head] < take[line[head]]
-        head, tail = head[kept], tail[kept]
-        out.append((names[line[head]], thing[head], place[head], place[tail]))
-    return tuple(np.concatenate(x) for x in zip(*out))
-
-
-#: What a bucket knows of a member: its thing's lower half, words, places of the thing, 48 bits of parity, entry.
+    if not len(words):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    longer = np.arange(n.max() * 100 // PERCENT + 10)
+    shared = np.minimum.accumulate((longer - 2 * edits_allowed(longer))[::-1])[::-1]  # with this line or a longer one
+    take = np.where(n >= NEAR_WORDS, n - np.maximum(shared[n], 1) + 1, 0)
+    pair, line, begin = word_pairs(words, first, n), np.repeat(np.arange(len(n)), n), np.repeat(first, n)
+    rank = looked_up(pair, common).astype(np.uint64)
+    order = np.argsort(line.astype(np.uint64) << np.uint64(40) | rank << np.uint64(32) | pair & np.uint64(0xFFFFFFFF), kind="stable")
+    place, pair = order - begin, pair[order]
+    head = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]) | (line[1:] != line[:-1])])
+    tail = np.r_[head[1:], len(pair)] - 1
+    kept = head - begin[head] < take[line[head]]
+    head, tail = head[kept], tail[kept]
+    return line[head], pair[head], place[head], place[tail]
+
+
+#: What a bucket knows of a member: a word pair's lower half, words, places of the pair, 48 bits of parity, entry.
 ROW = [("pair", "u4"), ("n", "u2"), ("lo", "u2"), ("hi", "u2"), ("few", "u2"), ("more", "u4"), ("key", "i8")]
 CAP = 65535
 
 
 def may_be_alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Bounds on edits of members of one bucket, a no longer than b: by length, by what lies before and behind the thing, by parity."""
+    """Bounds on edits of members of one bucket, a no longer than b: by length, by what lies before and behind the pair, by parity."""
     n, m = a["n"].astype(np.int64), b["n"].astype(np.int64)
     most, short = edits_allowed(m), m - n
     after = a["lo"].astype(np.int64) - b["hi"]

@@ -39,4 +39,4 @@ def test_long_and_no_urls(spark):
 
 def test_ids_beyond_doubles_beside_nulls(spark):
     df = spark.createDataFrame([(2**53 + 1, "http://a.net/"), (None, "http://b.org/fr/")], "page_id long, url string")
-    assert {r["page_id"] for r in url_filter(df).collect()} == {2**53 + 1, None}
+    assert {r["page_id"] for r in uf.url_filter(df).collect()} == {2**53 + 1, None}

@@ -137,6 +137,14 @@ def segmented(rows: DataFrame, y: str, rate: int, **how) -> DataFrame:
     return rows.select(*[f.name for f in others], F.col(y).cast("array<double>").alias(y)).mapInPandas(run, schema)
 
 
+def segmented_by(rows: DataFrame, y: str, rate: int, by: str, overrides: dict[str, dict], **how) -> DataFrame:
+    """segmented, with other parameters for the contexts (values of by) that overrides names; null contexts have the common ones."""
+    out = segmented(rows.where(F.col(by).isNull() | ~F.col(by).isin(list(overrides))) if overrides else rows, y, rate, **how)
+    for name, own in overrides.items():
+        out = out.unionByName(segmented(rows.where(F.col(by) == name), y, rate, **(how | own)))
+    return out
+
+
 def embedded(rows: DataFrame, y: str, model, size: int) -> DataFrame:
     """rows with embedding: what a user's callable (list of arrays -> matrix) makes of each batch."""
     @F.pandas_udf("array<double>")

@@ -50,12 +50,14 @@ class Merger:
         return rewritten(seqs, top["t1"], top["t2"], top["t1"] + JOINT + top["t2"])
 
     def fit(self, seqs: DataFrame, steps: int | None = None) -> DataFrame:
-        """The rewritten sequences. A plan grows by a window or two with each merge; checkpoint between long fits."""
-        for _ in range(self.max_merges if steps is None else steps):
+        """The rewritten sequences. A plan grows by a window or two with each merge, so they are written out every few merges."""
+        from .models import written
+
+        for i in range(self.max_merges if steps is None else steps):
             out = self.step(seqs)
             if out is None:
                 break
-            seqs = out
+            seqs = written(out) if i % 3 == 2 else out
         return seqs
 
     def encode(self, seqs: DataFrame) -> DataFrame:

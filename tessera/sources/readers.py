@@ -77,6 +77,26 @@ def archived_waves(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInPandas(run, "file_name string, rate int, audio array<double>, error string")
 
 
+def arrays(spark: SparkSession, path: str) -> DataFrame:
+    """path, name, row, values, error: the rows of all numeric arrays in .npy and .npz files (of more than two dimensions
+    the rest is laid out flat; a single number is one row). What cannot be read has an error."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for where, content in zip(b["path"], b["content"]):
+                try:
+                    got = np.load(io.BytesIO(content), allow_pickle=False)
+                    named = {"": got} if isinstance(got, np.ndarray) else {n: got[n] for n in got.files}
+                    for name, x in named.items():
+                        x = np.asarray(x, float)
+                        x = x.reshape(len(x), -1) if x.ndim else x.reshape(1, 1)
+                        yield pd.DataFrame({"path": where, "name": name, "row": np.arange(len(x)), "values": list(x), "error": None})
+                except Exception as e:  # noqa: BLE001  a bad file is a row, not a failed job
+                    yield pd.DataFrame({"path": [where], "name": [""], "row": [0], "values": [None], "error": [str(e)]})
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.np[yz]").load(path)
+    return files.select("path", "content").mapInPandas(run, "path string, name string, row long, values array<double>, error string")
+
+
 def cut(waves: DataFrame, notes: DataFrame, least: int = 100) -> DataFrame:
     """A row for each annotation with its samples [start, end); shorter ones than "least" go; pos_segment counts within a file."""
     from pyspark.sql import Window

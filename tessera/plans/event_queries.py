@@ -22,9 +22,9 @@ def prep_join_filter_map(spark, d):
     return out.select("o_orderkey", "c_custkey", "n_name", "r_name", F.element_at(names, F.col("o_orderstatus")).alias("status"), "priority")
 
 
-@query("outer_join_metrics", "SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.n, 0) AS clicks, coalesce(b.n, 0) AS errors FROM (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'click' AND value > 60 GROUP BY 1) a FULL JOIN (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'error' AND value > 60 GROUP BY 1) b ON a.user_id = b.user_id")
+@query("outer_join_metrics", "SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.n, 0) AS clicks, coalesce(b.n, 0) AS errors FROM (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1) a FULL JOIN (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1) b ON a.user_id = b.user_id")
 def outer_join_metrics(spark, d):
-    e = table(spark, d, "events").where("value > 60")
+    e = table(spark, d, "events")
     part = lambda t, name: e.where(F.col("event_type") == t).groupBy("user_id").agg(F.count(F.lit(1)).alias(name))
     return part("click", "clicks").join(part("error", "errors"), "user_id", "outer").fillna(0)
 
@@ -145,11 +145,12 @@ def vocab_from_labels(spark, d):
     return vectors.centroids(r, "token").select("token", "size", F.round("variance", 6).alias("variance"))
 
 
-LETTERS = f"WITH {CTX}, w AS (SELECT seq_id, any_value(context) AS context, string_agg(substr(token, 1, 1), '' ORDER BY pos) AS s FROM cs WHERE pos < 20 GROUP BY seq_id)"
+LETTERS = f"WITH {CTX}, w AS (SELECT seq_id, any_value(context) AS context, string_agg(substr(token, 1, 1), '' ORDER BY pos) AS s FROM cs GROUP BY seq_id)"
 
 
 def _letters(spark, d) -> DataFrame:
-    rows = sequences.truncated(in_context(spark, d), 20)
+    """Whole sequences, a letter for each token; the first letters of the five types differ."""
+    rows = in_context(spark, d)
     words = sequences.assembled(rows.withColumn("token", F.substring("token", 1, 1)), 1)
     return words.join(rows.select("seq_id", "context").distinct(), "seq_id").select("seq_id", "context", F.array_join("seq", "").alias("s"))
 

@@ -9,7 +9,7 @@ from ..functions.columns import log_sum_exp
 from ..operators import harness, language, models, sequences, vectors
 from .registry import query, table
 from .sequence_queries import CTX, SEQ, events, in_context, split
-from .vector_queries import CEN, NEAR, VEC, rows
+from .vector_queries import CEN, NEAR, VEC, reduced, rows
 
 
 @query("pooled_mean_std", f"WITH {VEC}, s AS (SELECT label, i, avg(val) AS m, stddev_pop(val) AS sd FROM x GROUP BY label, i) SELECT label, round(sum(m), 6) AS mean_total, round(sum(sd), 6) AS std_total FROM s GROUP BY label")
@@ -144,7 +144,7 @@ def noise_fraction(spark, d):
 @query("density_grid")
 def density_grid(spark, d):
     """Clusters found for each setting of a small grid."""
-    r = rows(spark, d).withColumn("v", F.slice("v", 1, 6))
+    r = reduced(spark, d, 6)
     out = None
     for least, core in ((5, 3), (10, 5), (20, 5)):
         got = models.density_clusters(r, least, core)
@@ -155,7 +155,7 @@ def density_grid(spark, d):
 
 @query("component_cover")
 def component_cover(spark, d):
-    return models.covering(models.mixture_family(rows(spark, d).withColumn("v", F.slice("v", 1, 8)), "label", 6, "dp"), "label")
+    return models.covering(models.mixture_family(reduced(spark, d), "label", 6, "dp"), "label")
 
 
 @query("split_leakage")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import models, tokenizers, vectors
 from .registry import query
 from .sequence_queries import TYPES, in_context
-from .vector_queries import CEN, VEC, rows
+from .vector_queries import CEN, VEC, reduced, rows
 
 
 def _moments(covariance):
@@ -43,7 +43,7 @@ def kmeans_family(spark, d):
 
 @query("density_family")
 def density_family(spark, d):
-    return tokenizers.family(models.pca(rows(spark, d), 8).join(rows(spark, d).select("id", F.col("label").alias("l")), "id").select("id", "v", F.col("l").alias("label")), "label", "density").select("label", "component", F.round("weight", 6).alias("weight"))
+    return tokenizers.family(reduced(spark, d), "label", "density").select("label", "component", F.round("weight", 6).alias("weight"))
 
 
 @query("gate_agreement")

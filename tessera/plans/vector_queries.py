@@ -20,6 +20,12 @@ def rows(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), doubles(F.col("embedding")).alias("v"), "label")
 
 
+def reduced(spark: SparkSession, d: str, k: int = 8) -> DataFrame:
+    """rows with the vectors on their k leading axes: all dimensions tell, and densities can be fitted."""
+    r = rows(spark, d)
+    return models.pca(r, k).join(r.select("id", "label"), "id")
+
+
 @query("centroids", f"WITH {CEN}, s AS (SELECT v.label, count(*) AS size, avg(pow(list_distance(v, c), 2)) AS var FROM v JOIN cen ON cen.label = v.label GROUP BY v.label) SELECT cd.label, CAST(i - 1 AS INTEGER) AS dim, round(m, 6) AS mean, size, round(var, 6) AS variance FROM cd JOIN s ON s.label = cd.label")
 def centroids(spark, d):
     return vectors.centroids(rows(spark, d)).select("label", F.posexplode("centroid").alias("dim", "mean"), "size", F.round("variance", 6).alias("variance")).withColumn("mean", F.round("mean", 6))
@@ -201,17 +207,17 @@ def bisecting_kmeans(spark, d):
 
 @query("gmm_family")
 def gmm_family(spark, d):
-    return models.mixture_family(rows(spark, d).withColumn("v", F.slice("v", 1, 8)), "label", 3, "em").select("label", "component", F.round("weight", 6).alias("weight"))
+    return models.mixture_family(reduced(spark, d), "label", 3, "em").select("label", "component", F.round("weight", 6).alias("weight"))
 
 
 @query("dpgmm_family")
 def dpgmm_family(spark, d):
-    return models.mixture_family(rows(spark, d).withColumn("v", F.slice("v", 1, 8)), "label", 6, "dp").select("label", "component", F.round("weight", 6).alias("weight"))
+    return models.mixture_family(reduced(spark, d), "label", 6, "dp").select("label", "component", F.round("weight", 6).alias("weight"))
 
 
 @query("family_predict")
 def family_predict(spark, d):
-    r = rows(spark, d).withColumn("v", F.slice("v", 1, 8))
+    r = reduced(spark, d)
     return models.family_predict(r.withColumn("seq_id", F.col("id") % 50), models.mixture_family(r, "label", 4, "dp"), "label")
 
 
@@ -222,7 +228,7 @@ def per_context_kmeans(spark, d):
 
 @query("hdbscan_labels")
 def hdbscan_labels(spark, d):
-    return models.density_clusters(rows(spark, d).withColumn("v", F.slice("v", 1, 8)), 10, 5)
+    return models.density_clusters(reduced(spark, d), 10, 5)
 
 
 @query("ward_labels")

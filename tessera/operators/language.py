@@ -25,9 +25,10 @@ def dependency(seqs: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
     c = pairs.groupBy(*by, "t1", "t2").agg(F.count(F.lit(1)).alias("n"))
     row = c.groupBy(*by, "t1").agg(F.sum("n").alias("r"))
     col = c.groupBy(*by, "t2").agg(F.sum("n").alias("k"))
-    total = Window.partitionBy(*by)
-    h1 = col.withColumn("p", F.col("k") / F.sum("k").over(total)).groupBy(*by).agg(F.sum(plogp(F.col("p"))).alias("h1"))
-    h2 = c.join(row, [*by, "t1"]).withColumn("all", F.sum("n").over(total)).groupBy(*by).agg((-F.sum(F.col("n") / F.col("all") * F.log2(F.col("n") / F.col("r")))).alias("h2"))
+    total = c.groupBy(*by).agg(F.sum("n").alias("all"))
+    beside = lambda x: x.join(total, by) if by else x.join(F.broadcast(total), how="cross")  # noqa: E731  one row without groups
+    h1 = beside(col).withColumn("p", F.col("k") / F.col("all")).groupBy(*by).agg(F.sum(plogp(F.col("p"))).alias("h1"))
+    h2 = beside(c.join(row, [*by, "t1"])).groupBy(*by).agg((-F.sum(F.col("n") / F.col("all") * F.log2(F.col("n") / F.col("r")))).alias("h2"))
     both = h1.join(h2, by) if by else h1.join(F.broadcast(h2), how="cross")
     return both.select(*by, F.round("h1", 6).alias("h1"), F.round("h2", 6).alias("h2"), F.round(F.when(F.col("h1") > 0, (F.col("h1") - F.col("h2")) / F.col("h1")).otherwise(0.0), 6).alias("dependency"))
 
@@ -39,8 +40,11 @@ def compressibility(seqs: DataFrame, order: int = 3) -> DataFrame:
     for n in range(1, order + 1):
         context = [f"l{k}" for k in range(1, n)]
         grams = lags.groupBy(*context, "token").agg(F.count(F.lit(1)).alias("n"))
-        over = Window.partitionBy(*context) if context else Window.partitionBy(F.lit(0))
-        bits = grams.withColumn("p", F.col("n") / F.sum("n").over(over)).agg(F.round(-F.sum(F.col("n") * F.log2(F.col("p") + 1e-12)) / F.sum("n"), 6).alias("bits")).select(F.lit(n).alias("order"), "bits")
+        if context:
+            shares = grams.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy(*context)))
+        else:
+            shares = grams.join(F.broadcast(grams.agg(F.sum("n").alias("all"))), how="cross").withColumn("p", F.col("n") / F.col("all"))  # one row
+        bits = shares.agg(F.round(-F.sum(F.col("n") * F.log2(F.col("p") + 1e-12)) / F.sum("n"), 6).alias("bits")).select(F.lit(n).alias("order"), "bits")
         out = bits if out is None else out.unionByName(bits)
     return out
 

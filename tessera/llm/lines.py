@@ -1,8 +1,8 @@
 """Fuzzy line deduplication.
 
 Lines are normalised to words and equal ones are one entry. Entries whose edit similarity over words is 0.8 or more link,
-and every such pair is found by a prefix filter: an edit changes two pairs of words in a row at most, so lines of n words
-at most and t edits share n - 2t pairs, and both have one of these among their first when all are put in one order.
+and every such pair is found by a prefix filter: each line is listed by the first of its pairs of words in a row, in one
+order of all pairs, by so many that no t edits touch all of them (see prefix_lengths); so lines that are alike share one.
 The order is from rare to common as far as a sample tells; what is found does not depend on it. Members of a bucket are
 candidates where lengths and places allow it and the parities of their words (each edit flips two bits at most) do; these
 are exact bounds. One occurrence of each connected group stays: the first.
@@ -124,17 +124,50 @@ def edits_allowed(n):
     return (100 - PERCENT) * n // 100
 
 
+#: Steps by which each line's prefix is narrowed; any number of them finds the same pairs.
+NARROWED = 5
+
+
+def edits_to_touch(chosen: np.ndarray, first: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Fewest edits of each line that touch all chosen word pairs: one edit touches two neighbours at most."""
+    at = np.arange(len(chosen))
+    starts = chosen & (np.r_[True, ~chosen[:-1]] | (at == begin))
+    nth = at - np.maximum.accumulate(np.where(starts, at, 0))
+    return np.add.reduceat((chosen & (nth & 1 == 0)).astype(np.int64), first)
+
+
+def prefix_lengths(nth: np.ndarray, first: np.ndarray, n: np.ndarray, line: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """How many of its word pairs, in the order nth, each line is listed by.
+
+    Take a line of n words and one of m words, m >= n, with t(m) edits at most. If the lists share no pair, then all k
+    pairs of one list are touched by edits: that of the line whose list ends first in the order of all. A list is long
+    enough if that takes more than t(m) edits for any m: either as pairs that lie apart take more edits, or by number, as
+    m - n of the edits insert and touch one pair each, which leaves 2 t(m) - (m - n) pairs. (The longer line loses m - n
+    words, each of which touches two; for it m = n is the case that counts.)
+    """
+    longer = np.arange(int(n.max()) * 100 // (100 - PERCENT) + 200)
+    shared = np.minimum.accumulate((longer - 2 * edits_allowed(longer))[::-1])[::-1]  # with a line of so many words or more
+    low, high = edits_allowed(n), n - np.maximum(shared[n], 1) + 1
+    for _ in range(NARROWED):
+        mid = (low + high) // 2
+        touched = edits_to_touch(nth < mid[line], first, begin)
+        from_m = np.maximum(n, -(-100 * touched // (100 - PERCENT)))  # lines from which on so many edits are allowed
+        enough = mid > np.maximum(n - shared[from_m], 0)
+        low, high = np.where(enough, low, mid), np.where(enough, mid, high)
+    return np.where(n >= NEAR_WORDS, high, 0)
+
+
 def prefixes(words: np.ndarray, first: np.ndarray, n: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, ...]:
     """(line, word pair, its first and last place): distinct pairs of each line of which lines that are alike have one in
     common that no edit touches."""
     if not len(words):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    longer = np.arange(n.max() * 100 // PERCENT + 10)
-    shared = np.minimum.accumulate((longer - 2 * edits_allowed(longer))[::-1])[::-1]  # with this line or a longer one
-    take = np.where(n >= NEAR_WORDS, n - np.maximum(shared[n], 1) + 1, 0)
     pair, line, begin = word_pairs(words, first, n), np.repeat(np.arange(len(n)), n), np.repeat(first, n)
     rank = looked_up(pair, common).astype(np.uint64)
     order = np.argsort(line.astype(np.uint64) << np.uint64(40) | rank << np.uint64(32) | pair & np.uint64(0xFFFFFFFF), kind="stable")
+    nth = np.empty(len(order), np.int64)
+    nth[order] = np.arange(len(order)) - begin
+    take = prefix_lengths(nth, first, n, line, begin)
     place, pair = order - begin, pair[order]
     head = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]) | (line[1:] != line[:-1])])
     tail = np.r_[head[1:], len(pair)] - 1

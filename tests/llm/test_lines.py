@@ -100,6 +100,34 @@ def test_repeated_rows_and_empty_table(spark):
     assert lines.without_repeated_lines(df.limit(0)).count() == 0
 
 
+def test_lists_of_alike_lines_share_a_pair():
+    """Whatever the order of pairs, and wherever the edits fall: apart, side by side, only insertions or only deletions."""
+    rng = random.Random(12)
+    none = np.zeros(0, np.uint64), np.zeros(0, np.uint8)
+    shared = checked = 0
+    for case in range(3000):
+        words = rng.choice([4, 30, 1000])
+        a = [rng.randrange(words) for _ in range(rng.randint(5, 70))]
+        b, at, kinds = list(a), rng.randrange(len(a)), rng.choice([[0], [1], [2], [0, 1, 2]])
+        for _ in range(rng.randint(0, len(a) // 4)):
+            at = min(len(b) - 1, rng.choice([at, at + 1, at + 2, rng.randrange(len(b))]))
+            kind = rng.choice(kinds)
+            if kind == 0:
+                b[at] = rng.randrange(words)
+            elif kind == 1:
+                b.insert(rng.choice([at, len(b)]), rng.randrange(words))
+            else:
+                b.pop(at)
+        if min(len(a), len(b)) < lines.NEAR_WORDS or 100 * plain_edits(a, b) > 20 * max(len(a), len(b)):
+            continue
+        flat = lines.mix64(np.array(a + b, np.uint64) + np.uint64(1000 * case))
+        n = np.array([len(a), len(b)])
+        line, pair, _, _ = lines.prefixes(flat, np.cumsum(n) - n, n, none)
+        checked += 1
+        shared += bool(set(pair[line == 0].tolist()) & set(pair[line == 1].tolist()))
+    assert shared == checked > 1000
+
+
 def test_finds_all_pairs_of_edit_similarity(spark):
     """Edit similarity alone decides: lines that are alike but far apart by SimHash, of many lengths, among common words."""
     rng = random.Random(4)

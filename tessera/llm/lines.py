@@ -247,7 +247,8 @@ def buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for a, k in zip(first[size > ALL_PAIRS], size[size > ALL_PAIRS]):
             own, length = key[a : a + k], n[a : a + k]
             least = np.searchsorted(length, length - edits_allowed(length))
-            far = least < np.arange(k)
+            far = np.flatnonzero(least < np.arange(k))
+            far = far[may_be_alike(rows[a + least[far]], rows[a + far])]
             us.append(own[far])
             vs.append(own[least[far]])
             who = np.sort(own)

@@ -1,14 +1,15 @@
 """LM scoring by prediction by partial matching over bytes.
 
-The trie holds byte contexts of up to ORDER bytes. A context reaches back to the space before its word, never over
-it, and carries the document's class (its language) as a root symbol. So what a word costs is a function of the word
-and the class: the corpus is counted once into a table of words, the trie is counted and scored over that table, and
-documents add up the costs of their words. A document is coded as its class, its words each with a space after it,
-and an end. Escapes are estimated by method D (half a count is taken from each symbol seen); symbols of the longer
+A document is coded as its class (its language), then byte by byte its words, each with a space after it, and an end. The
+trie holds the contexts of up to ORDER bytes before each symbol, across words, back to the document's begin; the class is
+its root symbol. Escapes are estimated by method D (half a count is taken from each symbol seen); symbols of the longer
 contexts are excluded from the shorter ones; below order 0 all symbols left are alike.
 
-The trie is spread over shards by class and the last two context bytes. All orders of two and more of a context
-chain lie in one shard; orders 1 and 0 have at most CLASSES x SYMBOLS x SYMBOLS nodes and go to every task.
+Texts are cut into blocks. Each block counts its nodes (class, ORDER bytes of context, symbol), deals them to shards by
+class and last two context bytes, gets back what each costs, and adds up its documents. All orders of two and more of a
+context chain lie in one shard; orders 1 and 0 have at most CLASSES x SYMBOLS x SYMBOLS nodes and go to every task.
+Words are counted for the base score in the same way, as 64-bit hashes. A shard holds its blocks' nodes compressed and
+the distinct ones as arrays.
 """
 
 from __future__ import annotations
@@ -17,20 +18,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_RUN, ascii_lower, mix64, partitions, settle
+from .common import BYTES_DOWN, hashed_runs, mix64, partitions, settle
 
 ORDER, CLASSES = 6, 63
-#: No word holds these bytes: what follows a word, the end of a text, and the place before a word's space.
+#: No word holds these bytes: what follows a word, the end of a text, and the place before its begin.
 SPACE, END, PAD = 0x20, 0x09, 0x0A
+#: What stands before a text.
+BEGIN = bytes([PAD] * (ORDER - 1) + [SPACE])
 #: 256 bytes without the six of white space, with SPACE and END.
 SYMBOLS = 252
-BLOCK = 100_000
-#: So many of the most frequent words are broadcast to the documents, the others joined by shuffle.
-FREQUENT = 262_144
+#: Bytes of a block; a longer text is cut between two words, so that only a longer word makes a longer block.
+BLOCK = 6 << 20
+#: Keys of a shard that are gathered before they are summed up.
+GATHER = 1 << 21
 CLASS_BITS = np.uint64(0xFF << 56)
 
 
@@ -39,25 +44,22 @@ def mask(order: int) -> np.uint64:
     return np.uint64((1 << (8 * (order + 1))) - 1) | CLASS_BITS
 
 
-def positions(classes: np.ndarray, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(word index, node of the highest order) of each coded symbol; a node is class, ORDER context bytes, symbol."""
-    lens = np.fromiter(map(len, words), np.int64, len(words))
-    total, idx = lens + 1, np.repeat(np.arange(len(words)), lens + 1)
-    starts = np.cumsum(total) - total
-    symbol = np.zeros(int(total.sum()), np.uint64)
-    last = np.zeros(len(symbol), bool)
-    last[starts + lens] = True
-    symbol[~last] = np.frombuffer(b"".join(words), np.uint8)
-    symbol[last] = np.where(lens == 0, END, SPACE)
-    place = np.arange(len(symbol)) - np.repeat(starts, total)
-    node = symbol | (classes.astype(np.uint64)[idx] << np.uint64(56))
-    for j in range(1, ORDER + 1):
-        before = np.full(len(symbol), PAD, np.uint64)
-        before[j:] = symbol[:-j]
-        before[place < j] = PAD
-        before[place == j - 1] = SPACE
-        node |= before << np.uint64(8 * j)
-    return idx, node
+def nodes_of(stream: np.ndarray, sizes: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """The node of the highest order at each byte of the pieces but their first ORDER, which are context only."""
+    node = stream.astype(np.uint64)
+    for j in (1, 2, 4):  # each step doubles the bytes held; byte 7 is cut off below
+        node[j:] |= node[:-j] << np.uint64(8 * j)
+    node &= ~CLASS_BITS
+    node |= np.repeat(classes.astype(np.uint64) << np.uint64(56), sizes)
+    return node[coded(sizes)]
+
+
+def coded(sizes: np.ndarray) -> np.ndarray:
+    out = np.ones(int(sizes.sum()), bool)
+    starts = np.cumsum(sizes) - sizes
+    for j in range(ORDER):
+        out[starts + j] = False
+    return out
 
 
 def summed(nodes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,147 +127,253 @@ def shard_of(nodes: np.ndarray, shards: int) -> np.ndarray:
     return (mix64(((nodes >> np.uint64(8)) & np.uint64(0xFFFF)) | (nodes >> np.uint64(56) << np.uint64(16))) % np.uint64(shards)).astype(np.int64)
 
 
-def dealt(classes: np.ndarray, words: list[bytes], shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct nodes of a block by shard, where each shard's begin, and for each position its word and its node."""
-    idx, node = positions(classes, words)
-    nodes, inverse = np.unique(node, return_inverse=True)
-    shard = shard_of(nodes, shards)
-    order = np.argsort(shard, kind="stable")
-    back = np.empty_like(order)
-    back[order] = np.arange(len(order))
-    return nodes[order], np.searchsorted(shard[order], np.arange(shards + 1)), idx, back[inverse], order
+PIECE = np.dtype([("row", "i8"), ("size", "i8"), ("cls", "u1"), ("train", "u1"), ("last", "u1")])
+ROWS = "block long, shard int, kind int, body binary, rows binary, ids array<string>"
+COLUMNS = ["block", "shard", "kind", "body", "rows", "ids"]
+#: kind of a row: nodes or words of a shard. shard of a row: texts of a block; nodes of order 1; number of words known.
+NODES, WORDS = 0, 1
+TEXTS, LOW, KNOWN = -1, -2, -3
+
+
+def shut(values: np.ndarray) -> bytes:
+    """Compressed, with the n-th bytes of all values together."""
+    raw = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
+    return len(raw).to_bytes(8, "little") + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
+
+
+def opened(data: bytes, kind: type) -> np.ndarray:
+    size = int.from_bytes(data[:8], "little")
+    if not size:
+        return np.zeros(0, kind)
+    raw = np.frombuffer(pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
 
+def shut_costs(values: np.ndarray) -> tuple[bytes, bytes]:
+    """The distinct values, and which of these each is: most costs come many times."""
+    distinct, at = np.unique(values, return_inverse=True)
+    return shut(at.astype(np.int32)), shut(distinct)
 
-def packed(words: list[bytes]) -> tuple[bytes, bytes]:
-    return b"".join(words), np.fromiter(map(len, words), np.int32, len(words)).tobytes()
 
+def opened_costs(at: bytes, distinct: bytes) -> np.ndarray:
+    return opened(distinct, np.float64)[opened(at, np.int32)]
+
+
+def shut_keys(keys: np.ndarray) -> bytes:
+    return shut(np.diff(keys, prepend=np.uint64(0)))
+
+
+def opened_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(opened(data, np.uint64), dtype=np.uint64)
+
+
+def cut_text(text: bytes | None) -> list[bytes]:
+    """The coded form of a text in pieces of about BLOCK bytes, each after the ORDER bytes before it."""
+    body = b"".join([w for word in (text or b"").translate(BYTES_DOWN).split() for w in (word, b" ")]) + bytes([END])
+    out, at, before = [], 0, BEGIN
+    while at < len(body):
+        past = len(body)
+        if past - at > BLOCK:
+            past = body.rfind(b" ", at, at + BLOCK) + 1 or (body.find(b" ", at) + 1 or len(body))
+            past = len(body) if past == len(body) - 1 else past  # an end has company
+        out.append(before + body[at:past])
+        before, at = (BEGIN + body[max(0, past - ORDER) : past])[-ORDER:], past
+    return out
 
-PIECE = "block long, shard int, keys binary, counts binary, classes binary, totals binary"
+
+def to_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Documents (doc_id, held_out, cls, t) to blocks of texts, and last a row with the nodes of order 1 in training."""
+    part = TaskContext.get().partitionId()
+    held, size, row, number = [], 0, 0, 0
+    low = np.zeros((CLASSES + 1) << 16, np.int64)
+
+    def block() -> pd.DataFrame:
+        pieces = np.array([h[:5] for h in held], PIECE)
+        data = b"".join(h[6] for h in held)
+        stream, train = np.frombuffer(data, np.uint8), np.repeat(pieces["train"] > 0, pieces["size"])
+        at = np.flatnonzero(coded(pieces["size"]) & train)
+        two = (stream[at - 1].astype(np.int64) << 8) | stream[at] if len(at) else np.zeros(0, np.int64)
+        cls = np.repeat(pieces["cls"], pieces["size"])[at].astype(np.int64)
+        np.add(low, np.bincount((cls << 16) | two, minlength=len(low)), out=low)
+        return pd.DataFrame([((part << 32) + number, TEXTS, NODES, shut(stream), pieces.tobytes(), [h[5] for h in held])], columns=COLUMNS)
+
+    for b in batches:
+        for doc_id, out, cls, text in zip(b["doc_id"], b["held_out"], b["cls"], b["t"]):
+            pieces = cut_text(text)
+            for i, piece in enumerate(pieces):
+                if held and size + len(piece) > BLOCK:
+                    yield block()
+                    held, size, number = [], 0, number + 1
+                held.append(((part << 40) + row, len(piece), cls, not out, i == len(pieces) - 1, doc_id, piece))
+                size += len(piece)
+            row += 1
+    if held:
+        yield block()
+        seen = np.flatnonzero(low)
+        nodes = ((seen >> 16).astype(np.uint64) << np.uint64(56)) | (seen & 0xFFFF).astype(np.uint64)
+        yield pd.DataFrame([((part << 32) + number, LOW, NODES, shut_keys(nodes), shut(low[seen]), None)], columns=COLUMNS)
+
+
+class Counted:
+    """The distinct keys of a block, in the order of shards, where each shard's begin, and for each place its key."""
+
+    def __init__(self, keys: np.ndarray, shards: int, shard):
+        at, distinct = pd.factorize(keys)
+        order = np.argsort(distinct)
+        of = shard(distinct[order], shards)
+        order = order[np.argsort(of, kind="stable")]
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        self.keys, self.at = distinct[order], back[at]
+        self.begin = np.r_[0, np.cumsum(np.bincount(of, minlength=shards))]
+
+
+def word_shard(words: np.ndarray, shards: int) -> np.ndarray:
+    return (words % np.uint64(shards)).astype(np.int64)
+
+
+class Block:
+    """The texts of a block: nodes and words, and for each of these its piece."""
+
+    def __init__(self, body: bytes, rows: bytes, shards: int):
+        self.pieces = np.frombuffer(rows, PIECE)
+        stream, sizes = opened(body, np.uint8), self.pieces["size"]
+        self.nodes = Counted(nodes_of(stream, sizes, self.pieces["cls"]), shards, shard_of)
+        gap = (stream == SPACE) | (stream == END) | ~coded(sizes)
+        words, first = hashed_runs(stream, gap) if not gap.all() else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        self.words = Counted(words, shards, word_shard)
+        self.node_piece = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes - ORDER)
+        self.word_piece = np.searchsorted(np.cumsum(sizes), first, side="right")
 
 
 def cut_blocks(shards: int):
-    """Word rows to blocks: a row with the words (shard -1), one with the nodes of order 1 (shard -2), one for each shard."""
+    """Blocks of texts to one row of nodes and one of words for each shard: keys, and how often in training."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, held, size = TaskContext.get().partitionId(), [], 0
-        number = 0
-
-        def block() -> pd.DataFrame:
-            rows = pd.concat(held)
-            words = [w.encode() for w in rows["word"]]
-            classes, c = rows["cls"].to_numpy(np.uint8), rows["c"].to_numpy(np.int64)
-            nodes, begin, idx, at, _ = dealt(classes, words, shards)
-            n = np.bincount(at, weights=c[idx], minlength=len(nodes)).astype(np.int64)
-            first, first_n = summed(nodes & mask(1), n)
-            name = (part << 32) + number
-            joined, lens = packed(words)
-            out = [(name, -1, joined, lens, classes.tobytes(), rows["n"].to_numpy(np.int64).tobytes()), (name, -2, first[first_n > 0].tobytes(), first_n[first_n > 0].tobytes(), None, None)]
-            out += [(name, s, nodes[a:b].tobytes(), n[a:b].tobytes(), None, None) for s, (a, b) in enumerate(zip(begin, begin[1:])) if b > a]
-            return pd.DataFrame(out, columns=["block", "shard", "keys", "counts", "classes", "totals"])
-
         for b in batches:
-            held.append(b)
-            size += len(b)
-            if size >= BLOCK:
-                yield block()
-                held, size, number = [], 0, number + 1
-        if size:
-            yield block()
+            for name, body, rows in zip(b["block"], b["body"], b["rows"]):
+                block, out = Block(body, rows, shards), []
+                train = block.pieces["train"].astype(np.float64)
+                for kind, some, piece in ((NODES, block.nodes, block.node_piece), (WORDS, block.words, block.word_piece)):
+                    n = np.bincount(some.at, weights=train[piece], minlength=len(some.keys)).astype(np.int32)
+                    out += [(name, s, kind, shut_keys(some.keys[i:j]), shut(n[i:j]), None) for s, (i, j) in enumerate(zip(some.begin, some.begin[1:])) if j > i]
+                yield pd.DataFrame(out, columns=COLUMNS)
 
     return cut
 
 
-def first_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        for k, c in zip(b["keys"], b["counts"]):
-            yield pd.DataFrame({"node": np.frombuffer(k, np.int64), "n": np.frombuffer(c, np.int64)})
+def total(rows: Iterator[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """All keys of the rows and their counts; no more than GATHER keys besides the distinct ones are open at a time."""
+    keys, counts, size = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    for k, c in rows:
+        keys.append(opened_keys(k))
+        counts.append(opened(c, np.int32).astype(np.int64))
+        size += len(keys[-1])
+        if size > max(GATHER, len(keys[0])):
+            one = summed(np.concatenate(keys), np.concatenate(counts))
+            keys, counts, size = [one[0]], [one[1]], 0
+    return summed(np.concatenate(keys), np.concatenate(counts))
 
 
 def score_shards(low):
+    """Rows of shards to what each key costs (nodes), or how often it is in training (words)."""
+
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = [r for b in batches for r in zip(b["block"], b["shard"], b["keys"], b["counts"])]
-        if not rows:
-            return
-        keys = [np.frombuffer(k, np.uint64) for _, _, k, _ in rows]
-        nodes = np.concatenate(keys)
-        distinct, inverse = np.unique(nodes, return_inverse=True)
-        n = np.bincount(inverse, weights=np.concatenate([np.frombuffer(c, np.int64) for *_, c in rows])).astype(np.int64)
-        cost = costs(distinct, n, low.value)[inverse]
-        ends = np.cumsum([len(k) for k in keys])
-        for (block, shard, *_), a, b in zip(rows, np.r_[0, ends], ends):
-            yield pd.DataFrame({"block": [block], "shard": [shard], "keys": [cost[a:b].tobytes()], "counts": [None], "classes": [None], "totals": [None]})
+        held: dict[tuple[int, int], list] = {}
+        for b in batches:
+            for block, shard, kind, k, c in zip(b["block"], b["shard"], b["kind"], b["body"], b["rows"]):
+                held.setdefault((shard, kind), []).append((block, k, c))
+        for (shard, kind), rows in held.items():
+            keys, counts = total((k, c) for _, k, c in rows)
+            if kind == NODES:
+                values = costs(keys, counts, low.value)
+            else:
+                values = counts.astype(np.float64)
+                yield pd.DataFrame([(-1, KNOWN, WORDS, shut(np.array([np.count_nonzero(counts)])), None, None)], columns=COLUMNS)
+            for i in range(0, len(rows), 64):
+                some = [(block, shard, kind, *shut_costs(values[np.searchsorted(keys, opened_keys(k))]), None) for block, k, _ in rows[i : i + 64]]
+                yield pd.DataFrame(some, columns=COLUMNS)
 
     return score
 
 
+SUMS = "row long, doc_id string, held_out boolean, cls int, last boolean, words long, known long, base double, score double"
+
+
 def merge_blocks(shards: int):
+    """A block's texts and what its keys cost to sums of its pieces; the rows that tell of known words to one, of null row."""
+
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        head = rows[rows["shard"] == -1].iloc[0]
-        lens = np.frombuffer(head["counts"], np.int32)
-        ends = np.cumsum(lens)
-        words = [head["keys"][e - n : e] for e, n in zip(ends, lens)]
-        classes = np.frombuffer(head["classes"], np.uint8)
-        nodes, begin, idx, at, _ = dealt(classes, words, shards)
-        cost = np.zeros(len(nodes))
-        for s, k in zip(rows["shard"], rows["keys"]):
+        names = [c.split()[0] for c in SUMS.split(", ")]
+        if rows["shard"].iloc[0] == KNOWN:
+            return pd.DataFrame([(None, None, None, None, None, None, sum(int(opened(b, np.int64)[0]) for b in rows["body"]), None, None)], columns=names)
+        head = rows[rows["shard"] == TEXTS].iloc[0]
+        block = Block(head["body"], head["rows"], shards)
+        cost, seen = np.zeros(len(block.nodes.keys)), np.zeros(len(block.words.keys))
+        for s, kind, at, distinct in zip(rows["shard"], rows["kind"], rows["body"], rows["rows"]):
             if s >= 0:
-                cost[begin[s] : begin[s + 1]] = np.frombuffer(k, np.float64)
-        score = np.bincount(idx, weights=cost[at], minlength=len(words))
-        return pd.DataFrame({"cls": classes.astype(np.int32), "word": [w.decode() for w in words], "n": np.frombuffer(head["totals"], np.int64), "score": score})
+                some, into = (block.nodes, cost) if kind == NODES else (block.words, seen)
+                into[some.begin[s] : some.begin[s + 1]] = opened_costs(at, distinct)
+        p, many = block.pieces, len(block.pieces)
+        add = lambda piece, values: np.bincount(piece, weights=values, minlength=many)
+        c = seen[block.words.at]
+        return pd.DataFrame({
+            "row": p["row"], "doc_id": list(head["ids"]), "held_out": p["train"] == 0, "cls": p["cls"].astype(np.int32), "last": p["last"] > 0,
+            "words": np.bincount(block.word_piece, minlength=many).astype(np.int64), "known": add(block.word_piece, c > 0).astype(np.int64),
+            "base": add(block.word_piece, np.log10(c + 1)), "score": add(block.node_piece, cost[block.nodes.at]),
+        })
 
     return merge
 
 
-def priced(words: DataFrame) -> DataFrame:
-    """words (cls, word, c, n) -> cls, word, n, score. c: in training, of the class; n: of all classes."""
-    spark = words.sparkSession
-    shards = partitions(spark)
-    pieces = settle(words.mapInPandas(cut_blocks(shards), PIECE), "ppm-pieces")
-    low = pieces.where("shard = -2").select("keys", "counts").mapInPandas(first_order, "node long, n long").groupBy("node").agg(F.sum("n").alias("n")).toPandas()
-    order = np.argsort(low["node"].to_numpy(np.int64).view(np.uint64))
-    table = spark.sparkContext.broadcast((low["node"].to_numpy(np.int64).view(np.uint64)[order], low["n"].to_numpy(np.int64)[order]))
-    answers = pieces.where("shard >= 0").repartition(shards, "shard").mapInPandas(score_shards(table), PIECE)
-    return pieces.where("shard = -1").unionByName(answers).groupBy("block").applyInPandas(merge_blocks(shards), "cls int, word string, n long, score double")
+def low_orders(blocks: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of order 1 and their counts, of all blocks: at most CLASSES x SYMBOLS x SYMBOLS."""
+
+    def opened_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for k, c in zip(b["body"], b["rows"]):
+                yield pd.DataFrame({"node": opened_keys(k).view(np.int64), "n": opened(c, np.int64)})
+
+    got = blocks.where(F.col("shard") == LOW).select("body", "rows").mapInPandas(opened_rows, "node long, n long").groupBy("node").agg(F.sum("n").alias("n")).toPandas()
+    return summed(got["node"].to_numpy(np.int64).view(np.uint64), got["n"].to_numpy(np.int64))
 
 
 def score_documents(docs: DataFrame, held_out: Column, *, doc_id: str = "doc_id", text: str = "text", label: str | None = "lang") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of docs.
 
     held_out: a boolean over docs; documents where it is true are scored but not learnt from. score is the log10
-    probability of class, words and end; base_score that of words and end by smoothed counts. A null text is empty and
-    costs its class and end; a null class is one of its own; a null held_out is false. Rows that repeat count each
-    time and are returned each time. Texts of any length are read whole; runs of white space count as one space.
-    Without training documents all symbols are alike. An empty table gives an empty
-    one. Other columns are not read.
+    probability of class, words and end; base_score that of words and end by smoothed counts. A null text is empty and costs its class and end; a null class is one of its own; a null held_out
+    is false. Ids are of a type that text can be cast to. Rows that repeat count each time and are returned each time.
+    Texts of any length are read whole; runs of white space count as one space. Without training documents all symbols
+    are alike. An empty table gives an empty one. Other columns are not read.
     """
+    spark, shards = docs.sparkSession, partitions(docs.sparkSession)
     cls = F.lit(0)
     if label:  # the commonest labels are classes of their own, the others share the last one
         names = [r["c"] for r in docs.groupBy(docs[label].cast("string").alias("c")).count().orderBy(F.desc("count"), "c").limit(CLASSES - 1).collect()]
         for i, name in enumerate(names):
             cls = F.when(docs[label].cast("string").eqNullSafe(F.lit(name)), i + 1).otherwise(cls)
-    base = docs.select(docs[doc_id].alias("doc_id"), F.xxhash64(docs[text]).alias("text_hash"), F.coalesce(held_out, F.lit(False)).alias("held_out"), cls.alias("cls"), ascii_lower(F.coalesce(docs[text], F.lit(""))).alias("t"))
-    tokens = base.select("doc_id", "text_hash", "held_out", "cls", F.explode(F.concat(F.filter(F.split("t", SPACE_RUN), lambda w: w != ""), F.array(F.lit("")))).alias("word"))
-    counted = tokens.groupBy("cls", "word").agg(F.sum(F.when(F.col("held_out"), 0).otherwise(1)).alias("c"))
-    by_word = Window.partitionBy("word")
-    words = settle(counted.withColumn("n", F.sum("c").over(by_word)).withColumn("nth", F.row_number().over(by_word.orderBy("cls"))), "ppm-words")
-    total = words.agg(F.sum("c").alias("tokens"), F.sum(F.when((F.col("nth") == 1) & (F.col("n") > 0), 1).otherwise(0)).alias("kinds")).first()
-    n_all, kinds = total["tokens"] or 0, total["kinds"] or 0
-    ends = {r["cls"]: r["c"] for r in words.where("word = ''").select("cls", "c").collect()}  # at most CLASSES
-    of_class = {k: np.log10((c + 1) / (sum(ends.values()) + CLASSES)) for k, c in ends.items()}
-    prior = F.coalesce(*[F.when(F.col("cls") == k, F.lit(float(v))) for k, v in of_class.items()], F.lit(0.0))
-    table = settle(priced(words.select("cls", "word", "c", "n")).withColumn("score", F.col("score") + F.when(F.col("word") == "", prior).otherwise(0.0)), "ppm-scores")
-    frequent = F.broadcast(table.orderBy(F.desc("n"), "word", "cls").limit(FREQUENT))
-    key = ["doc_id", "text_hash", "held_out", "cls"]
-    value = [
-        F.count(F.lit(1)).alias("n_tokens"),
-        F.sum(F.when(F.col("n") > 0, 1).otherwise(0)).alias("n_known"),
-        F.sum(F.log10((F.col("n") + 1) / F.lit(float(n_all + kinds + 1)))).alias("base_score"),
-        F.sum("score").alias("score"),
-        F.sum(F.when(F.col("word") == "", 1).otherwise(0)).alias("copies"),
-    ]
-    near = tokens.join(frequent, ["cls", "word"]).groupBy(*key).agg(*value)
-    far = tokens.join(frequent, ["cls", "word"], "left_anti").join(table, ["cls", "word"]).groupBy(*key).agg(*value)
-    sums = near.unionByName(far).groupBy(*key).agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score", "copies")])
-    each = lambda c: (F.col(c) / F.col("copies")).alias(c)
-    out = sums.select("doc_id", "held_out", each("n_tokens"), each("n_known"), each("base_score"), each("score"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return out.select("doc_id", "held_out", F.col("n_tokens").cast("long").alias("n_tokens"), F.col("n_known").cast("long").alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
+    base = docs.select(docs[doc_id].cast("string").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), cls.cast("int").alias("cls"), docs[text].cast("binary").alias("t"))
+    blocks = settle(base.mapInPandas(to_blocks, ROWS), "ppm-blocks")
+    low = spark.sparkContext.broadcast(low_orders(blocks))
+    texts = blocks.where(F.col("shard") == TEXTS)
+    answers = texts.mapInPandas(cut_blocks(shards), ROWS).repartition(shards, "shard").mapInPandas(score_shards(low), ROWS)
+    sums = settle(texts.unionByName(answers).groupBy("block").applyInPandas(merge_blocks(shards), SUMS), "ppm-sums")
+    trained = {r["cls"]: r["n"] for r in sums.where("last").groupBy("cls").agg(F.sum(F.when(F.col("held_out"), 0).otherwise(1)).alias("n")).collect()}
+    ends = sum(trained.values())
+    counted = sums.agg(F.sum(F.when(~F.col("held_out"), F.col("words"))).alias("words"), F.sum(F.when(F.col("row").isNull(), F.col("known"))).alias("kinds")).first()
+    n_all, kinds = (counted["words"] or 0) + ends, (counted["kinds"] or 0) + (ends > 0)
+    prior = F.coalesce(*[F.when(F.col("cls") == k, F.lit(float(np.log10((n + 1) / (ends + CLASSES))))) for k, n in trained.items()], F.lit(0.0))
+    whole = sums.where("row is not null").groupBy("row").agg(
+        F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), F.first("cls").alias("cls"),
+        *[F.sum(c).alias(c) for c in ("words", "known", "base", "score")],
+    )
+    return whole.select(
+        F.col("doc_id").cast(docs.select(docs[doc_id]).schema[0].dataType).alias("doc_id"),
+        "held_out",
+        (F.col("words") + 1).alias("n_tokens"),
+        (F.col("known") + int(ends > 0)).cast("long").alias("n_known"),
+        F.lit(n_all).cast("long").alias("train_tokens"),
+        (F.col("base") + float(np.log10(ends + 1)) - (F.col("words") + 1) * float(np.log10(n_all + kinds + 1))).alias("base_score"),
+        (F.col("score") + prior).alias("score"),
+    )

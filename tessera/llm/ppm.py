@@ -32,8 +32,9 @@ SPACE, END, PAD = 0x20, 0x09, 0x0A
 BEGIN = bytes([PAD] * (ORDER - 1) + [SPACE])
 #: 256 bytes without the six of white space, with SPACE and END.
 SYMBOLS = 252
-#: Bytes of a block; a longer text is cut between two words, so that only a longer word makes a longer block.
-BLOCK = 6 << 20
+#: Bytes of a block, and of a stretch of it, which is worked on at a time; a longer text is cut between two words, so
+#: that only a longer word makes a longer stretch.
+BLOCK, STRETCH = 16 << 20, 2 << 20
 #: Keys of a shard that are gathered before they are summed up.
 GATHER = 1 << 21
 CLASS_BITS = np.uint64(0xFF << 56)
@@ -54,6 +55,16 @@ def nodes_of(stream: np.ndarray, sizes: np.ndarray, classes: np.ndarray) -> np.n
     return node[coded(sizes)]
 
 
+def stretches(sizes: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """Pieces of about STRETCH bytes together: first piece, past the last, first byte, past the last."""
+    ends = np.cumsum(sizes)
+    piece = at = 0
+    while piece < len(sizes):
+        past = max(piece + 1, int(np.searchsorted(ends, at + STRETCH, side="right")))
+        yield piece, past, at, int(ends[past - 1])
+        piece, at = past, int(ends[past - 1])
+
+
 def coded(sizes: np.ndarray) -> np.ndarray:
     out = np.ones(int(sizes.sum()), bool)
     starts = np.cumsum(sizes) - sizes
@@ -138,7 +149,7 @@ TEXTS, LOW, KNOWN = -1, -2, -3
 def shut(values: np.ndarray) -> bytes:
     """Compressed, with the n-th bytes of all values together."""
     raw = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
-    return len(raw).to_bytes(8, "little") + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
+    return len(raw).to_bytes(8, "little") + (pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True) if raw else b"")
 
 
 def opened(data: bytes, kind: type) -> np.ndarray:
@@ -168,13 +179,13 @@ def opened_keys(data: bytes) -> np.ndarray:
 
 
 def cut_text(text: bytes | None) -> list[bytes]:
-    """The coded form of a text in pieces of about BLOCK bytes, each after the ORDER bytes before it."""
+    """The coded form of a text in pieces of about STRETCH bytes, each after the ORDER bytes before it."""
     body = b"".join([w for word in (text or b"").translate(BYTES_DOWN).split() for w in (word, b" ")]) + bytes([END])
     out, at, before = [], 0, BEGIN
     while at < len(body):
         past = len(body)
-        if past - at > BLOCK:
-            past = body.rfind(b" ", at, at + BLOCK) + 1 or (body.find(b" ", at) + 1 or len(body))
+        if past - at > STRETCH:
+            past = body.rfind(b" ", at, at + STRETCH) + 1 or (body.find(b" ", at) + 1 or len(body))
             past = len(body) if past == len(body) - 1 else past  # an end has company
         out.append(before + body[at:past])
         before, at = (BEGIN + body[max(0, past - ORDER) : past])[-ORDER:], past
@@ -190,11 +201,12 @@ def to_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def block() -> pd.DataFrame:
         pieces = np.array([h[:5] for h in held], PIECE)
         data = b"".join(h[6] for h in held)
-        stream, train = np.frombuffer(data, np.uint8), np.repeat(pieces["train"] > 0, pieces["size"])
-        at = np.flatnonzero(coded(pieces["size"]) & train)
-        two = (stream[at - 1].astype(np.int64) << 8) | stream[at] if len(at) else np.zeros(0, np.int64)
-        cls = np.repeat(pieces["cls"], pieces["size"])[at].astype(np.int64)
-        np.add(low, np.bincount((cls << 16) | two, minlength=len(low)), out=low)
+        stream = np.frombuffer(data, np.uint8)
+        for a, z, i, j in stretches(pieces["size"]):
+            sizes = pieces["size"][a:z]
+            at = np.flatnonzero(coded(sizes) & np.repeat(pieces["train"][a:z] > 0, sizes))
+            cls = np.repeat(pieces["cls"][a:z], sizes)[at].astype(np.int64)
+            np.add.at(low, *np.unique((cls << 16) | (stream[i:j][at - 1].astype(np.int64) << 8) | stream[i:j][at], return_counts=True))
         return pd.DataFrame([((part << 32) + number, TEXTS, NODES, shut(stream), pieces.tobytes(), [h[5] for h in held])], columns=COLUMNS)
 
     for b in batches:
@@ -215,16 +227,22 @@ def to_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class Counted:
-    """The distinct keys of a block, in the order of shards, where each shard's begin, and for each place its key."""
-
-    def __init__(self, keys: np.ndarray, shards: int, shard):
-        at, distinct = pd.factorize(keys)
+    """The distinct keys of a block, in the order of shards, where each shard's begin, and for each place of its stretches the key."""
+
+    def __init__(self, keys: Iterator[np.ndarray], shards: int, shard):
+        self.at, found, size = [], [np.zeros(0, np.uint64)], 0
+        for k in keys:
+            at, distinct = pd.factorize(k)
+            self.at.append((at + size).astype(np.int32))
+            found.append(distinct)
+            size += len(distinct)
+        own, distinct = pd.factorize(np.concatenate(found))
         order = np.argsort(distinct)
         of = shard(distinct[order], shards)
         order = order[np.argsort(of, kind="stable")]
-        back = np.empty(len(order), np.int64)
-        back[order] = np.arange(len(order))
-        self.keys, self.at = distinct[order], back[at]
+        back = np.empty(len(order), np.int32)
+        back[order] = np.arange(len(order), dtype=np.int32)
+        self.keys, self.at = distinct[order], [back[own][at] for at in self.at]
         self.begin = np.r_[0, np.cumsum(np.bincount(of, minlength=shards))]
 
 
@@ -233,17 +251,43 @@ def word_shard(words: np.ndarray, shards: int) -> np.ndarray:
 
 
 class Block:
-    """The texts of a block: nodes and words, and for each of these its piece."""
+    """The texts of a block: nodes and words, and for each of these, by stretches, its piece."""
 
     def __init__(self, body: bytes, rows: bytes, shards: int):
         self.pieces = np.frombuffer(rows, PIECE)
-        stream, sizes = opened(body, np.uint8), self.pieces["size"]
-        self.nodes = Counted(nodes_of(stream, sizes, self.pieces["cls"]), shards, shard_of)
-        gap = (stream == SPACE) | (stream == END) | ~coded(sizes)
-        words, first = hashed_runs(stream, gap) if not gap.all() else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        self.words = Counted(words, shards, word_shard)
-        self.node_piece = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes - ORDER)
-        self.word_piece = np.searchsorted(np.cumsum(sizes), first, side="right")
+        self.stream, self.sizes = opened(body, np.uint8), self.pieces["size"]
+        self.word_piece: list[np.ndarray] = []
+        self.nodes = Counted((nodes_of(self.stream[i:j], self.sizes[a:z], self.pieces["cls"][a:z]) for a, z, i, j in stretches(self.sizes)), shards, shard_of)
+        self.words = Counted(self.word_keys(), shards, word_shard)
+
+    def word_keys(self) -> Iterator[np.ndarray]:
+        for a, z, i, j in stretches(self.sizes):
+            stream, sizes = self.stream[i:j], self.sizes[a:z]
+            gap = (stream == SPACE) | (stream == END) | ~coded(sizes)
+            words, first = hashed_runs(stream, gap) if not gap.all() else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            self.word_piece.append((a + np.searchsorted(np.cumsum(sizes), first, side="right")).astype(np.int32))
+            yield words
+
+    def node_piece(self) -> Iterator[np.ndarray]:
+        for a, z, *_ in stretches(self.sizes):
+            yield np.repeat(np.arange(a, z, dtype=np.int32), self.sizes[a:z] - ORDER)
+
+    def trained(self, some: Counted, pieces) -> np.ndarray:
+        """How often each key is in training documents."""
+        n, train = np.zeros(len(some.keys), np.int64), self.pieces["train"] > 0
+        for at, piece in zip(some.at, pieces):
+            n += np.bincount(at[train[piece]], minlength=len(n))
+        return n.astype(np.int32)
+
+    def summed(self, some: Counted, pieces, values: np.ndarray) -> np.ndarray:
+        """The sum over each piece of its keys' values."""
+        out = np.zeros(len(self.sizes))
+        for at, piece in zip(some.at, pieces):
+            if len(at):
+                first = int(piece[0])
+                got = np.bincount(piece - first, weights=values[at])
+                out[first : first + len(got)] += got
+        return out
 
 
 def cut_blocks(shards: int):
@@ -253,9 +297,8 @@ def cut_blocks(shards: int):
         for b in batches:
             for name, body, rows in zip(b["block"], b["body"], b["rows"]):
                 block, out = Block(body, rows, shards), []
-                train = block.pieces["train"].astype(np.float64)
-                for kind, some, piece in ((NODES, block.nodes, block.node_piece), (WORDS, block.words, block.word_piece)):
-                    n = np.bincount(some.at, weights=train[piece], minlength=len(some.keys)).astype(np.int32)
+                for kind, some, pieces in ((NODES, block.nodes, block.node_piece()), (WORDS, block.words, block.word_piece)):
+                    n = block.trained(some, pieces)
                     out += [(name, s, kind, shut_keys(some.keys[i:j]), shut(n[i:j]), None) for s, (i, j) in enumerate(zip(some.begin, some.begin[1:])) if j > i]
                 yield pd.DataFrame(out, columns=COLUMNS)
 
@@ -314,13 +357,11 @@ def merge_blocks(shards: int):
             if s >= 0:
                 some, into = (block.nodes, cost) if kind == NODES else (block.words, seen)
                 into[some.begin[s] : some.begin[s + 1]] = opened_costs(at, distinct)
-        p, many = block.pieces, len(block.pieces)
-        add = lambda piece, values: np.bincount(piece, weights=values, minlength=many)
-        c = seen[block.words.at]
+        p, add = block.pieces, lambda values: block.summed(block.words, block.word_piece, values)
         return pd.DataFrame({
             "row": p["row"], "doc_id": list(head["ids"]), "held_out": p["train"] == 0, "cls": p["cls"].astype(np.int32), "last": p["last"] > 0,
-            "words": np.bincount(block.word_piece, minlength=many).astype(np.int64), "known": add(block.word_piece, c > 0).astype(np.int64),
-            "base": add(block.word_piece, np.log10(c + 1)), "score": add(block.node_piece, cost[block.nodes.at]),
+            "words": add(np.ones(len(seen))).astype(np.int64), "known": add(seen > 0).astype(np.int64),
+            "base": add(np.log10(seen + 1)), "score": block.summed(block.nodes, block.node_piece(), cost),
         })
 
     return merge

@@ -99,7 +99,7 @@ def test_rows_repeat_and_tables_may_be_empty(spark):
 
 
 def test_long_texts_are_cut_between_words_and_keep_their_contexts(monkeypatch):
-    monkeypatch.setattr(ppm, "BLOCK", 40)
+    monkeypatch.setattr(ppm, "STRETCH", 40)
     text = b" ".join(b"w%d" % (i * i) for i in range(60)) + b" " + b"x" * 100 + b" z"
     pieces = ppm.cut_text(text)
     whole = ppm.BEGIN + text + b" \x09"
@@ -125,3 +125,20 @@ def test_shards_hold_what_they_gather(monkeypatch):
     keys, counts = ppm.total((ppm.shut_keys(r), ppm.shut(np.ones(len(r), np.int32))) for r in rows)
     want = np.unique(np.concatenate(rows), return_counts=True)
     assert np.array_equal(keys, want[0]) and np.array_equal(counts, want[1])
+
+
+@pytest.mark.parametrize("stretch", [10, 50, 10_000])
+def test_blocks_add_up_whatever_their_stretches(monkeypatch, stretch):
+    monkeypatch.setattr(ppm, "STRETCH", stretch)
+    texts = [b"a bc a", b"", b"the then the " * 9, b"bc"]
+    pieces = [(i, len(p), 1 + i % 2, i != 1, 1, p) for i, t in enumerate(texts) for p in ppm.cut_text(t)]
+    rows = np.array([p[:5] for p in pieces], ppm.PIECE)
+    block = ppm.Block(ppm.shut(np.frombuffer(b"".join(p[5] for p in pieces), np.uint8)), rows.tobytes(), 7)
+    words = block.summed(block.words, block.word_piece, np.ones(len(block.words.keys)))
+    nodes = block.summed(block.nodes, block.node_piece(), np.ones(len(block.nodes.keys)))
+    by_text = lambda v: np.bincount(rows["row"], weights=v).tolist()
+    assert by_text(words) == [3, 0, 27, 1]
+    assert by_text(nodes) == [8, 1, len(b"the then the " * 9) + 1, 4]
+    assert block.trained(block.words, block.word_piece).sum() == 31
+    assert block.trained(block.nodes, block.node_piece()).sum() == sum(by_text(nodes)) - 1
+    assert len(block.words.keys) == 4 and all(np.all(np.diff(block.nodes.keys[i:j]) > 0) for i, j in zip(block.nodes.begin, block.nodes.begin[1:]) if j > i + 1)

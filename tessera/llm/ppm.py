@@ -34,7 +34,7 @@ BEGIN = bytes([PAD] * (ORDER - 1) + [SPACE])
 SYMBOLS = 252
 #: Bytes of a block, and of a stretch of it, which is worked on at a time; a longer text is cut between two words, so
 #: that only a longer word makes a longer stretch.
-BLOCK, STRETCH = 16 << 20, 2 << 20
+BLOCK, STRETCH = 12 << 20, 2 << 20
 #: Keys of a shard that are gathered before they are summed up.
 GATHER = 1 << 21
 CLASS_BITS = np.uint64(0xFF << 56)
@@ -230,19 +230,19 @@ class Counted:
     """The distinct keys of a block, in the order of shards, where each shard's begin, and for each place of its stretches the key."""
 
     def __init__(self, keys: Iterator[np.ndarray], shards: int, shard):
-        self.at, found, size = [], [np.zeros(0, np.uint64)], 0
+        self.at, found = [], []
         for k in keys:
             at, distinct = pd.factorize(k)
-            self.at.append((at + size).astype(np.int32))
+            self.at.append(at.astype(np.int32))
             found.append(distinct)
-            size += len(distinct)
-        own, distinct = pd.factorize(np.concatenate(found))
-        order = np.argsort(distinct)
-        of = shard(distinct[order], shards)
-        order = order[np.argsort(of, kind="stable")]
+        distinct = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]))
+        of = shard(distinct, shards)
+        order = np.argsort(of, kind="stable")
         back = np.empty(len(order), np.int32)
         back[order] = np.arange(len(order), dtype=np.int32)
-        self.keys, self.at = distinct[order], [back[own][at] for at in self.at]
+        self.keys = distinct[order]
+        for i, at in enumerate(self.at):  # one by one, so that what was before can go
+            self.at[i], found[i] = back[np.searchsorted(distinct, found[i])][at], None
         self.begin = np.r_[0, np.cumsum(np.bincount(of, minlength=shards))]
 
 

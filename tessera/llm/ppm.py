@@ -235,14 +235,19 @@ class Counted:
             at, distinct = pd.factorize(k)
             self.at.append(at.astype(np.int32))
             found.append(distinct)
-        distinct = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]))
+        distinct = np.concatenate([np.zeros(0, np.uint64), *found])
+        distinct.sort()
+        distinct = distinct[np.r_[True, distinct[1:] != distinct[:-1]]] if len(distinct) else distinct
         of = shard(distinct, shards)
         order = np.argsort(of, kind="stable")
         back = np.empty(len(order), np.int32)
         back[order] = np.arange(len(order), dtype=np.int32)
         self.keys = distinct[order]
         for i, at in enumerate(self.at):  # one by one, so that what was before can go
-            self.at[i], found[i] = back[np.searchsorted(distinct, found[i])][at], None
+            by = np.argsort(found[i])
+            own = np.empty(len(by), np.int32)
+            own[by] = back[np.searchsorted(distinct, found[i][by])]
+            self.at[i], found[i] = own[at], None
         self.begin = np.r_[0, np.cumsum(np.bincount(of, minlength=shards))]
 
 

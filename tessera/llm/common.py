@@ -13,8 +13,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Splits text at ASCII white space; Java regular expression.
-SPACE_RUN = "[\\x20\\x09-\\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -38,7 +38,7 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the order in which their sources have their target shares."""
-    return mixing.mixed(docs)
+    return mixing.mixed(docs, block=mixing.BLOCK)
 
 
 STAGES = [("quality", good), ("lines", fresh_lines), ("near_duplicates", one_of_alike), ("decontamination", uncontaminated), ("mix", mix)]

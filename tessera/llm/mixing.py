@@ -22,8 +22,10 @@ from .common import free, partitions, settle, small
 
 BLOCK, ROWS_PER_BUCKET = 16, 4096
 MOST_SOURCES = 100_000
-#: Blocks are as large as it takes for so many slots at most: what the driver goes through does not grow with the rows.
+#: Where no block is named, blocks are as large as it takes for so many slots at most.
 MOST_SLOTS = 1_000_000
+#: Slots that the driver holds at a time.
+SLOTS_HELD = 250_000
 
 
 def parts_of(weights: list[float], period: int) -> list[int]:
@@ -90,7 +92,7 @@ def written(spark, weights: list[int], blocks: list[int]) -> tuple[DataFrame, in
     for t, s, i in slots_of(weights, blocks):
         end = t if end is None and i + 1 == blocks[s] else end
         rows.append((s, i, t))
-        if len(rows) == MOST_SLOTS:
+        if len(rows) == SLOTS_HELD:
             put()
     if rows or not pieces:
         put()
@@ -100,11 +102,12 @@ def written(spark, weights: list[int], blocks: list[int]) -> tuple[DataFrame, in
     return out, end or 0
 
 
-def placed(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, temperature: float = 0.5, seed: int = 0, *, doc_id: str = "doc_id", source: str = "source") -> DataFrame:
+def placed(docs: DataFrame, weights: dict[str, float] | None = None, block: int | None = None, temperature: float = 0.5, seed: int = 0, *, doc_id: str = "doc_id", source: str = "source") -> DataFrame:
     """docs with mix_block, mix_slot, mix_position and mix_exact (with underscores before where docs has such columns).
 
-    Each row is placed once. Within a source rows are in the order of a hash of their ids and cut into blocks, of
-    `block` rows or, for more than MOST_SLOTS of these, of more; mix_position is unique and orders the mix. mix_exact:
+    Each row is placed once. Within a source rows are in the order of a hash of their ids, however many they are, and
+    cut into blocks of `block` rows. Only where none is named the size matters: BLOCK rows or, for more than MOST_SLOTS
+    of these, more. mix_position is unique and orders the mix. mix_exact:
     before the first source is used up; from there its slots stay empty and the others keep their shares of the rest.
     Target weights: as given, by the source as text (a source not named has the least of them; a weight of 0 counts as a
     thousandth of the rest), else sizes to the power of temperature. A null source is one of its own. Rows with a null
@@ -116,7 +119,7 @@ def placed(docs: DataFrame, weights: dict[str, float] | None = None, block: int
     if len(known) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources: group them first")
     known.sort(key=lambda r: (r["s"] is not None, r["s"] or ""))
-    block = max(block, -(-sum(r["count"] for r in known) // MOST_SLOTS))
+    block = block or max(BLOCK, -(-sum(r["count"] for r in known) // MOST_SLOTS))
     least = min(weights.values()) if weights else 0.0
     want = [weights.get(r["s"], least) if weights else r["count"] ** temperature for r in known]
     some = sum(w for w in want if w > 0) / 1000 or 1.0
@@ -128,7 +131,8 @@ def placed(docs: DataFrame, weights: dict[str, float] | None = None, block: int
     rest = [docs[f"`{f.name}`"] for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
     rows = docs.join(F.broadcast(of_source), docs[source].cast("string").eqNullSafe(F.col(s)))
     rows = rows.withColumn(h, F.when(docs[doc_id].isNull(), F.xxhash64(*rest, F.lit(seed))).otherwise(F.xxhash64(docs[doc_id], F.lit(seed))))
-    rows = rows.withColumn(bucket, F.pmod(F.shiftrightunsigned(h, 20), F.col(buckets)).cast("int"))
+    # buckets are ranges of the hash: the order within a source is the hash's for any number of them
+    rows = rows.withColumn(bucket, F.shiftright((F.shiftright(h, 32) + F.lit(1 << 31)) * F.col(buckets), 32).cast("int"))
     counts = rows.groupBy(k, bucket).agg(F.count(F.lit(1)).alias("n"))
     offsets = counts.select(k, bucket, (F.sum("n").over(Window.partitionBy(k).orderBy(bucket)) - F.col("n")).alias(before))
     ranked = rows.withColumn(r, F.row_number().over(Window.partitionBy(k, bucket).orderBy(h, docs[doc_id])) - 1)

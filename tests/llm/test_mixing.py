@@ -121,3 +121,15 @@ def test_large_tables_have_larger_blocks(spark, monkeypatch):
     assert len({r["_mix_position"] for r in rows}) == 2000 and {r["mix_slot"] for r in rows} == {"x"}
     assert max(r["mix_block"] for r in rows) < 10
     assert mixing.mixed(df).columns == df.columns and mixing.mixed(df.limit(0)).count() == 0
+
+
+def test_named_blocks_and_order_do_not_depend_on_size(spark, monkeypatch):
+    """A mix of few slots and small buckets is that of many slots and one bucket: no switch by the number of rows."""
+    df = table(spark, [(i if i % 7 else None, f"s{i % 3}", f"t{i}", "c") for i in range(2000)])
+    place = lambda: sorted((r["text"], r["mix_block"], r["mix_slot"], r["mix_position"], r["mix_exact"]) for r in mixing.placed(df, block=16).collect())
+    want = place()
+    assert max(r[1] for r in want) > 40
+    monkeypatch.setattr(mixing, "MOST_SLOTS", 10)
+    monkeypatch.setattr(mixing, "SLOTS_HELD", 50, raising=False)
+    monkeypatch.setattr(mixing, "ROWS_PER_BUCKET", 100)
+    assert place() == want

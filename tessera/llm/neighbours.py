@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from .common import settle
 
@@ -99,6 +100,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = TREE
     """
     rows = vectors.select(vectors[vec_id].alias("id"), F.transform(vectors[vector], lambda x: x.cast("double")).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
     rows = rows.where(F.col("id").isNotNull() & usable(F.col("v")))
+    # vectors of single precision are sent to the leaves as such, which loses nothing
+    single = isinstance(vectors.schema[vector].dataType, ArrayType) and isinstance(vectors.schema[vector].dataType.elementType, FloatType)
+    sent = np.float32 if single else np.float64
     top = rows.agg(F.max(F.size("v")).alias("d"), F.count(F.lit(1)).alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("longest")).first()
     schema = "query_id long, rank int, vec_id long, score double"
     if not top["n"]:
@@ -125,7 +129,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = TREE
             x = np.stack(b["v"].to_numpy())
             leaves = leaf_of(lifted(x, longest), planes, offsets)
             for t in range(leaves.shape[1]):
-                yield pd.DataFrame({"tree": t, "leaf": leaves[:, t], "coarse": leaves[:, t] >> 4, "key": b["key"], "least": b["least"], "v": b["v"]})
+                yield pd.DataFrame({"tree": t, "leaf": leaves[:, t], "coarse": leaves[:, t] >> 4, "key": b["key"].to_numpy(), "least": b["least"].to_numpy(), "v": list(x.astype(sent))})
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         planes, offsets = forest.value
@@ -133,13 +137,13 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = TREE
             for key, v in zip(b["key"], b["v"]):
                 v = np.asarray(v)
                 ways = np.array(opened(np.r_[v / np.linalg.norm(v), 0.0], planes, offsets, most), np.int32)
-                yield pd.DataFrame({"tree": ways[:, 0], "leaf": ways[:, 1], "coarse": ways[:, 1] >> 4, "key": key, "least": 0, "v": [v] * len(ways)})
+                yield pd.DataFrame({"tree": ways[:, 0], "leaf": ways[:, 1], "coarse": ways[:, 1] >> 4, "key": key, "least": 0, "v": [v.astype(sent)] * len(ways)})
 
     def rank(members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(members) and len(queries):
             at = dict(list(members.groupby("leaf").indices.items()))
-            mv, qv = np.stack(members["v"].to_numpy()), np.stack(queries["v"].to_numpy())
+            mv, qv = (np.stack(x["v"].to_numpy()).astype(float) for x in (members, queries))
             mk, ml, qk = members["key"].to_numpy(), members["least"].to_numpy(), queries["key"].to_numpy()
             for name, qi in queries.groupby("leaf").indices.items():
                 mi = at.get(name)
@@ -156,9 +160,13 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = TREE
                 x, y, score = x[order], y[order], score[order]
                 few = np.arange(len(x)) - np.searchsorted(x, x) <= k
                 out.append(pd.DataFrame({"qkey": qk[qi[x[few]]], "key": mk[mi[y[few]]], "least": ml[mi[y[few]]], "score": score[few]}))
-        return pd.concat(out) if out else pd.DataFrame({"qkey": np.zeros(0, np.int64), "key": np.zeros(0, np.int64), "least": np.zeros(0, np.int64), "score": np.zeros(0)})
+        if out:  # of all the leaves of the group that a query opens, no more than the first k + 1
+            found = pd.concat(out).sort_values(["qkey", "score", "least"], ascending=[True, False, True], kind="stable")
+            at = found["qkey"].to_numpy()
+            return found[np.arange(len(at)) - np.searchsorted(at, at) <= k]
+        return pd.DataFrame({"qkey": np.zeros(0, np.int64), "key": np.zeros(0, np.int64), "least": np.zeros(0, np.int64), "score": np.zeros(0)})
 
-    shape = "tree int, leaf int, coarse int, key long, least long, v array<double>"
+    shape = f"tree int, leaf int, coarse int, key long, least long, v array<{'float' if single else 'double'}>"
     members = distinct.select("key", F.col("ids")[0].cast("long").alias("least"), "v").mapInPandas(place, shape)
     queries = distinct.where("q").select("key", "v").mapInPandas(ask, shape)
     pairs = members.groupBy("tree", "coarse").cogroup(queries.groupBy("tree", "coarse")).applyInPandas(rank, "qkey long, key long, least long, score double")

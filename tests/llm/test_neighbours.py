@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import neighbours
 
@@ -72,3 +73,13 @@ def test_lengths_differ(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0]), (2, [1.0, 1.0, 5.0])], "vec_id long, embedding array<double>")
     got = neighbours.nearest(df, df["vec_id"] == 0, k=5, most=10**6).orderBy("rank").collect()
     assert [(r["vec_id"], r["score"]) for r in got] == [(1, 3.0), (2, 3.0)]
+
+
+def test_single_precision_is_sent_as_such(spark):
+    """The answers of floats are those of the same values as doubles, to the last bit."""
+    rng = np.random.default_rng(11)
+    rows = [(i, rng.standard_normal(12).astype(np.float32).tolist()) for i in range(700)] + [(i, [1.5] * 12) for i in range(700, 760)]
+    ask = lambda kind: neighbours.nearest(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>"), F.col("vec_id") % 20 == 0, leaf=32)
+    kinds = {kind: ask(kind) for kind in ("float", "double")}
+    a, b = (sorted(map(tuple, df.collect())) for df in kinds.values())
+    assert a == b and len(a) == 38 * 20

@@ -35,17 +35,38 @@ def told(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """All links at hand to (u, v) with v the smallest node that u reaches."""
-    links = np.concatenate([np.zeros((0, 2), np.int64), *(b[["u", "v"]].to_numpy() for b in batches)])
-    nodes, at = np.unique(links, return_inverse=True)
-    a, b = at.reshape(-1, 2).T
-    least = np.arange(len(nodes))
+def smallest(a: np.ndarray, b: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """The smallest node that each node reaches by links (a, b), beside those by which it reached least already."""
     while (unlike := least[a] != least[b]).any():
         one, two = least[a][unlike], least[b][unlike]
         np.minimum.at(least, np.maximum(one, two), np.minimum(one, two))
         while (least[least] != least).any():
             least = least[least]
+    return least
+
+
+def forest(a: np.ndarray, b: np.ndarray, cost: np.ndarray, nodes: int) -> np.ndarray:
+    """Which of the links (a, b) are kept so that nodes reach what they reached: a forest of least cost, ties to smaller nodes."""
+    order = np.lexsort((np.maximum(a, b), np.minimum(a, b), cost))
+    a, b = a[order], b[order]
+    least, live, kept = np.arange(nodes), np.arange(len(a)), []
+    while len(live := live[least[a[live]] != least[b[live]]]):
+        first = np.full(nodes, len(a))
+        for side in (a, b):  # of each tree its first link: what is written last stays
+            near = np.full(nodes, len(a))
+            near[least[side[live]][::-1]] = live[::-1]
+            first = np.minimum(first, near)
+        chosen = np.unique(first[first < len(a)])
+        kept.append(chosen)
+        least = smallest(a[chosen], b[chosen], least)
+    return order[np.concatenate(kept)] if kept else order[:0]
+
+
+def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """All links at hand to (u, v) with v the smallest node that u reaches."""
+    links = np.concatenate([np.zeros((0, 2), np.int64), *(b[["u", "v"]].to_numpy() for b in batches)])
+    nodes, at = np.unique(links, return_inverse=True)
+    least = smallest(*at.reshape(-1, 2).T, np.arange(len(nodes)))
     rest = np.flatnonzero(least != np.arange(len(nodes)))
     yield pd.DataFrame({"u": nodes[rest], "v": nodes[least[rest]]})
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .buckets import connected
 from .common import BYTES_DOWN, blocks, common_ones, free, hashed_runs, looked_up, mix64, partitions, sample_of, settle, small
+from .components import forest, smallest
 
 #: HAMMING, PAIR_HAMMING: SimHashes are no bound any more, all 64 bits may differ.
 MIN_WORDS, HAMMING, PAIR_HAMMING, PERCENT = 1, 64, 64, 80
@@ -30,8 +31,8 @@ BETWEEN = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
 #: Beyond ASCII: spaces and punctuation, which part words too, and letters of scripts without spaces, each a word.
 GAPS = re.compile("[\u00a0\u00ab\u00bb\u2000-\u206f\u3000-\u3004\u3008-\u3020\u3030\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
 UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff])")
-#: Bits of a parity, in longs; larger buckets than ALL_PAIRS are tried by stars first.
-PARITY, ALL_PAIRS = 4, 32
+#: Bits of a parity, in longs; larger buckets than ALL_PAIRS are not compared in one task, but tried by stars first.
+PARITY, ALL_PAIRS = 4, 4096
 PARITIES = [f"p{i}" for i in range(PARITY)]
 BLOCK_BYTES = 1_500_000
 #: For each byte, its bits as counters of 8 bits.
@@ -176,20 +177,34 @@ def prefixes(words: np.ndarray, first: np.ndarray, n: np.ndarray, common: tuple[
     return line[head], pair[head], place[head], place[tail]
 
 
-#: What a bucket knows of a member: a word pair's lower half, words, places of the pair, 48 bits of parity, entry.
-ROW = [("pair", "u4"), ("n", "u2"), ("lo", "u2"), ("hi", "u2"), ("few", "u2"), ("more", "u4"), ("key", "i8")]
-CAP = 65535
+#: What a bucket knows of a member: a word pair's lower half, words, first place of the pair and how far to its last, 80 bits of parity, entry.
+ROW = np.dtype([("pair", "u4"), ("n", "u2"), ("lo", "u2"), ("span", "u1"), ("few", "u2"), ("more", "u8"), ("key", "i8")])
+CAP, SPAN, FEW, MORE = 65535, 255, 16, 64
+#: Pairs compared at a time, and links held before they are thinned to a forest.
+PAIRS_AT_ONCE, LINKS_AT_ONCE = 1_000_000, 2_000_000
 
 
-def may_be_alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Bounds on edits of members of one bucket, a no longer than b: by length, by what lies before and behind the pair, by parity."""
+def to_planes(rows: np.ndarray) -> bytes:
+    """ROWs by bytes: all first bytes, all second ones, and so on, as high bytes are mostly zero and compress."""
+    return np.ascontiguousarray(rows).view(np.uint8).reshape(-1, ROW.itemsize).T.tobytes()
+
+
+def of_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(ROW.itemsize, -1).T).view(ROW).ravel()
+
+
+def may_be_alike(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds on edits of members of one bucket, a no longer than b: by length, by what lies before and behind the pair, by
+    parity; and how many bits of it differ. Words put in or taken out are as many as the lengths and places differ, at
+    least, and flip one bit each; other edits flip two."""
     n, m = a["n"].astype(np.int64), b["n"].astype(np.int64)
     most, short = edits_allowed(m), m - n
-    after = a["lo"].astype(np.int64) - b["hi"]
-    ahead = b["lo"].astype(np.int64) - a["hi"] - short
-    moved = short + 2 * np.maximum(0, np.maximum(after, ahead)) <= most
+    low, high = ([x["lo"].astype(np.int64) for x in (a, b)], [np.where(x["span"] == SPAN, CAP, x["lo"].astype(np.int64) + x["span"]) for x in (a, b)])
+    after = low[0] - high[1]
+    ahead = low[1] - high[0] - short
+    moved = short + 2 * np.maximum(0, np.maximum(after, ahead))
     flips = np.bitwise_count(a["few"] ^ b["few"]).astype(np.int64) + np.bitwise_count(a["more"] ^ b["more"])
-    return (short <= most) & ((m == CAP) | (moved & (flips <= 2 * most)))
+    return (short <= most) & ((m == CAP) | ((moved <= most) & (flips <= 2 * most - moved))), flips
 
 
 def index(parts: int, shared):
@@ -199,7 +214,9 @@ def index(parts: int, shared):
             _, _, first, n, words = entry_lines(lowered(rows))
             key = line_keys(words, first, n)
             line, pair, lo, hi = prefixes(words, first, n, shared.value)
-            odd = np.bitwise_xor.reduceat(np.uint64(1) << (words % np.uint64(48)), first) if len(words) else np.zeros(0, np.uint64)
+            bit = words % np.uint64(FEW + MORE)
+            one = np.uint64(1) << (bit & np.uint64(MORE - 1))
+            few, more = (np.bitwise_xor.reduceat(np.where((bit < MORE) == x, one, np.uint64(0)), first) if len(words) else one for x in (False, True))
             once = np.zeros(len(key), bool)
             once[np.unique(key, return_index=True)[1]] = True
             line, pair, lo, hi = (x[once[line]] for x in (line, pair, lo, hi))
@@ -207,21 +224,49 @@ def index(parts: int, shared):
             order = np.argsort(part, kind="stable")
             own = np.empty(len(order), ROW)
             own["pair"], own["n"], own["key"] = (pair & np.uint64(0xFFFFFFFF))[order], np.minimum(n, CAP)[line[order]], key[line[order]]
-            own["lo"], own["hi"] = np.minimum(lo, CAP)[order], np.minimum(hi, CAP)[order]
-            own["few"], own["more"] = (odd & np.uint64(0xFFFF))[line[order]], (odd >> np.uint64(16))[line[order]]
+            own["lo"], own["span"] = np.minimum(lo, CAP)[order], np.minimum(hi - lo, SPAN)[order]
+            own["few"], own["more"] = few[line[order]], more[line[order]]
             edge = np.searchsorted(part[order], np.arange(parts + 1))
-            yield pd.DataFrame([(p, own[a:b].tobytes()) for p, (a, b) in enumerate(zip(edge, edge[1:])) if b > a], columns=["part", "rows"])
+            yield pd.DataFrame([(p, to_planes(own[a:b])) for p, (a, b) in enumerate(zip(edge, edge[1:])) if b > a], columns=["part", "rows"])
 
     return run
 
 
+def near_in_buckets(rows: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links (i, j, flips) between members of buckets, sorted by bucket and length, that may be alike: all, or, if there are
+    many, so many that each reaches the same."""
+    n, of = rows["n"].astype(np.int64), np.repeat(np.arange(len(first)), size)
+    last = np.searchsorted(of << 17 | (n - edits_allowed(n)), of << 17 | n, side="right")  # the lengths that a member may be alike
+    count = last - np.arange(len(n)) - 1
+    begin = np.cumsum(count) - count
+    held, total = [np.zeros((3, 0), np.int64)], 0
+    for a in range(0, int(count.sum()), PAIRS_AT_ONCE):
+        b = min(a + PAIRS_AT_ONCE, int(count.sum()))
+        x, y = np.searchsorted(begin, [a, b - 1], side="right") - 1
+        take = np.minimum(begin[x : y + 1] + count[x : y + 1], b) - np.maximum(begin[x : y + 1], a)
+        i = np.repeat(np.arange(x, y + 1), np.maximum(take, 0))
+        j = np.arange(a, b) - begin[i] + i + 1
+        good, flips = may_be_alike(rows[i], rows[j])
+        held.append(np.stack([i[good], j[good], flips[good]]))
+        total += held[-1].shape[1]
+        if total > LINKS_AT_ONCE:
+            links = np.concatenate(held, 1)
+            held = [links[:, forest(*links, len(n))]]
+            total = held[0].shape[1]
+    return tuple(np.concatenate(held, 1))
+
+
 def buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """pair: (u, v) of one bucket whose lengths may be alike: all, or in large buckets each with one; member: (bucket, u)
-    of large ones."""
+    """pair: (u, v) that may be alike; member: (bucket, u), whose pairs may be alike too.
+
+    In a bucket those that may be alike are in groups, and those of a group reach each other by the pairs that are given: if
+    these are alike, nothing is left to ask. Otherwise the members are there, of groups of three and more. Buckets
+    larger than ALL_PAIRS are given whole, with each member beside one.
+    """
     by_part: dict[int, list] = {}
     for b in batches:
         for p, rows in zip(b["part"], b["rows"]):
-            by_part.setdefault(p, []).append(np.frombuffer(rows, ROW))
+            by_part.setdefault(p, []).append(of_planes(rows))
     for p in sorted(by_part):
         rows = np.concatenate(by_part.pop(p))
         rows = rows[np.argsort(rows["pair"], kind="stable")]
@@ -230,25 +275,16 @@ def buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = rows[np.lexsort((rows["key"], rows["n"], rows["pair"]))]
         if not len(rows):
             continue
-        pair, n, key = rows["pair"], rows["n"].astype(np.int64), rows["key"]
-        new = np.r_[True, (pair[1:] != pair[:-1]) | (key[1:] != key[:-1])]
-        rows, pair, n, key = rows[new], pair[new], n[new], key[new]
-        first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
-        size = np.diff(np.r_[first, len(pair)])
+        pair, key = rows["pair"], rows["key"]
+        rows = rows[np.r_[True, (pair[1:] != pair[:-1]) | (key[1:] != key[:-1])]]
+        first = np.flatnonzero(np.r_[True, rows["pair"][1:] != rows["pair"][:-1]])
+        size = np.diff(np.r_[first, len(rows)])
         us, vs, names, members, seen = [], [], [], [], set()
-        for k in np.unique(size[(size > 1) & (size <= ALL_PAIRS)]):
-            i, j = np.triu_indices(k, 1)
-            at = first[size == k]
-            for part in np.array_split(at, len(at) * len(i) // 2_000_000 + 1):
-                a, b = (part[:, None] + i).ravel(), (part[:, None] + j).ravel()
-                good = may_be_alike(rows[a], rows[b])
-                us.append(key[a[good]])
-                vs.append(key[b[good]])
         for a, k in zip(first[size > ALL_PAIRS], size[size > ALL_PAIRS]):
-            own, length = key[a : a + k], n[a : a + k]
+            own, length = rows["key"][a : a + k], rows["n"][a : a + k].astype(np.int64)
             least = np.searchsorted(length, length - edits_allowed(length))
             far = np.flatnonzero(least < np.arange(k))
-            far = far[may_be_alike(rows[a + least[far]], rows[a + far])]
+            far = far[may_be_alike(rows[a + least[far]], rows[a + far])[0]]
             us.append(own[far])
             vs.append(own[least[far]])
             who = np.sort(own)
@@ -256,8 +292,30 @@ def buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 seen.add(same)
                 names.append(np.full(k, mix64(who.view(np.uint64)).sum().view(np.int64)))
                 members.append(who)
-        if us:
-            u, v = np.concatenate(us), np.concatenate(vs)
+        held = (size > 1) & (size <= ALL_PAIRS)
+        rows, size = rows[np.repeat(held, size)], size[held]
+        i, j, flips = near_in_buckets(rows, np.cumsum(size) - size, size)
+        group = smallest(i, j, np.arange(len(rows)))
+        many = np.bincount(group, minlength=len(rows))[group] > 2
+        own, node = np.unique(rows["key"], return_inverse=True)
+        if many.any():
+            at = np.flatnonzero(many)
+            at = at[np.argsort(group[at], kind="stable")]
+            edge = np.flatnonzero(np.r_[True, group[at][1:] != group[at][:-1]])
+            k = np.diff(np.r_[edge, len(at)])
+            name = np.add.reduceat(mix64(rows["key"][at].view(np.uint64)), edge)
+            once = np.zeros(len(edge), bool)
+            once[np.unique(name, return_index=True)[1]] = True
+            names.append(np.repeat(name[once], k[once]).view(np.int64))
+            members.append(rows["key"][at[np.repeat(once, k)]])
+        # groups of two are their pair; of the others a forest over all buckets of the part
+        two = ~many[i]
+        x, y, cost = node[i[~two]], node[j[~two]], flips[~two]
+        kept = forest(x, y, cost, len(own))
+        us += [own[node[i[two]]], own[x[kept]]]
+        vs += [own[node[j[two]]], own[y[kept]]]
+        u, v = np.concatenate(us), np.concatenate(vs)
+        if len(u):
             pairs = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], 1), axis=0)
             yield pd.DataFrame({"kind": "pair", "bucket": 0, "u": pairs[:, 0], "v": pairs[:, 1]})
         if members:
@@ -265,10 +323,14 @@ def buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def words_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of the texts' lines that are asked for (places), key and words."""
     for rows in blocks(batches, BLOCK_BYTES):
-        _, _, first, n, words = entry_lines(lowered(rows))
-        if len(n):
-            yield pd.DataFrame({"key": line_keys(words, first, n), "words": [words[a : a + k].tobytes() for a, k in zip(first, n)]})
+        text, line, first, n, words = entry_lines(lowered(rows))
+        asked = np.concatenate([np.int64(t) << 32 | np.asarray(x, np.int64) for t, x in enumerate(rows["places"])])
+        wanted = np.flatnonzero(np.isin(text << 32 | line, asked))
+        if len(wanted):
+            key = line_keys(words, first, n)
+            yield pd.DataFrame({"key": key[wanted], "words": [words[a : a + k].tobytes() for a, k in zip(first[wanted], n[wanted])]})
 
 
 def edits(a: list[int], b: list[int]) -> int:
@@ -329,16 +391,17 @@ def verified(pairs: DataFrame, known: DataFrame, docs: DataFrame) -> DataFrame:
         return docs.sparkSession.createDataFrame([], "u long, v long")
     needed = settle(pairs.select(F.col("u").alias("key")).union(pairs.select(F.col("v").alias("key"))).distinct(), "needed")
     near = small(needed)
-    reps = small(settle(known.join(near, "key", "left_semi").select(F.col("rep.doc_id").alias("__d"), F.col("rep.text_hash").alias("__h")).distinct(), "reps"))
-    texts = docs.join(reps, docs["doc_id"].eqNullSafe(reps["__d"]) & (docs["text_hash"] == reps["__h"]), "left_semi")
-    words = settle(texts.select("text").mapInPandas(words_of, "key long, words binary").join(near, "key", "left_semi").dropDuplicates(["key"]), "words")
+    rep = F.col("first.doc_id").cast("string").alias("__d"), F.col("first.text_hash").alias("__h")
+    reps = small(settle(known.join(near, "key", "left_semi").groupBy(*rep).agg(F.collect_set("first.line").alias("places")), "reps"))
+    texts = docs.join(reps, docs["doc_id"].eqNullSafe(reps["__d"]) & (docs["text_hash"] == reps["__h"]))
+    words = settle(texts.select("text", "places").mapInPandas(words_of, "key long, words binary").dropDuplicates(["key"]), "words")
     side = lambda k, w: words.select(F.col("key").alias(k), F.col("words").alias(w))
     return settle(pairs.join(side("u", "x"), "u").join(side("v", "y"), "v").mapInPandas(verify, "u long, v long"), "linked")
 
 
 def may_be_near(n: np.ndarray, m: np.ndarray, flips: np.ndarray) -> np.ndarray:
     most = edits_allowed(np.maximum(n, m))
-    return (np.abs(n - m) <= most) & (flips <= 2 * most)
+    return (np.abs(n - m) <= most) & (flips + np.abs(n - m) <= 2 * most)
 
 
 def repeated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -351,7 +414,7 @@ def repeated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") ->
     listed = settle(rows.mapInPandas(list_lines, f"doc_id string, text_hash long, line int, key long, n int, {bits}"), "lines")
     place = F.struct(F.col("doc_id").cast(kind).alias("doc_id"), "text_hash", "line")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), place.alias("place")))["place"]
-    known = settle(listed.groupBy("key").agg(*(F.first(c).alias(c) for c in ("n", *PARITIES)), first.alias("first")).withColumn("rep", F.struct(F.col("first.doc_id").cast("string").alias("doc_id"), "first.text_hash")), "entries")
+    known = settle(listed.groupBy("key").agg(*(F.first(c).alias(c) for c in ("n", *PARITIES)), first.alias("first")), "entries")
     shared = spark.sparkContext.broadcast(common_ones(sample_of(rows, "text_hash").mapInPandas(count_things, "thing long, c long")))
     dealt = rows.mapInPandas(index(parts, shared), "part int, rows binary").repartition(parts, "part")
     found = settle(dealt.mapInPandas(buckets, "kind string, bucket long, u long, v long"), "buckets")
@@ -360,7 +423,7 @@ def repeated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") ->
     most = (F.lit(100 - PERCENT) * F.greatest("x_n", "y_n") / 100).cast("int")
     flips = sum((F.bit_count(F.col(f"x_{p}").bitwiseXOR(F.col(f"y_{p}"))) for p in PARITIES), F.lit(0))
     tried = found.where("kind = 'pair'").select("u", "v").distinct().join(side("u", "x"), "u").join(side("v", "y"), "v")
-    tried = settle(tried.where((F.abs(F.col("x_n") - F.col("y_n")) <= most) & (flips <= 2 * most)).select("u", "v", flips.alias("flips")), "tried")
+    tried = settle(tried.where((F.abs(F.col("x_n") - F.col("y_n")) <= most) & (flips + F.abs(F.col("x_n") - F.col("y_n")) <= 2 * most)).select("u", "v", flips.alias("flips")), "tried")
     members = found.where("kind = 'member'").select("bucket", "u", F.lit(False).alias("upper")).distinct()
     final = connected(tried, members, known.select("key", "n", F.array(*PARITIES).alias("sketch")), may_be_near, lambda pairs: verified(pairs, known, rows))
     # entries that are alone keep their first occurrence; of a group the first of all does

@@ -1,7 +1,9 @@
 import random
 import re
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 
 from tessera.llm import lines
 
@@ -155,3 +157,41 @@ def test_short_and_unspaced_lines(spark):
     df = spark.createDataFrame([(*x, "", "") for x in docs], SCHEMA)
     got = {r["doc_id"]: r["text"] for r in lines.without_repeated_lines(df).collect()}
     assert got == {1: docs[0][1], 2: "---", 3: "", 4: "one two three fours", 5: near[0], 6: ""}
+
+
+def of_buckets(texts):
+    none = np.zeros(0, np.uint64), np.zeros(0, np.uint8)
+    rows = pd.DataFrame({"text": [t.encode() for t in texts]})
+    return pd.concat([pd.DataFrame({"kind": [], "bucket": [], "u": [], "v": []}), *lines.buckets(lines.index(1, SimpleNamespace(value=none))(iter([rows])))])
+
+
+def test_lines_that_share_a_common_pair_are_not_handed_on():
+    """A pair of words that many unlike lines have is a large bucket of which nothing is left to ask."""
+    rng = random.Random(5)
+    assert not len(of_buckets(["of the " + " ".join(f"r{rng.randrange(10**9)}" for _ in range(3)) for _ in range(300)]))
+
+
+def test_near_copies_are_handed_on_as_a_forest():
+    """Two groups of near copies: the pairs that are given reach all of a group, and are fewer than its lines."""
+    rng = random.Random(6)
+    texts = []
+    for g in range(2):
+        base = [f"g{g}w{i}" for i in range(40)]
+        for k in range(200):
+            own = list(base)
+            own[rng.randrange(40)] = f"g{g}n{k}"
+            texts.append(" ".join(own))
+    got = of_buckets(texts)
+    pairs = got[got["kind"] == "pair"]
+    key = np.concatenate([lines.line_keys(w, f, n) for _, _, f, n, w in [lines.entry_lines([t.encode()]) for t in texts]])
+    assert len(pairs) == 2 * 199
+    at = {int(k): i for i, k in enumerate(key)}
+    least = lines.smallest(np.array([at[int(k)] for k in pairs["u"]]), np.array([at[int(k)] for k in pairs["v"]]), np.arange(400))
+    assert least.tolist() == [0] * 200 + [200] * 200
+    assert set(got.loc[got["kind"] == "member", "u"]) == set(key.tolist())
+
+
+def test_only_words_of_lines_asked_for():
+    rows = pd.DataFrame({"text": [b"a b\n--\nc d e\nf", b"g h"], "places": [[2], [0]]})
+    got = pd.concat(lines.words_of(iter([rows])))
+    assert [len(w) // 8 for w in got["words"]] == [3, 2]

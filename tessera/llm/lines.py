@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import connected
-from .common import BYTES_DOWN, blocks, common_ones, free, hashed_runs, looked_up, mix64, partitions, sample_of, settle, small
-from .components import forest, smallest
+from .common import BROADCAST_ROWS, BYTES_DOWN, blocks, common_ones, free, hashed_runs, looked_up, mix64, partitions, sample_of, settle, small
+from .components import components, forest, smallest
 
 #: HAMMING, PAIR_HAMMING: SimHashes are no bound any more, all 64 bits may differ.
 MIN_WORDS, HAMMING, PAIR_HAMMING, PERCENT = 1, 64, 64, 80
@@ -31,6 +31,8 @@ BETWEEN = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
 #: Beyond ASCII: spaces and punctuation, which part words too, and letters of scripts without spaces, each a word.
 GAPS = re.compile("[\u00a0\u00ab\u00bb\u2000-\u206f\u3000-\u3004\u3008-\u3020\u3030\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
 UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff])")
+#: What is below U+0800 of these, in UTF-8; all others begin with a byte of 0xE0 or more.
+LOW_GAPS = b"\xc2\xa0", b"\xc2\xab", b"\xc2\xbb"
 #: Bits of a parity, in longs; larger buckets than ALL_PAIRS are not compared in one task, but tried by stars first.
 PARITY, ALL_PAIRS = 4, 4096
 PARITIES = [f"p{i}" for i in range(PARITY)]
@@ -85,7 +87,8 @@ def line_keys(words: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray
 
 
 def lowered(rows: pd.DataFrame) -> list[bytes]:
-    spaced = lambda t: t if t.isascii() else UNSPACED.sub(r" \1 ", GAPS.sub(" ", t.decode())).encode()
+    plain = lambda t: t.isascii() or np.frombuffer(t, np.uint8).max() < 0xE0 and not any(x in t for x in LOW_GAPS)
+    spaced = lambda t: t if plain(t) else UNSPACED.sub(r" \1 ", GAPS.sub(" ", t.decode())).encode()
     return [spaced(t).translate(BYTES_DOWN) for t in rows["text"]]
 
 
@@ -180,9 +183,10 @@ def prefixes(words: np.ndarray, first: np.ndarray, n: np.ndarray, common: tuple[
 #: What a bucket knows of a member: a word pair's lower half, words, first place of the pair and how far to its last, 80 bits of parity, entry.
 ROW = np.dtype([("pair", "u4"), ("n", "u2"), ("lo", "u2"), ("span", "u1"), ("few", "u2"), ("more", "u8"), ("key", "i8")])
 CAP, SPAN, FEW, MORE = 65535, 255, 16, 64
-#: Pairs compared at a time, and links held before they are thinned to a forest.
-PAIRS_AT_ONCE, LINKS_AT_ONCE = 1_000_000, 2_000_000
-
+#: Pairs compared at a time, pairs of the buckets that are worked on together, and links held before they are thinned to a forest.
+PAIRS_AT_ONCE, RUN_PAIRS, LINKS_AT_ONCE = 250_000, 1_000_000, 1_000_000
+#: Members with no more links than this hand on all of them.
+FEW_LINKS = 3
 
 def to_planes(rows: np.ndarray) -> bytes:
     """ROWs by bytes: all first bytes, all second ones, and so on, as high bytes are mostly zero and compress."""
@@ -197,13 +201,13 @@ def may_be_alike(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bounds on edits of members of one bucket, a no longer than b: by length, by what lies before and behind the pair, by
     parity; and how many bits of it differ. Words put in or taken out are as many as the lengths and places differ, at
     least, and flip one bit each; other edits flip two."""
-    n, m = a["n"].astype(np.int64), b["n"].astype(np.int64)
+    n, m = a["n"].astype(np.int32), b["n"].astype(np.int32)
     most, short = edits_allowed(m), m - n
-    low, high = ([x["lo"].astype(np.int64) for x in (a, b)], [np.where(x["span"] == SPAN, CAP, x["lo"].astype(np.int64) + x["span"]) for x in (a, b)])
+    low, high = ([x["lo"].astype(np.int32) for x in (a, b)], [np.where(x["span"] == SPAN, np.int32(CAP), x["lo"].astype(np.int32) + x["span"]) for x in (a, b)])
     after = low[0] - high[1]
     ahead = low[1] - high[0] - short
     moved = short + 2 * np.maximum(0, np.maximum(after, ahead))
-    flips = np.bitwise_count(a["few"] ^ b["few"]).astype(np.int64) + np.bitwise_count(a["more"] ^ b["more"])
+    flips = np.bitwise_count(a["few"] ^ b["few"]).astype(np.int32) + np.bitwise_count(a["more"] ^ b["more"])
     return (short <= most) & ((m == CAP) | ((moved <= most) & (flips <= 2 * most - moved))), flips
 
 
@@ -232,14 +236,18 @@ def index(parts: int, shared):
     return run
 
 
-def near_in_buckets(rows: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links (i, j, flips) between members of buckets, sorted by bucket and length, that may be alike: all, or, if there are
-    many, so many that each reaches the same."""
-    n, of = rows["n"].astype(np.int64), np.repeat(np.arange(len(first)), size)
-    last = np.searchsorted(of << 17 | (n - edits_allowed(n)), of << 17 | n, side="right")  # the lengths that a member may be alike
-    count = last - np.arange(len(n)) - 1
+def alike_lengths(rows: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """With how many of those behind it each member of buckets, sorted by bucket and length, may be alike by length."""
+    n, of = rows["n"].astype(np.int64), np.repeat(np.arange(len(size)), size)
+    last = np.searchsorted(of << 17 | (n - edits_allowed(n)), of << 17 | n, side="right")
+    return last - np.arange(len(n)) - 1
+
+
+def near_in_buckets(rows: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """Links (i, j, flips) between each of rows and the count behind it that may be alike, and whether these are all; if
+    there are many, they are so many that each reaches the same."""
     begin = np.cumsum(count) - count
-    held, total = [np.zeros((3, 0), np.int64)], 0
+    held, total, whole = [np.zeros((3, 0), np.int64)], 0, True
     for a in range(0, int(count.sum()), PAIRS_AT_ONCE):
         b = min(a + PAIRS_AT_ONCE, int(count.sum()))
         x, y = np.searchsorted(begin, [a, b - 1], side="right") - 1
@@ -250,18 +258,32 @@ def near_in_buckets(rows: np.ndarray, first: np.ndarray, size: np.ndarray) -> tu
         held.append(np.stack([i[good], j[good], flips[good]]))
         total += held[-1].shape[1]
         if total > LINKS_AT_ONCE:
-            links = np.concatenate(held, 1)
-            held = [links[:, forest(*links, len(n))]]
+            links, whole = np.concatenate(held, 1), False
+            held = [links[:, forest(*links, len(rows))]]
             total = held[0].shape[1]
-    return tuple(np.concatenate(held, 1))
+    return *np.concatenate(held, 1), whole
+
+
+def of_few(i: np.ndarray, j: np.ndarray, nodes: int) -> np.ndarray:
+    """Which of the links (i, j) one has that is left with FEW_LINKS at most, once those found before are taken away."""
+    few, live = np.zeros(len(i), bool), np.arange(len(i))
+    while len(live):
+        degree = np.bincount(i[live], minlength=nodes) + np.bincount(j[live], minlength=nodes)
+        low = np.minimum(degree[i[live]], degree[j[live]]) <= FEW_LINKS
+        if not low.any():
+            break
+        few[live[low]] = True
+        live = live[~low]
+    return few
 
 
 def buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """pair: (u, v) that may be alike; member: (bucket, u), whose pairs may be alike too.
+    """pair: (u, v) that may be alike; member: (bucket, u), whose pairs may be alike too, and
+    the least of them.
 
-    In a bucket those that may be alike are in groups, and those of a group reach each other by the pairs that are given: if
-    these are alike, nothing is left to ask. Otherwise the members are there, of groups of three and more. Buckets
-    larger than ALL_PAIRS are given whole, with each member beside one.
+    In a bucket links of members with few are given as pairs, all of them, and the members taken away, and so on. Those
+    that stay are in groups; each reaches all of its group by pairs that are given: if these are alike, nothing is left to
+    ask. Otherwise the members are there. Buckets larger than ALL_PAIRS are given whole, with each member beside one.
     """
     by_part: dict[int, list] = {}
     for b in batches:
@@ -269,17 +291,20 @@ def buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             by_part.setdefault(p, []).append(of_planes(rows))
     for p in sorted(by_part):
         rows = np.concatenate(by_part.pop(p))
-        rows = rows[np.argsort(rows["pair"], kind="stable")]
-        again = np.r_[rows["pair"][1:] == rows["pair"][:-1], False]
-        rows = rows[again | np.r_[False, again[:-1]]]  # buckets of one are left out
-        rows = rows[np.lexsort((rows["key"], rows["n"], rows["pair"]))]
+        if not len(rows):
+            continue
+        order = rows["pair"].astype(np.uint64) << np.uint64(32) | rows["n"].astype(np.uint64) << np.uint64(16) | (rows["key"] & 0xFFFF).astype(np.uint64)
+        at = np.argsort(order)
+        pair = rows["pair"][at]
+        again = np.r_[pair[1:] == pair[:-1], False]
+        rows = rows[at[again | np.r_[False, again[:-1]]]]  # buckets of one are left out
         if not len(rows):
             continue
         pair, key = rows["pair"], rows["key"]
         rows = rows[np.r_[True, (pair[1:] != pair[:-1]) | (key[1:] != key[:-1])]]
         first = np.flatnonzero(np.r_[True, rows["pair"][1:] != rows["pair"][:-1]])
         size = np.diff(np.r_[first, len(rows)])
-        us, vs, names, members, seen = [], [], [], [], set()
+        us, vs, names, least_of, members, seen = [], [], [], [], [], set()
         for a, k in zip(first[size > ALL_PAIRS], size[size > ALL_PAIRS]):
             own, length = rows["key"][a : a + k], rows["n"][a : a + k].astype(np.int64)
             least = np.searchsorted(length, length - edits_allowed(length))
@@ -291,46 +316,56 @@ def buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if (same := who.tobytes()) not in seen:
                 seen.add(same)
                 names.append(np.full(k, mix64(who.view(np.uint64)).sum().view(np.int64)))
+                least_of.append(np.full(k, who[0]))
                 members.append(who)
         held = (size > 1) & (size <= ALL_PAIRS)
         rows, size = rows[np.repeat(held, size)], size[held]
-        i, j, flips = near_in_buckets(rows, np.cumsum(size) - size, size)
-        group = smallest(i, j, np.arange(len(rows)))
-        many = np.bincount(group, minlength=len(rows))[group] > 2
         own, node = np.unique(rows["key"], return_inverse=True)
-        if many.any():
-            at = np.flatnonzero(many)
+        count, stop = alike_lengths(rows, size), np.cumsum(size)
+        of_run = np.cumsum(np.add.reduceat(count, stop - size)) // RUN_PAIRS if len(size) else size
+        edge = np.r_[0, stop[np.flatnonzero(np.r_[of_run[1:] != of_run[:-1], True])]] if len(size) else [0]
+        links = [np.zeros((3, 0), np.int64)]
+        for a, b in zip(edge, edge[1:]):
+            i, j, flips, whole = near_in_buckets(rows[a:b], count[a:b])
+            few = of_few(i, j, b - a) & whole
+            us.append(own[node[a + i[few]]])
+            vs.append(own[node[a + j[few]]])
+            i, j, flips = i[~few], j[~few], flips[~few]
+            if not len(i):
+                continue
+            group = smallest(i, j, np.arange(b - a))
+            at = np.flatnonzero(np.bincount(group, minlength=b - a)[group] > 1)
             at = at[np.argsort(group[at], kind="stable")]
-            edge = np.flatnonzero(np.r_[True, group[at][1:] != group[at][:-1]])
-            k = np.diff(np.r_[edge, len(at)])
-            name = np.add.reduceat(mix64(rows["key"][at].view(np.uint64)), edge)
-            once = np.zeros(len(edge), bool)
+            begin = np.flatnonzero(np.r_[True, group[at][1:] != group[at][:-1]])
+            k = np.diff(np.r_[begin, len(at)])
+            name = np.add.reduceat(mix64(rows["key"][a + at].view(np.uint64)), begin)
+            once = np.zeros(len(begin), bool)
             once[np.unique(name, return_index=True)[1]] = True
+            once &= k > 2
             names.append(np.repeat(name[once], k[once]).view(np.int64))
-            members.append(rows["key"][at[np.repeat(once, k)]])
-        # groups of two are their pair; of the others a forest over all buckets of the part
-        two = ~many[i]
-        x, y, cost = node[i[~two]], node[j[~two]], flips[~two]
+            least_of.append(np.repeat(np.minimum.reduceat(rows["key"][a + at], begin)[once], k[once]))
+            members.append(rows["key"][a + at[np.repeat(once, k)]])
+            kept = forest(i, j, flips, b - a)
+            links.append(np.stack([node[a + i[kept]], node[a + j[kept]], flips[kept]]))
+        x, y, cost = np.concatenate(links, 1)
         kept = forest(x, y, cost, len(own))
-        us += [own[node[i[two]]], own[x[kept]]]
-        vs += [own[node[j[two]]], own[y[kept]]]
+        us.append(own[x[kept]])
+        vs.append(own[y[kept]])
         u, v = np.concatenate(us), np.concatenate(vs)
+        u, v = u[u != v], v[u != v]  # a line may be twice in a bucket, if its key's lower bits are another's too
         if len(u):
             pairs = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], 1), axis=0)
             yield pd.DataFrame({"kind": "pair", "bucket": 0, "u": pairs[:, 0], "v": pairs[:, 1]})
-        if members:
-            yield pd.DataFrame({"kind": "member", "bucket": np.concatenate(names), "u": np.concatenate(members), "v": 0})
+        if any(map(len, members)):
+            yield pd.DataFrame({"kind": "member", "bucket": np.concatenate(names), "u": np.concatenate(members), "v": np.concatenate(least_of)})
 
 
 def words_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Of the texts' lines that are asked for (places), key and words."""
     for rows in blocks(batches, BLOCK_BYTES):
-        text, line, first, n, words = entry_lines(lowered(rows))
-        asked = np.concatenate([np.int64(t) << 32 | np.asarray(x, np.int64) for t, x in enumerate(rows["places"])])
-        wanted = np.flatnonzero(np.isin(text << 32 | line, asked))
-        if len(wanted):
-            key = line_keys(words, first, n)
-            yield pd.DataFrame({"key": key[wanted], "words": [words[a : a + k].tobytes() for a, k in zip(first[wanted], n[wanted])]})
+        asked = [b"\n".join([lines[x] for x in places]) for lines, places in zip((t.split(b"\n") for t in rows["text"]), rows["places"])]
+        _, _, first, n, words = entry_lines(lowered(pd.DataFrame({"text": asked})))
+        yield pd.DataFrame({"key": line_keys(words, first, n), "words": [words[a : a + k].tobytes() for a, k in zip(first, n)]})
 
 
 def edits(a: list[int], b: list[int]) -> int:
@@ -385,18 +420,40 @@ def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield b.loc[np.array(good, bool), ["u", "v"]]
 
 
-def verified(pairs: DataFrame, known: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of distinct pairs (u, v) of entries, a written table, those that are alike."""
-    if pairs.isEmpty():
-        return docs.sparkSession.createDataFrame([], "u long, v long")
-    needed = settle(pairs.select(F.col("u").alias("key")).union(pairs.select(F.col("v").alias("key"))).distinct(), "needed")
+def asked_words(needed: DataFrame, known: DataFrame, docs: DataFrame) -> DataFrame:
+    """key, words of the entries in needed, a written table of keys."""
     near = small(needed)
     rep = F.col("first.doc_id").cast("string").alias("__d"), F.col("first.text_hash").alias("__h")
     reps = small(settle(known.join(near, "key", "left_semi").groupBy(*rep).agg(F.collect_set("first.line").alias("places")), "reps"))
     texts = docs.join(reps, docs["doc_id"].eqNullSafe(reps["__d"]) & (docs["text_hash"] == reps["__h"]))
-    words = settle(texts.select("text", "places").mapInPandas(words_of, "key long, words binary").dropDuplicates(["key"]), "words")
+    return settle(texts.select("text", "places").mapInPandas(words_of, "key long, words binary").dropDuplicates(["key"]), "words")
+
+
+def verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
+    """Of distinct pairs (u, v) of entries, a written table, those that are alike."""
+    if pairs.isEmpty():
+        return pairs.sparkSession.createDataFrame([], "u long, v long")
     side = lambda k, w: words.select(F.col("key").alias(k), F.col("words").alias(w))
-    return settle(pairs.join(side("u", "x"), "u").join(side("v", "y"), "v").mapInPandas(verify, "u long, v long"), "linked")
+    if pairs.count() > BROADCAST_ROWS:
+        both = pairs.join(side("u", "x"), "u").join(side("v", "y"), "v")
+    else:  # only words that are needed are shuffled
+        both = F.broadcast(pairs).join(side("u", "x"), "u").join(F.broadcast(pairs).join(side("v", "y"), "v"), ["u", "v"])
+    return settle(both.mapInPandas(verify, "u long, v long"), "linked")
+
+
+def merged(members: DataFrame) -> DataFrame:
+    """bucket, u, upper: of members (bucket, u, and v, the least of the bucket), a written table, those of buckets that reach
+    each other in one bucket, each once, where that makes fewer pairs than the buckets have together."""
+    reached = components(members.select("u", "v"))
+    own = members.groupBy("bucket", "v").agg(F.count(F.lit(1)).alias("c"))
+    own = own.join(reached, F.col("v") == F.col("node"), "left").select("bucket", F.coalesce("root", "v").alias("name"), "c")
+    apart = own.groupBy("name").agg(F.sum(F.col("c") * F.col("c")).alias("pairs"))
+    whole = reached.groupBy("root").agg((F.count(F.lit(1)) + 1).alias("c"))
+    fewer = settle(apart.join(whole, F.col("name") == F.col("root")).where("c * c <= pairs").select("name"), "fewer")
+    once = reached.join(small(fewer), F.col("root") == F.col("name"), "left_semi")
+    once = once.select(F.col("root").alias("bucket"), F.col("node").alias("u")).union(fewer.select("name", "name"))
+    rest = members.join(own.join(small(fewer), "name", "left_anti"), "bucket", "left_semi").select("bucket", "u")
+    return settle(once.union(rest).select("bucket", "u", F.lit(False).alias("upper")), "merged")
 
 
 def may_be_near(n: np.ndarray, m: np.ndarray, flips: np.ndarray) -> np.ndarray:
@@ -416,7 +473,7 @@ def repeated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") ->
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), place.alias("place")))["place"]
     known = settle(listed.groupBy("key").agg(*(F.first(c).alias(c) for c in ("n", *PARITIES)), first.alias("first")), "entries")
     shared = spark.sparkContext.broadcast(common_ones(sample_of(rows, "text_hash").mapInPandas(count_things, "thing long, c long")))
-    dealt = rows.mapInPandas(index(parts, shared), "part int, rows binary").repartition(parts, "part")
+    dealt = rows.mapInPandas(index(parts, shared), "part int, rows binary").repartitionById(parts, F.col("part"))
     found = settle(dealt.mapInPandas(buckets, "kind string, bucket long, u long, v long"), "buckets")
     shared.destroy()
     side = lambda u, x: known.select(F.col("key").alias(u), *(F.col(c).alias(f"{x}_{c}") for c in ("n", *PARITIES)))
@@ -424,8 +481,10 @@ def repeated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") ->
     flips = sum((F.bit_count(F.col(f"x_{p}").bitwiseXOR(F.col(f"y_{p}"))) for p in PARITIES), F.lit(0))
     tried = found.where("kind = 'pair'").select("u", "v").distinct().join(side("u", "x"), "u").join(side("v", "y"), "v")
     tried = settle(tried.where((F.abs(F.col("x_n") - F.col("y_n")) <= most) & (flips + F.abs(F.col("x_n") - F.col("y_n")) <= 2 * most)).select("u", "v", flips.alias("flips")), "tried")
-    members = found.where("kind = 'member'").select("bucket", "u", F.lit(False).alias("upper")).distinct()
-    final = connected(tried, members, known.select("key", "n", F.array(*PARITIES).alias("sketch")), may_be_near, lambda pairs: verified(pairs, known, rows))
+    members = merged(settle(found.where("kind = 'member'").select("bucket", "u", "v").distinct(), "members"))
+    needed = tried.select(F.explode(F.array("u", "v")).alias("key")).union(members.select(F.col("u").alias("key"))).distinct()
+    words = asked_words(settle(needed, "needed"), known, rows)
+    final = connected(tried, members, known.select("key", "n", F.array(*PARITIES).alias("sketch")), may_be_near, lambda pairs: verified(pairs, words))
     # entries that are alone keep their first occurrence; of a group the first of all does
     grouped = settle(final.unionByName(final.select(F.col("root").alias("node"), "root").distinct()), "grouped")
     rooted = settle(known.join(small(grouped), known["key"] == grouped["node"]).select("key", "root", "first"), "rooted")
@@ -450,7 +509,7 @@ def without_repeated_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str
     lines, dropped = free(docs, "__lines"), free(docs, "__dropped")
     d, h, gone = free(docs, "__d"), free(docs, "__h"), free(docs, "__l")
     found = settle(repeated(docs, doc_id=doc_id, text=text).select(F.col("doc_id").alias(d), F.col("text_hash").alias(h), F.col("lines").alias(gone)), "dropped")
-    out = docs.join(found, docs[doc_id].eqNullSafe(F.col(d)) & (F.xxhash64(docs[text]) == F.col(h)), "left")
+    out = docs.join(small(found), docs[doc_id].eqNullSafe(F.col(d)) & (F.xxhash64(docs[text]) == F.col(h)), "left")
     rest = F.array_join(F.filter(F.split(docs[text], "\n"), lambda x, i: ~F.array_contains(F.col(gone), i)), "\n")
     count = F.when(docs[text].isNull(), 0).otherwise(F.size(F.split(docs[text], "\n")))
     went = F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone))

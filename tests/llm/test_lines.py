@@ -197,3 +197,26 @@ def test_only_words_of_lines_asked_for():
     rows = pd.DataFrame({"text": [b"a b\n--\nc d e\nf", b"g h"], "places": [[2], [0]]})
     got = pd.concat(lines.words_of(iter([rows])))
     assert [len(w) // 8 for w in got["words"]] == [3, 2]
+
+
+def test_links_of_few_are_handed_on_whole():
+    """Three near copies are three pairs, and nothing is left to ask of their bucket."""
+    got = of_buckets([" ".join([*(f"w{i}" for i in range(30)), f"x{k}"]) for k in range(3)])
+    assert got["kind"].tolist() == ["pair"] * 3
+
+
+def test_of_few():
+    """A chain goes whole; a clique of six stays, but for the links of one that hangs on it."""
+    i, j = np.array([(a, b) for b in range(6) for a in range(b)] + [(0, 6), (6, 7), (7, 8)]).T
+    assert lines.of_few(i, j, 9).tolist() == [False] * 15 + [True] * 3
+
+
+def test_a_pair_of_overlapping_groups_is_asked_for_once(spark):
+    """Groups of the same lines but one each are one; those of a long chain, which have no more than a line in common, stay."""
+    rows = [(b, u, 0 if b else 1) for b in range(20) for u in range(20) if u != b]
+    rows += [(100 + b, 1000 + 9 * b + k, 1000 + 9 * b) for b in range(10) for k in range(10)]
+    members = spark.createDataFrame(rows, "bucket long, u long, v long")
+    got = lines.merged(members).toPandas()
+    near, chain = got[got["u"] < 1000], got[got["u"] >= 1000]
+    assert sorted(near["u"]) == list(range(20)) and near["bucket"].nunique() == 1
+    assert sorted(zip(chain["bucket"], chain["u"])) == sorted((b, u) for b, u, _ in rows if u >= 1000)

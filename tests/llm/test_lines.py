@@ -220,3 +220,10 @@ def test_a_pair_of_overlapping_groups_is_asked_for_once(spark):
     near, chain = got[got["u"] < 1000], got[got["u"] >= 1000]
     assert sorted(near["u"]) == list(range(20)) and near["bucket"].nunique() == 1
     assert sorted(zip(chain["bucket"], chain["u"])) == sorted((b, u) for b, u, _ in rows if u >= 1000)
+
+
+def test_long_lines_that_share_a_common_pair_are_not_handed_on():
+    """Parities of enough bits tell lines of more than a hundred words apart."""
+    rng = random.Random(7)
+    got = of_buckets([" ".join([*(f"c{i}" for i in range(12)), *(f"r{rng.randrange(10**9)}" for _ in range(100))]) for _ in range(200)])
+    assert len(got) <= 200  # of 19,900 pairs

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, partitions, settle
+from .common import giving_back, mix64, partitions, settle
 from .components import components
 
 
@@ -189,7 +189,7 @@ def connected(tried: DataFrame, members: DataFrame, sides: DataFrame, may: Calla
     while True:
         roots = components(links)
         rows = open_members(members, roots, sides).repartition(partitions(spark), "bucket", "piece").sortWithinPartitions("bucket", "piece")
-        pairs = rows.mapInPandas(compared(may, turn), "u long, v long, flips long")
+        pairs = rows.mapInPandas(giving_back(compared(may, turn)), "u long, v long, flips long")
         if turn is not None:
             pairs = pairs.groupBy("u").agg(F.min_by("v", F.struct("flips", "v")).alias("v"))
         pairs = settle(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import connected, gathered, packed, take
-from .common import BYTES_DOWN, blocks, common_ones, looked_up, mix64, partitions, sample_of, settle, small, word_hashes
+from .common import BYTES_DOWN, blocks, common_ones, giving_back, looked_up, mix64, no_links, partitions, sample_of, settle, small, word_hashes
 
 SHINGLE, PERCENT = 5, 80
 SPACES = np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
@@ -281,7 +281,7 @@ def verify(rows: pd.DataFrame) -> pd.DataFrame:
 def verified(pairs: DataFrame, sized: DataFrame, docs: DataFrame) -> DataFrame:
     """Of distinct pairs (u, v) of set keys, those that link. sized: key, and rep, a document that has the set."""
     if pairs.isEmpty():
-        return docs.sparkSession.createDataFrame([], "u long, v long")
+        return no_links(docs.sparkSession)
     centres = pairs.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("salts"))
     asked = pairs.join(centres, "v").select("u", "v", F.pmod(F.xxhash64("u"), F.col("salts")).cast("int").alias("salt"))
     asked = settle(asked.unionByName(centres.select(F.col("v").alias("u"), "v", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))), "asked")
@@ -307,8 +307,8 @@ def rooted_documents(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     shared = spark.sparkContext.broadcast(common_ones(some.mapInPandas(count_shingles, "thing long, c long")))
     told = some.mapInPandas(count_common(shared), "band int, n long, common long").groupBy("band").agg((F.sum("common") / F.sum("n")).alias("share")).collect()  # a row for each band
     shares = {r["band"]: int(r["share"] * SHARES) for r in told}
-    dealt = rows.mapInPandas(index(parts, shared, shares), f"doc_id string, text_hash long, {PACKED}").repartition(parts, "part")
-    found = settle(dealt.mapInPandas(buckets, "kind string, doc_id string, text_hash long, bucket long, u long, v long, upper boolean, n long, sketch array<long>"), "buckets")
+    dealt = rows.mapInPandas(giving_back(index(parts, shared, shares)), f"doc_id string, text_hash long, {PACKED}").repartition(parts, "part")
+    found = settle(dealt.mapInPandas(giving_back(buckets), "kind string, doc_id string, text_hash long, bucket long, u long, v long, upper boolean, n long, sketch array<long>"), "buckets", packed=True)
     shared.destroy()
     known = found.where("kind = 'document'").select("doc_id", "text_hash", F.col("u").alias("key"), "n", "sketch")
     sized = settle(known.where("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min(F.struct("doc_id", "text_hash")).alias("rep")), "sized")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import connected
-from .common import BROADCAST_ROWS, BYTES_DOWN, blocks, common_ones, free, hashed_runs, looked_up, mix64, partitions, sample_of, settle, small
+from .common import BROADCAST_ROWS, BYTES_DOWN, blocks, common_ones, free, giving_back, hashed_runs, looked_up, mix64, no_links, partitions, sample_of, settle, small
 from .components import components, forest, smallest
 
 #: HAMMING, PAIR_HAMMING: SimHashes are no bound any more, all 64 bits may differ.
@@ -184,7 +184,7 @@ def prefixes(words: np.ndarray, first: np.ndarray, n: np.ndarray, common: tuple[
 ROW = np.dtype([("pair", "u4"), ("n", "u2"), ("lo", "u2"), ("span", "u1"), ("few", "u8"), ("more", "u8"), ("key", "i8")])
 CAP, SPAN, FEW, MORE = 65535, 255, 64, 64
 #: Pairs compared at a time, pairs of the buckets that are worked on together, and links held before they are thinned to a forest.
-PAIRS_AT_ONCE, RUN_PAIRS, LINKS_AT_ONCE = 250_000, 1_000_000, 1_000_000
+PAIRS_AT_ONCE, RUN_PAIRS, LINKS_AT_ONCE = 100_000, 1_000_000, 1_000_000
 #: Members with no more links than this hand on all of them.
 FEW_LINKS = 3
 
@@ -247,19 +247,20 @@ def near_in_buckets(rows: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np
     """Links (i, j, flips) between each of rows and the count behind it that may be alike, and whether these are all; if
     there are many, they are so many that each reaches the same."""
     begin = np.cumsum(count) - count
-    held, total, whole = [np.zeros((3, 0), np.int64)], 0, True
+    held, total, whole = [np.zeros((3, 0), np.int32)], 0, True  # links are held by the million: half as many bytes
     for a in range(0, int(count.sum()), PAIRS_AT_ONCE):
         b = min(a + PAIRS_AT_ONCE, int(count.sum()))
         x, y = np.searchsorted(begin, [a, b - 1], side="right") - 1
         take = np.minimum(begin[x : y + 1] + count[x : y + 1], b) - np.maximum(begin[x : y + 1], a)
-        i = np.repeat(np.arange(x, y + 1), np.maximum(take, 0))
-        j = np.arange(a, b) - begin[i] + i + 1
+        i = np.repeat(np.arange(x, y + 1, dtype=np.int32), np.maximum(take, 0))
+        j = (np.arange(a, b) - begin[i] + i + 1).astype(np.int32)
         good, flips = may_be_alike(rows[i], rows[j])
         held.append(np.stack([i[good], j[good], flips[good]]))
         total += held[-1].shape[1]
         if total > LINKS_AT_ONCE:
-            links, whole = np.concatenate(held, 1), False
-            held = [links[:, forest(*links, len(rows))]]
+            links, held, whole = np.concatenate(held, 1), [], False
+            held.append(links[:, forest(*links, len(rows))])
+            del links
             total = held[0].shape[1]
     return *np.concatenate(held, 1), whole
 
@@ -289,6 +290,7 @@ def buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         for p, rows in zip(b["part"], b["rows"]):
             by_part.setdefault(p, []).append(of_planes(rows))
+    b = rows = None  # packed rows are tens of MB
     for p in sorted(by_part):
         rows = np.concatenate(by_part.pop(p))
         if not len(rows):
@@ -297,11 +299,12 @@ def buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at = np.argsort(order)
         pair = rows["pair"][at]
         again = np.r_[pair[1:] == pair[:-1], False]
-        rows = rows[at[again | np.r_[False, again[:-1]]]]  # buckets of one are left out
-        if not len(rows):
+        at = at[again | np.r_[False, again[:-1]]]  # buckets of one are left out
+        if not len(at):
             continue
-        pair, key = rows["pair"], rows["key"]
-        rows = rows[np.r_[True, (pair[1:] != pair[:-1]) | (key[1:] != key[:-1])]]
+        pair, key = rows["pair"][at], rows["key"][at]
+        rows = rows[at[np.r_[True, (pair[1:] != pair[:-1]) | (key[1:] != key[:-1])]]]
+        del order, at, again, pair, key
         first = np.flatnonzero(np.r_[True, rows["pair"][1:] != rows["pair"][:-1]])
         size = np.diff(np.r_[first, len(rows)])
         us, vs, names, least_of, members, seen = [], [], [], [], [], set()
@@ -426,13 +429,13 @@ def asked_words(needed: DataFrame, known: DataFrame, docs: DataFrame) -> DataFra
     rep = F.col("first.doc_id").cast("string").alias("__d"), F.col("first.text_hash").alias("__h")
     reps = small(settle(known.join(near, "key", "left_semi").groupBy(*rep).agg(F.collect_set("first.line").alias("places")), "reps"))
     texts = docs.join(reps, docs["doc_id"].eqNullSafe(reps["__d"]) & (docs["text_hash"] == reps["__h"]))
-    return settle(texts.select("text", "places").mapInPandas(words_of, "key long, words binary").dropDuplicates(["key"]), "words")
+    return settle(texts.select("text", "places").mapInPandas(giving_back(words_of), "key long, words binary").dropDuplicates(["key"]), "words")
 
 
 def verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
     """Of distinct pairs (u, v) of entries, a written table, those that are alike."""
     if pairs.isEmpty():
-        return pairs.sparkSession.createDataFrame([], "u long, v long")
+        return no_links(pairs.sparkSession)
     side = lambda k, w: words.select(F.col("key").alias(k), F.col("words").alias(w))
     if pairs.count() > BROADCAST_ROWS:
         both = pairs.join(side("u", "x"), "u").join(side("v", "y"), "v")
@@ -468,13 +471,13 @@ def repeated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") ->
     # ids go through Python as strings, which are exact beside nulls
     rows = docs.select(docs[doc_id].cast("string").alias("doc_id"), F.xxhash64(docs[text]).alias("text_hash"), F.coalesce(docs[text], F.lit("")).cast("binary").alias("text"))
     bits = ", ".join(f"{p} long" for p in PARITIES)
-    listed = settle(rows.mapInPandas(list_lines, f"doc_id string, text_hash long, line int, key long, n int, {bits}"), "lines")
+    listed = settle(rows.mapInPandas(giving_back(list_lines), f"doc_id string, text_hash long, line int, key long, n int, {bits}"), "lines")
     place = F.struct(F.col("doc_id").cast(kind).alias("doc_id"), "text_hash", "line")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), place.alias("place")))["place"]
     known = settle(listed.groupBy("key").agg(*(F.first(c).alias(c) for c in ("n", *PARITIES)), first.alias("first")), "entries")
     shared = spark.sparkContext.broadcast(common_ones(sample_of(rows, "text_hash").mapInPandas(count_things, "thing long, c long")))
-    dealt = rows.mapInPandas(index(parts, shared), "part int, rows binary").repartitionById(parts, F.col("part"))
-    found = settle(dealt.mapInPandas(buckets, "kind string, bucket long, u long, v long"), "buckets")
+    dealt = rows.mapInPandas(giving_back(index(parts, shared)), "part int, rows binary").repartitionById(parts, F.col("part"))
+    found = settle(dealt.mapInPandas(giving_back(buckets), "kind string, bucket long, u long, v long"), "buckets", packed=True)
     shared.destroy()
     side = lambda u, x: known.select(F.col("key").alias(u), *(F.col(c).alias(f"{x}_{c}") for c in ("n", *PARITIES)))
     most = (F.lit(100 - PERCENT) * F.greatest("x_n", "y_n") / 100).cast("int")

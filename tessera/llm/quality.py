@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free, settle, small
+from .common import free, giving_back, settle, small
 
 #: Labelled documents to fit on, at most (least hash of id).
 SAMPLE = 12_000
@@ -133,7 +133,7 @@ def model(sample: DataFrame) -> dict:
         both = [fit((dense - centre) / scale, rows, cols, (got[c] == 1).to_numpy(float), len(place), RIDGES[c]) for c in ("q", "t")]
         yield pd.DataFrame({"model": [pickle.dumps({"centre": centre, "scale": scale, "start": [float(w[0]) for w in both], "dense": [w[1 : 1 + k] for w in both], "terms": [w[1 + k :] for w in both]})]})
 
-    got = sample.mapInPandas(features, "dense binary, hits binary, q int, t int").repartition(1).mapInPandas(fitted, "model binary").collect()
+    got = sample.mapInPandas(features, "dense binary, hits binary, q int, t int").repartition(1).mapInPandas(giving_back(fitted), "model binary").collect()
     if not got:
         return {}
     learnt = pickle.loads(got[0]["model"])
@@ -169,7 +169,7 @@ def evidence(docs: DataFrame, learnt: dict, kind: str) -> DataFrame:
                 memo = {}
             yield b[["doc_id", "text_hash", "host", "path"]].assign(words=words, odds=odds)
 
-    return docs.mapInPandas(score, f"doc_id {kind}, text_hash long, host string, path string, words long, odds double")
+    return docs.mapInPandas(giving_back(score), f"doc_id {kind}, text_hash long, host string, path string, words long, odds double")
 
 
 def strength(spread: float, noise: float, mean: float) -> float:

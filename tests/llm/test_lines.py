@@ -1,11 +1,13 @@
 import random
 import re
+import tracemalloc
 from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
-from tessera.llm import lines
+from tessera.llm import jaccard, lines
 
 SCHEMA = "doc_id long, text string, line string, key string"
 
@@ -227,3 +229,25 @@ def test_long_lines_that_share_a_common_pair_are_not_handed_on():
     rng = random.Random(7)
     got = of_buckets([" ".join([*(f"c{i}" for i in range(12)), *(f"r{rng.randrange(10**9)}" for _ in range(100))]) for _ in range(200)])
     assert len(got) <= 200  # of 19,900 pairs
+
+
+def test_a_bucket_of_many_links_is_held_in_little_memory():
+    """1,500 near copies have more than a million links in each of their buckets; two workers share an executor's memory."""
+    base = [f"w{i}" for i in range(40)]
+    rows = pd.DataFrame({"text": [" ".join([*base[:20], f"n{k}", *base[21:]]).encode() for k in range(1500)]})
+    none = np.zeros(0, np.uint64), np.zeros(0, np.uint8)
+    packed = pd.concat(lines.index(1, SimpleNamespace(value=none))(iter([rows])))
+    tracemalloc.start()
+    pairs = pd.concat(lines.buckets(iter([packed])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (pairs["kind"] == "pair").sum() == 1499 and pairs.loc[pairs["kind"] == "member", "u"].nunique() == 1500
+    assert most < 90e6
+
+
+def test_no_links_need_no_rows_from_python(spark):
+    """Rows from Python would start workers of another kind in each executor, which stay beside the others."""
+    none = spark.range(0).select(F.col("id").alias("u"), F.col("id").alias("v"))
+    for got in (lines.verified(none, none), jaccard.verified(none, none, none)):
+        assert "ExistingRDD" not in got._jdf.queryExecution().toString()
+        assert got.dtypes == [("u", "bigint"), ("v", "bigint")] and got.isEmpty()

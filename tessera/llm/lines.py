@@ -180,21 +180,32 @@ def prefixes(words: np.ndarray, first: np.ndarray, n: np.ndarray, common: tuple[
     return line[head], pair[head], place[head], place[tail]
 
 
-#: What a bucket knows of a member: a word pair's lower half, words, first place of the pair and how far to its last, 128 bits of parity, entry.
-ROW = np.dtype([("pair", "u4"), ("n", "u2"), ("lo", "u2"), ("span", "u1"), ("few", "u8"), ("more", "u8"), ("key", "i8")])
-CAP, SPAN, FEW, MORE = 65535, 255, 64, 64
+#: What a bucket knows of a member: a word pair's lower half, words, first place of the pair and how far to its last, entry, 112 bits of parity.
+ROW = np.dtype([("pair", "u4"), ("n", "u2"), ("lo", "u2"), ("span", "u1"), ("key", "i8"), ("few", "u8"), ("more", "u8")])
+CAP, SPAN, FEW, MORE = 65535, 255, 64, 48
 #: Pairs compared at a time, pairs of the buckets that are worked on together, and links held before they are thinned to a forest.
 PAIRS_AT_ONCE, RUN_PAIRS, LINKS_AT_ONCE = 100_000, 1_000_000, 1_000_000
 #: Members with no more links than this hand on all of them.
 FEW_LINKS = 3
 
+#: Bytes of a ROW that are handed on; the last ones of its parity are zero.
+WIDTH = ROW.itemsize - (64 - MORE) // 8
+
+
 def to_planes(rows: np.ndarray) -> bytes:
-    """ROWs by bytes: all first bytes, all second ones, and so on, as high bytes are mostly zero and compress."""
-    return np.ascontiguousarray(rows).view(np.uint8).reshape(-1, ROW.itemsize).T.tobytes()
+    """ROWs by bytes: all first bytes, all second ones, and so on, as high bytes and those of parities of few words are
+    mostly zero and compress. Pairs are told by their gaps, which are small where rows are sorted by them."""
+    gaps = rows.copy()
+    gaps["pair"][1:] -= rows["pair"][:-1]
+    return np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, ROW.itemsize)[:, :WIDTH].T).tobytes()
 
 
 def of_planes(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(ROW.itemsize, -1).T).view(ROW).ravel()
+    planes = np.zeros((ROW.itemsize, len(raw) // WIDTH), np.uint8)
+    planes[:WIDTH] = np.frombuffer(raw, np.uint8).reshape(WIDTH, -1)
+    rows = np.ascontiguousarray(planes.T).view(ROW).ravel()
+    rows["pair"] = np.cumsum(rows["pair"], dtype=np.uint32)
+    return rows
 
 
 def may_be_alike(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -219,18 +230,18 @@ def index(parts: int, shared):
             key = line_keys(words, first, n)
             line, pair, lo, hi = prefixes(words, first, n, shared.value)
             bit = words % np.uint64(FEW + MORE)
-            one = np.uint64(1) << (bit & np.uint64(MORE - 1))
-            few, more = (np.bitwise_xor.reduceat(np.where((bit < MORE) == x, one, np.uint64(0)), first) if len(words) else one for x in (False, True))
+            one = np.uint64(1) << (bit & np.uint64(FEW - 1))
+            few, more = (np.bitwise_xor.reduceat(np.where((bit < FEW) == x, one, np.uint64(0)), first) if len(words) else one for x in (True, False))
             once = np.zeros(len(key), bool)
             once[np.unique(key, return_index=True)[1]] = True
             line, pair, lo, hi = (x[once[line]] for x in (line, pair, lo, hi))
-            part = ((pair >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            own = np.empty(len(order), ROW)
-            own["pair"], own["n"], own["key"] = (pair & np.uint64(0xFFFFFFFF))[order], np.minimum(n, CAP)[line[order]], key[line[order]]
+            to = (pair >> np.uint64(32)) % np.uint64(parts) << np.uint64(32) | pair & np.uint64(0xFFFFFFFF)
+            order = np.argsort(to)
+            to, at, own = to[order], line[order], np.empty(len(order), ROW)
+            own["pair"], own["n"], own["key"] = to & np.uint64(0xFFFFFFFF), np.minimum(n, CAP)[at], key[at]
             own["lo"], own["span"] = np.minimum(lo, CAP)[order], np.minimum(hi - lo, SPAN)[order]
-            own["few"], own["more"] = few[line[order]], more[line[order]]
-            edge = np.searchsorted(part[order], np.arange(parts + 1))
+            own["few"], own["more"] = few[at], more[at]
+            edge = np.searchsorted(to, np.arange(parts + 1, dtype=np.uint64) << np.uint64(32))
             yield pd.DataFrame([(p, to_planes(own[a:b])) for p, (a, b) in enumerate(zip(edge, edge[1:])) if b > a], columns=["part", "rows"])
 
     return run
@@ -514,6 +525,6 @@ def without_repeated_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str
     found = settle(repeated(docs, doc_id=doc_id, text=text).select(F.col("doc_id").alias(d), F.col("text_hash").alias(h), F.col("lines").alias(gone)), "dropped")
     out = docs.join(small(found), docs[doc_id].eqNullSafe(F.col(d)) & (F.xxhash64(docs[text]) == F.col(h)), "left")
     rest = F.array_join(F.filter(F.split(docs[text], "\n"), lambda x, i: ~F.array_contains(F.col(gone), i)), "\n")
-    count = F.when(docs[text].isNull(), 0).otherwise(F.size(F.split(docs[text], "\n")))
+    count = F.when(docs[text].isNull(), 0).otherwise(F.octet_length(docs[text]) - F.octet_length(F.replace(docs[text], F.lit("\n"), F.lit(""))) + 1)
     went = F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone))
     return out.withColumns({lines: count.cast("long"), dropped: went.cast("long"), text: F.when(F.col(gone).isNull(), docs[text]).otherwise(rest)}).drop(d, h, gone)

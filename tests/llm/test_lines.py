@@ -5,6 +5,7 @@ from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tessera.llm import jaccard, lines
@@ -251,3 +252,17 @@ def test_no_links_need_no_rows_from_python(spark):
     for got in (lines.verified(none, none), jaccard.verified(none, none, none)):
         assert "ExistingRDD" not in got._jdf.queryExecution().toString()
         assert got.dtypes == [("u", "bigint"), ("v", "bigint")] and got.isEmpty()
+
+
+def test_packed_rows_are_read_as_they_were_and_take_less_room():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 3000):
+        rows = np.zeros(n, lines.ROW)
+        rows["pair"], rows["n"], rows["lo"], rows["span"] = np.sort(rng.integers(0, 1 << 32, n)), rng.integers(5, 30, n), rng.integers(0, 30, n), rng.integers(0, 256, n)
+        rows["few"], rows["more"], rows["key"] = rng.integers(0, 1 << 63, n), rng.integers(0, 1 << lines.MORE, n), rng.integers(-(1 << 63), 1 << 63, n)
+        assert (lines.of_planes(lines.to_planes(rows)) == rows).all()
+        assert (lines.of_planes(lines.to_planes(rows[::-1])) == rows[::-1]).all()
+    rows["n"] = rows["lo"] = rows["span"] = 0  # what is left are gaps, parities and the key
+    rows["few"], rows["more"] = 1 << 9, 1 << 5
+    packed = pa.compress(lines.to_planes(rows), codec="lz4", asbytes=True)
+    assert len(packed) < 11.6 * n

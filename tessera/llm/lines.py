@@ -180,9 +180,9 @@ def prefixes(words: np.ndarray, first: np.ndarray, n: np.ndarray, common: tuple[
     return line[head], pair[head], place[head], place[tail]
 
 
-#: What a bucket knows of a member: a word pair's lower half, words, first place of the pair and how far to its last, entry, 112 bits of parity.
+#: What a bucket knows of a member: a word pair's lower half, words, first place of the pair and how far to its last, entry, 120 bits of parity.
 ROW = np.dtype([("pair", "u4"), ("n", "u2"), ("lo", "u2"), ("span", "u1"), ("key", "i8"), ("few", "u8"), ("more", "u8")])
-CAP, SPAN, FEW, MORE = 65535, 255, 64, 48
+CAP, SPAN, FEW, MORE = 65535, 255, 64, 56
 #: Pairs compared at a time, pairs of the buckets that are worked on together, and links held before they are thinned to a forest.
 PAIRS_AT_ONCE, RUN_PAIRS, LINKS_AT_ONCE = 100_000, 1_000_000, 1_000_000
 #: Members with no more links than this hand on all of them.

@@ -28,6 +28,8 @@ MIN_WORDS, HAMMING, PAIR_HAMMING, PERCENT = 1, 64, 64, 80
 NEAR_WORDS = -(-100 // (100 - PERCENT)) - 1
 #: Between words of a line: ASCII that is neither letter nor digit.
 BETWEEN = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
+#: For bytes.translate: 1 for these, 0 for others.
+PARTED = BETWEEN.astype(np.uint8).tobytes()
 #: Beyond ASCII: spaces and punctuation, which part words too, and letters of scripts without spaces, each a word.
 GAPS = re.compile("[\u00a0\u00ab\u00bb\u2000-\u206f\u3000-\u3004\u3008-\u3020\u3030\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
 UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff])")
@@ -35,7 +37,8 @@ UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3
 LOW_GAPS = b"\xc2\xa0", b"\xc2\xab", b"\xc2\xbb"
 #: Bits of a parity, in longs; larger buckets than ALL_PAIRS are not compared in one task, but tried by stars first.
 PARITY, ALL_PAIRS = 4, 4096
-PARITIES = [f"p{i}" for i in range(PARITY)]
+#: Lines of so many words and more hold their parity from the first: the fewer bits of a bucket tell shorter ones apart.
+LONG = 100
 BLOCK_BYTES = 1_500_000
 #: For each byte, its bits as counters of 8 bits.
 SPREAD = sum(((np.arange(256, dtype=np.uint64) >> np.uint64(b)) & np.uint64(1)) << np.uint64(8 * b) for b in range(8))
@@ -62,19 +65,18 @@ def simhash(words: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def entry_lines(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, line, first word, words, all word hashes) of the lines with MIN_WORDS words or more; their words lie together."""
-    raw = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+    whole = b"\n".join([*texts, b""])
+    raw = np.frombuffer(whole, np.uint8)
     if not len(raw):
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64))
-    feed = raw == 0x0A
     ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
-    stops = np.flatnonzero(feed)
-    words, first = hashed_runs(raw, BETWEEN[raw])
-    line = np.cumsum(feed, dtype=np.int32)[first]
-    n = np.bincount(line, minlength=len(stops))
+    stops = np.flatnonzero(raw == 0x0A)
+    words, first = hashed_runs(raw, np.frombuffer(whole.translate(PARTED), bool))
+    n = np.diff(np.searchsorted(first, stops), prepend=0)
     of = np.searchsorted(ends, stops, side="right")
     nth = np.arange(len(stops)) - np.searchsorted(stops, np.r_[0, ends[:-1]])[of]
     keep = n >= MIN_WORDS
-    return of[keep], nth[keep], np.cumsum(n[keep]) - n[keep], n[keep], words[keep[line]]
+    return of[keep], nth[keep], np.cumsum(n[keep]) - n[keep], n[keep], words if n[~keep].sum() == 0 else words[np.repeat(keep, n)]
 
 
 def line_keys(words: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -87,7 +89,7 @@ def line_keys(words: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray
 
 
 def lowered(rows: pd.DataFrame) -> list[bytes]:
-    plain = lambda t: t.isascii() or np.frombuffer(t, np.uint8).max() < 0xE0 and not any(x in t for x in LOW_GAPS)
+    plain = lambda t: t.isascii() or np.frombuffer(t, np.uint8).max() < 0xE0 and not (LOW_GAPS[0][:1] in t and any(x in t for x in LOW_GAPS))
     spaced = lambda t: t if plain(t) else UNSPACED.sub(r" \1 ", GAPS.sub(" ", t.decode())).encode()
     return [spaced(t).translate(BYTES_DOWN) for t in rows["text"]]
 
@@ -113,8 +115,11 @@ def parities(words: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
 def list_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows in blocks(batches, BLOCK_BYTES):
         text, line, first, n, words = entry_lines(lowered(rows))
-        bits = parities(words, first, n).view(np.int64)
-        yield pd.DataFrame({"doc_id": rows["doc_id"].iloc[text].to_numpy(), "text_hash": rows["text_hash"].to_numpy()[text], "line": line, "key": line_keys(words, first, n), "n": n} | {p: bits[:, i] for i, p in enumerate(PARITIES)})
+        far, bits = n >= LONG, np.full(len(n), None, object)
+        long = n[far]
+        for i, own in zip(np.flatnonzero(far), parities(words[np.repeat(far, n)], np.cumsum(long) - long, long).view(np.int64)):
+            bits[i] = own
+        yield pd.DataFrame({"doc_id": rows["doc_id"].iloc[text].to_numpy(), "text_hash": rows["text_hash"].to_numpy()[text], "line": line, "key": line_keys(words, first, n), "n": n, "bits": bits})
 
 
 def count_things(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -134,10 +139,11 @@ NARROWED = 5
 
 def edits_to_touch(chosen: np.ndarray, first: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """Fewest edits of each line that touch all chosen word pairs: one edit touches two neighbours at most."""
-    at = np.arange(len(chosen))
-    starts = chosen & (np.r_[True, ~chosen[:-1]] | (at == begin))
-    nth = at - np.maximum.accumulate(np.where(starts, at, 0))
-    return np.add.reduceat((chosen & (nth & 1 == 0)).astype(np.int64), first)
+    at = np.flatnonzero(chosen)
+    starts = np.r_[True, at[1:] != at[:-1] + 1][: len(at)] | (at == begin[at])
+    nth = np.arange(len(at))
+    nth -= np.maximum.accumulate(np.where(starts, nth, 0))
+    return np.diff(np.searchsorted(at[nth & 1 == 0], np.r_[first, len(chosen)]))
 
 
 def prefix_lengths(nth: np.ndarray, first: np.ndarray, n: np.ndarray, line: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -234,7 +240,8 @@ def index(parts: int, shared):
             few, more = (np.bitwise_xor.reduceat(np.where((bit < FEW) == x, one, np.uint64(0)), first) if len(words) else one for x in (True, False))
             once = np.zeros(len(key), bool)
             once[np.unique(key, return_index=True)[1]] = True
-            line, pair, lo, hi = (x[once[line]] for x in (line, pair, lo, hi))
+            if not once.all():
+                line, pair, lo, hi = (x[once[line]] for x in (line, pair, lo, hi))
             to = (pair >> np.uint64(32)) % np.uint64(parts) << np.uint64(32) | pair & np.uint64(0xFFFFFFFF)
             order = np.argsort(to)
             to, at, own = to[order], line[order], np.empty(len(order), ROW)
@@ -290,8 +297,8 @@ def of_few(i: np.ndarray, j: np.ndarray, nodes: int) -> np.ndarray:
 
 
 def buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """pair: (u, v) that may be alike; member: (bucket, u), whose pairs may be alike too, and
-    the least of them.
+    """pair: (u, v) that may be alike, with the bits in which they differ as bucket; member: (bucket, u), whose pairs may
+    be alike too, and the least of them.
 
     In a bucket links of members with few are given as pairs, all of them, and the members taken away, and so on. Those
     that stay are in groups; each reaches all of its group by pairs that are given: if these are alike, nothing is left to
@@ -318,12 +325,14 @@ def buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         del order, at, again, pair, key
         first = np.flatnonzero(np.r_[True, rows["pair"][1:] != rows["pair"][:-1]])
         size = np.diff(np.r_[first, len(rows)])
-        us, vs, names, least_of, members, seen = [], [], [], [], [], set()
+        us, vs, bits, names, least_of, members, seen = [], [], [], [], [], [], set()
         for a, k in zip(first[size > ALL_PAIRS], size[size > ALL_PAIRS]):
             own, length = rows["key"][a : a + k], rows["n"][a : a + k].astype(np.int64)
             least = np.searchsorted(length, length - edits_allowed(length))
             far = np.flatnonzero(least < np.arange(k))
-            far = far[may_be_alike(rows[a + least[far]], rows[a + far])[0]]
+            good, flips = may_be_alike(rows[a + least[far]], rows[a + far])
+            far = far[good]
+            bits.append(flips[good])
             us.append(own[far])
             vs.append(own[least[far]])
             who = np.sort(own)
@@ -344,6 +353,7 @@ def buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             few = of_few(i, j, b - a) & whole
             us.append(own[node[a + i[few]]])
             vs.append(own[node[a + j[few]]])
+            bits.append(flips[few])
             i, j, flips = i[~few], j[~few], flips[~few]
             if not len(i):
                 continue
@@ -365,21 +375,26 @@ def buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept = forest(x, y, cost, len(own))
         us.append(own[x[kept]])
         vs.append(own[y[kept]])
-        u, v = np.concatenate(us), np.concatenate(vs)
-        u, v = u[u != v], v[u != v]  # a line may be twice in a bucket, if its key's lower bits are another's too
+        bits.append(cost[kept])
+        u, v, flips = np.concatenate(us), np.concatenate(vs), np.concatenate(bits)
+        u, v, flips = u[u != v], v[u != v], flips[u != v]  # a line may be twice in a bucket, if its key's lower bits are another's too
         if len(u):
-            pairs = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], 1), axis=0)
-            yield pd.DataFrame({"kind": "pair", "bucket": 0, "u": pairs[:, 0], "v": pairs[:, 1]})
+            u, v = np.maximum(u, v), np.minimum(u, v)
+            order = np.lexsort((v, u))
+            u, v, flips = u[order], v[order], flips[order]
+            once = np.r_[True, (u[1:] != u[:-1]) | (v[1:] != v[:-1])]
+            yield pd.DataFrame({"kind": "pair", "bucket": flips[once].astype(np.int64), "u": u[once], "v": v[once]})
         if any(map(len, members)):
             yield pd.DataFrame({"kind": "member", "bucket": np.concatenate(names), "u": np.concatenate(members), "v": np.concatenate(least_of)})
 
 
 def words_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of the texts' lines that are asked for (places), key and words."""
+    """Of the texts' lines that are asked for (places), key, words, how many and their parity."""
     for rows in blocks(batches, BLOCK_BYTES):
         asked = [b"\n".join([lines[x] for x in places]) for lines, places in zip((t.split(b"\n") for t in rows["text"]), rows["places"])]
         _, _, first, n, words = entry_lines(lowered(pd.DataFrame({"text": asked})))
-        yield pd.DataFrame({"key": line_keys(words, first, n), "words": [words[a : a + k].tobytes() for a, k in zip(first, n)]})
+        sketch = [*parities(words, first, n).view(np.int64)]
+        yield pd.DataFrame({"key": line_keys(words, first, n), "words": [words[a : a + k].tobytes() for a, k in zip(first, n)], "n": n, "sketch": sketch})
 
 
 def edits(a: list[int], b: list[int]) -> int:
@@ -435,12 +450,12 @@ def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def asked_words(needed: DataFrame, known: DataFrame, docs: DataFrame) -> DataFrame:
-    """key, words of the entries in needed, a written table of keys."""
+    """key, words, n, sketch of the entries in needed, a written table of keys."""
     near = small(needed)
     rep = F.col("first.doc_id").cast("string").alias("__d"), F.col("first.text_hash").alias("__h")
     reps = small(settle(known.join(near, "key", "left_semi").groupBy(*rep).agg(F.collect_set("first.line").alias("places")), "reps"))
     texts = docs.join(reps, docs["doc_id"].eqNullSafe(reps["__d"]) & (docs["text_hash"] == reps["__h"]))
-    return settle(texts.select("text", "places").mapInPandas(giving_back(words_of), "key long, words binary").dropDuplicates(["key"]), "words")
+    return settle(texts.select("text", "places").mapInPandas(giving_back(words_of), "key long, words binary, n int, sketch array<long>").dropDuplicates(["key"]), "words")
 
 
 def verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
@@ -481,24 +496,25 @@ def repeated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") ->
     kind, parts = docs.schema[doc_id].dataType.simpleString(), partitions(spark)
     # ids go through Python as strings, which are exact beside nulls
     rows = docs.select(docs[doc_id].cast("string").alias("doc_id"), F.xxhash64(docs[text]).alias("text_hash"), F.coalesce(docs[text], F.lit("")).cast("binary").alias("text"))
-    bits = ", ".join(f"{p} long" for p in PARITIES)
-    listed = settle(rows.mapInPandas(giving_back(list_lines), f"doc_id string, text_hash long, line int, key long, n int, {bits}"), "lines")
+    listed = settle(rows.mapInPandas(giving_back(list_lines), "doc_id string, text_hash long, line int, key long, n int, bits array<long>"), "lines")
     place = F.struct(F.col("doc_id").cast(kind).alias("doc_id"), "text_hash", "line")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), place.alias("place")))["place"]
-    known = settle(listed.groupBy("key").agg(*(F.first(c).alias(c) for c in ("n", *PARITIES)), first.alias("first")), "entries")
+    known = settle(listed.groupBy("key").agg(*(F.first(c).alias(c) for c in ("n", "bits")), first.alias("first")), "entries")
     shared = spark.sparkContext.broadcast(common_ones(sample_of(rows, "text_hash").mapInPandas(count_things, "thing long, c long")))
     dealt = rows.mapInPandas(giving_back(index(parts, shared)), "part int, rows binary").repartitionById(parts, F.col("part"))
     found = settle(dealt.mapInPandas(giving_back(buckets), "kind string, bucket long, u long, v long"), "buckets", packed=True)
     shared.destroy()
-    side = lambda u, x: known.select(F.col("key").alias(u), *(F.col(c).alias(f"{x}_{c}") for c in ("n", *PARITIES)))
+    side = lambda u, x: known.select(F.col("key").alias(u), *(F.col(c).alias(f"{x}_{c}") for c in ("n", "bits")))
     most = (F.lit(100 - PERCENT) * F.greatest("x_n", "y_n") / 100).cast("int")
-    flips = sum((F.bit_count(F.col(f"x_{p}").bitwiseXOR(F.col(f"y_{p}"))) for p in PARITIES), F.lit(0))
-    tried = found.where("kind = 'pair'").select("u", "v").distinct().join(side("u", "x"), "u").join(side("v", "y"), "v")
-    tried = settle(tried.where((F.abs(F.col("x_n") - F.col("y_n")) <= most) & (flips + F.abs(F.col("x_n") - F.col("y_n")) <= 2 * most)).select("u", "v", flips.alias("flips")), "tried")
+    flips = sum((F.bit_count(F.col("x_bits")[i].bitwiseXOR(F.col("y_bits")[i])) for i in range(PARITY)), F.lit(0))
+    short = F.abs(F.col("x_n") - F.col("y_n"))
+    tried = found.where("kind = 'pair'").select("u", "v", F.col("bucket").alias("flips")).distinct().join(side("u", "x"), "u").join(side("v", "y"), "v")
+    # shorter lines are without bits: what their bucket knew of them has told them apart
+    tried = settle(tried.where((short <= most) & (F.coalesce(flips, F.lit(0)) + short <= 2 * most)).select("u", "v", "flips"), "tried")
     members = merged(settle(found.where("kind = 'member'").select("bucket", "u", "v").distinct(), "members"))
     needed = tried.select(F.explode(F.array("u", "v")).alias("key")).union(members.select(F.col("u").alias("key"))).distinct()
     words = asked_words(settle(needed, "needed"), known, rows)
-    final = connected(tried, members, known.select("key", "n", F.array(*PARITIES).alias("sketch")), may_be_near, lambda pairs: verified(pairs, words))
+    final = connected(tried, members, words.select("key", "n", "sketch"), may_be_near, lambda pairs: verified(pairs, words))
     # entries that are alone keep their first occurrence; of a group the first of all does
     grouped = settle(final.unionByName(final.select(F.col("root").alias("node"), "root").distinct()), "grouped")
     rooted = settle(known.join(small(grouped), known["key"] == grouped["node"]).select("key", "root", "first"), "rooted")

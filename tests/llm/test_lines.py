@@ -266,3 +266,27 @@ def test_packed_rows_are_read_as_they_were_and_take_less_room():
     rows["few"], rows["more"] = 1 << 9, 1 << 5
     packed = pa.compress(lines.to_planes(rows), codec="lz4", asbytes=True)
     assert len(packed) < 11.6 * n
+
+
+def test_parities_are_kept_for_long_lines_and_lines_asked_for_only(spark):
+    """Half of what is known of a line was its parity, which went through all joins with lines; shorter ones are told apart in buckets."""
+    long = " ".join(f"w{i}" for i in range(lines.LONG))
+    rows = pd.DataFrame({"doc_id": ["1"], "text_hash": [1], "text": [f"a b c\n{long}\nd e f g h".encode()], "places": [[0, 1]]})
+    listed, asked = pd.concat(lines.list_lines(iter([rows]))), pd.concat(lines.words_of(iter([rows])))
+    assert [x is None for x in listed["bits"]] == [True, False, True] and "p0" not in listed
+    assert asked["n"].tolist() == [3, lines.LONG] and (asked["sketch"].iloc[1] == listed["bits"].iloc[1]).all()
+    assert np.bitwise_count(asked["sketch"].iloc[0].view(np.uint64)).sum() in (1, 3)
+
+
+def test_pairs_are_handed_on_with_the_bits_in_which_they_differ():
+    got = of_buckets([" ".join([*(f"w{i}" for i in range(30)), *own]) for own in (["x"], ["x", "x"], ["y"])])
+    assert sorted(got["bucket"]) == [1, 1, 2]  # two of a word leave no bit
+
+
+def test_long_lines_beside_lines_without_bits(spark):
+    """A line of LONG words and one of fewer link, and so do two of more; unlike long ones that share much do not."""
+    w = [f"w{i}" for i in range(lines.LONG + 20)]
+    texts = [w[: lines.LONG], w[: lines.LONG - 1], [*w[: lines.LONG - 30], *(f"u{i}" for i in range(50))], [*w[::-1], "z"], w[::-1]]
+    df = spark.createDataFrame([(i, " ".join(x), "", "") for i, x in enumerate(texts)], SCHEMA)
+    got = {r["doc_id"]: r["__dropped"] for r in lines.without_repeated_lines(df).collect()}
+    assert got == {0: 0, 1: 1, 2: 0, 3: 0, 4: 1}
